@@ -106,8 +106,11 @@ def next_script_name(corpus: DataFrame, now: dt.datetime, name: Column | str) ->
 
 
 def split_dirty(cursor: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(clean, dirty) rows; a dirty row has ``error``, as nothing may be applied or recorded there."""
-    dirty = F.coalesce(F.col("dirty"), F.lit(False))
+    """(clean, dirty) rows; a dirty row has ``error``, as nothing may be applied or recorded there.
+
+    A target without a version has nothing that could be half applied, so it is clean.
+    """
+    dirty = F.coalesce(F.col("dirty"), F.lit(False)) & F.col("version").isNotNull()
     message = F.format_string("migration cursor is dirty at version %d; repair the target to resolve it", "version")
     return cursor.filter(~dirty), cursor.filter(dirty).withColumn("error", message)
 
