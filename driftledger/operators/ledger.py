@@ -14,12 +14,17 @@ from driftledger.schemas import CURSOR, LEDGER, conform
 KEYS = ["target", "version"]
 
 
+def timestamp(now: dt.datetime | None) -> Column:
+    """A point in time; without a zone it is wall-clock time of the session's zone."""
+    return F.lit(None if now is None else now.isoformat(sep=" ")).cast("timestamp")
+
+
 def _changes(rows: DataFrame, status: str, now: dt.datetime | None, note: str, sha256: Column | None = None) -> DataFrame:
     return rows.select(
         "target",
         "version",
         F.lit(status).alias("status"),
-        F.lit(now).cast("timestamp").alias("recorded_at"),
+        timestamp(now).alias("recorded_at"),
         F.lit(note).alias("note"),
         (F.lit(None).cast("string") if sha256 is None else sha256).alias("content_sha256"),
     )
@@ -161,7 +166,7 @@ def record_applied(ledger: DataFrame, corpus: DataFrame, cursor: DataFrame, now:
 def set_status(ledger: DataFrame, instructions: DataFrame, now: dt.datetime, note: str = M.NOTE_REPAIRED) -> DataFrame:
     """Write the requested statuses; hashes are not touched."""
     changes = instructions.select(*KEYS, "status").withColumns(
-        {"recorded_at": F.lit(now).cast("timestamp"), "note": F.lit(note)}
+        {"recorded_at": timestamp(now), "note": F.lit(note)}
     )
     return upsert(ledger, changes)
 

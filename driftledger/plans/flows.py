@@ -46,17 +46,16 @@ def rollback(ledger: DataFrame, corpus: DataFrame, cursor: DataFrame, now: dt.da
 def run_down(ledger: DataFrame, corpus: DataFrame, cursor: DataFrame, now: dt.datetime, steps: int = 1) -> Recorded:
     """Backfill, then record the down plan as reverted.
 
-    Each down script steps the cursor back to the next script below; a target whose scripts are
-    all reverted has no version.
+    The cursor moves to the highest version that is still applied; where the plan reverted the
+    last one there is no version any more.
     """
     synced = backfill(ledger, corpus, cursor)
     reverted = record_reverted(synced, corpus, cursor, now, steps)
     clean, dirty = split_dirty(conform(cursor, CURSOR))
-    highest = reverted.groupBy("target").agg(F.max(F.when(F.col("status") == M.APPLIED, F.col("version"))).alias("_top"))
-    before = synced.groupBy("target").agg(F.max(F.when(F.col("status") == M.APPLIED, F.col("version"))).alias("_was"))
-    moved = clean.join(before, "target", "left").join(highest, "target", "left")
-    changed = F.col("_was").isNotNull() & ~F.col("_was").eqNullSafe(F.col("_top"))
-    new_version = F.when(changed, F.col("_top")).otherwise(F.col("version")).alias("version")
-    return Recorded(
-        reverted, moved.select("target", new_version, "dirty").unionByName(dirty.drop("error")), dirty
-    )
+    top = F.max(F.when(F.col("status") == M.APPLIED, F.col("version")))
+    before = synced.groupBy("target").agg(top.alias("_before"))
+    after = reverted.groupBy("target").agg(top.alias("_after"))
+    moved = clean.join(before, "target", "left").join(after, "target", "left")
+    stepped = ~F.col("_before").eqNullSafe(F.col("_after"))
+    new_version = F.when(stepped, F.col("_after")).otherwise(F.col("version")).alias("version")
+    return Recorded(reverted, moved.select("target", new_version, "dirty").unionByName(dirty.drop("error")), dirty)
