@@ -122,10 +122,15 @@ def names(t):
     )
 
 
-_CLASSES = f"""
-    WITH tables AS (SELECT DISTINCT target, schema, "table", {_pascal('"table"')} AS plain FROM columns_d),
-    classes AS (SELECT target, schema, "table", CASE WHEN count(*) OVER (PARTITION BY target, plain) > 1
-                                                     THEN concat(upper(schema[1]), lower(schema[2:]), plain) ELSE plain END AS class_name FROM tables)"""
+
+
+def _classes(columns: str) -> str:
+    return f"""SELECT target, schema, "table", CASE WHEN count(*) OVER (PARTITION BY target, plain) > 1
+                      THEN concat(upper(schema[1]), lower(schema[2:]), plain) ELSE plain END AS class_name
+               FROM (SELECT DISTINCT target, schema, "table", {_pascal('"table"')} AS plain FROM {columns})"""
+
+
+_CLASSES = f"WITH classes AS ({_classes('columns_d')})"
 
 
 @query(f"{_CLASSES} SELECT *, cast(NULL AS varchar) AS error FROM classes")
@@ -187,19 +192,20 @@ def _stored(t):
 
 
 _SIDES = f"""
-    stored AS (SELECT *, coalesce({_PG}, 'Any') AS type, {_WEB} AS web FROM ({_OLD.format(q='"')})),
-    live AS (SELECT *, coalesce({_PG}, 'Any') AS type, {_WEB} AS web FROM columns_d),
+    old AS ({_OLD.format(q='"')}),
+    stored AS (SELECT *, coalesce({_PG}, 'Any') AS type, {_WEB} AS web FROM old JOIN ({_classes('old')}) USING (target, schema, "table")),
+    live AS (SELECT *, coalesce({_PG}, 'Any') AS type, {_WEB} AS web FROM columns_d JOIN ({_classes('columns_d')}) USING (target, schema, "table")),
     changes AS (
         SELECT coalesce(s.target, l.target) AS target, coalesce(s.schema, l.schema) AS schema, coalesce(s."table", l."table") AS "table",
                coalesce(s."column", l."column") AS "column",
                CASE WHEN s.target IS NULL THEN 'added' WHEN l.target IS NULL THEN 'removed'
-                    WHEN s.type <> l.type OR s.web <> l.web OR s.nullable <> l.nullable OR s.ordinal <> l.ordinal THEN 'changed' END AS change
+                    WHEN s.class_name <> l.class_name OR s.type <> l.type OR s.web <> l.web OR s.nullable <> l.nullable OR s.ordinal <> l.ordinal THEN 'changed' END AS change
         FROM stored s FULL JOIN live l ON s.target = l.target AND s.schema = l.schema AND s."table" = l."table" AND s."column" = l."column")"""
 
 
 @query(f"WITH {_SIDES.strip()} SELECT * FROM changes WHERE change IS NOT NULL")
 def contract_diff(t):
-    # Class names depend on the other tables of a target, which these two sides share.
+    # A field also changes when its table's class name does, as that depends on the target's other tables.
     return K.contract_diff(_stored(t), _contract(t)).drop("stored", "live")
 
 

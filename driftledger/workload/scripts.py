@@ -125,7 +125,7 @@ _QUOTED = "concat(chr(39), replace(words, chr(39), concat(chr(39), chr(39))), ch
 
 @query(f"""
     SELECT doc_id, concat({_blank("concat('-- ', lang)")}, chr(10), 'SELECT ', {_blank(_QUOTED)}, ' AS "it', chr(39), 's", ',
-                          repeat(' ', 5 + strlen(source)), ' || ', repeat(' ', 5), ';', chr(10),
+                          repeat(' ', 5 + strlen(source)), ' || ', repeat(' ', 6), ';', chr(10),
                           {_blank("concat('/* a /* ', lang, ' */ ', chr(10), source, ' */')")},
                           ' CREATE TABLE t (id int); ', {_blank("concat('$f1$ ', words, ' $f1$')")}, ' $1') AS masked
     FROM masked_d""")
