@@ -7,6 +7,7 @@ customers become targets. Every derived table grows with the table it is made fr
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -235,8 +236,9 @@ def oracle(query: str) -> str:
     return _TABLE.sub(r"\1", _with(query, "duckdb"))
 
 
-def derived(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
+def derived(spark: SparkSession, base: Mapping[str, DataFrame], query: str) -> DataFrame:
     """A derived table (by name) or a query over derived and base tables (the latter written @name)."""
     sql = query if " " in query.strip() else f"SELECT * FROM {query}"
-    sql = _TABLE.sub(lambda m: f"parquet.`{sf_dir}/{m.group(1)}.parquet`", _with(sql, "spark"))
-    return spark.sql(sql.replace('"table"', "`table`").replace('"column"', "`column`"))
+    sql = _with(sql, "spark").replace('"table"', "`table`").replace('"column"', "`column`")
+    used = {name: base[name] for name in _TABLE.findall(sql)}
+    return spark.sql(_TABLE.sub(r"{\1}", sql), **used)

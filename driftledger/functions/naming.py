@@ -13,8 +13,6 @@ WEB_RESERVED = (
     "yield let static await async implements interface package private protected public"
 ).split()
 
-_LEADING_DIGIT = r"\A[0-9]"
-
 
 def pascal_case(name: Column) -> Column:
     """``fact_price`` -> ``FactPrice``; splits on underscore, hyphen, blank and dot, keeps other characters."""
@@ -22,18 +20,14 @@ def pascal_case(name: Column) -> Column:
     joined = F.array_join(
         F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2))))), ""
     )
-    return F.when(joined == "", "Empty").when(joined.rlike(_LEADING_DIGIT), F.concat(F.lit("_"), joined)).otherwise(joined)
+    return F.regexp_replace(F.regexp_replace(joined, r"\A(?=[0-9])", "_"), r"\A\z", "Empty")
 
 
 def safe_field(name: Column) -> Column:
     """A Python field name: keywords get a trailing underscore, characters outside [A-Za-z0-9_] go."""
     kept = F.regexp_replace(name, "[^A-Za-z0-9_]", "")
-    return (
-        F.when(name.isin(keyword.kwlist), F.concat(name, F.lit("_")))
-        .when(kept == "", "_")
-        .when(kept.rlike(_LEADING_DIGIT), F.concat(F.lit("_"), kept))
-        .otherwise(kept)
-    )
+    usable = F.regexp_replace(kept, r"\A(?=[0-9]|\z)", "_")
+    return F.when(name.isin(keyword.kwlist), F.concat(name, F.lit("_"))).otherwise(usable)
 
 
 def web_name(name: Column) -> Column:

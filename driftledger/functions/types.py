@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import chain
+
 from pyspark.sql import Column, functions as F
 
 from driftledger.functions.text import trim_space
@@ -42,13 +44,10 @@ WEB_TYPES = {
 }
 
 
-def _names(text: str) -> list[str]:
-    return text.split(", ")
-
-
 def _look_up(name: Column, table: dict[str, str]) -> Column:
-    """NULL when no row of the table lists the name."""
-    return F.coalesce(*[F.when(name.isin(_names(names)), F.lit(kind)) for kind, names in table.items()])
+    """NULL when no row of the table lists the name. The table is one constant, the name is evaluated once."""
+    pairs = [(name, kind) for kind, names in table.items() for name in names.split(", ")]
+    return F.try_element_at(F.create_map(*[F.lit(x) for x in chain.from_iterable(pairs)]), name)
 
 
 def base_type(data_type: Column) -> Column:
@@ -58,7 +57,11 @@ def base_type(data_type: Column) -> Column:
 
 def _lite_type(data_type: Column) -> Column:
     name = base_type(F.lower(trim_space(F.coalesce(data_type, F.lit("")))))
+    # One-element array: the rules below share one evaluation of the name.
+    return F.get(F.transform(F.array(name), _lite_rules), F.lit(0))
+
 
+def _lite_rules(name: Column) -> Column:
     def has(*parts: str) -> Column:
         found = F.lit(False)
         for part in parts:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from driftledger import messages as M
 from driftledger.operators.scripts import find, pending, reached, script_facts, split_dirty, with_scripts, script_keys
-from driftledger.operators.skew import lookup
+from driftledger.operators.skew import lookup, row_counts
 from driftledger.schemas import CURSOR, LEDGER, conform
 
 KEYS = ["target", "version"]
@@ -134,7 +134,12 @@ def record_reverted(ledger: DataFrame, corpus: DataFrame, cursor: DataFrame, now
     plan = down_plan(ledger, corpus, steps)
     _, dirty = split_dirty(cursor)
     stopped = blocked_targets(plan).union(dirty.select("target")).distinct()
-    plan = lookup(plan.drop("filename", "error"), stopped, ["target"], ["version"], "left_anti")
+    plan = plan.select(*KEYS)
+    if steps > 0:  # few rows per target
+        plan = plan.join(stopped, "target", "left_anti")
+    else:
+        counts = row_counts(applied_versions(ledger), ["target"])
+        plan = lookup(plan, stopped, ["target"], ["version"], "left_anti", counts=counts)
     files = script_facts(corpus, None, M.DOWN).drop("filename")
     hashed = with_scripts(plan, files, script_keys(corpus))
     return upsert(ledger, _changes(hashed, M.REVERTED, now, M.NOTE_REVERTED, F.col("sha256")))
@@ -156,9 +161,7 @@ def soft_revert(ledger: DataFrame, now: dt.datetime, steps: int = 1) -> DataFram
 
 def record_applied(ledger: DataFrame, corpus: DataFrame, cursor: DataFrame, now: dt.datetime) -> DataFrame:
     """Mark everything pending as applied, with the hash of the script; dirty targets stay as they are."""
-    clean, dirty = split_dirty(cursor)
-    todo = pending(corpus, clean, []).distinct()
-    todo = lookup(todo, dirty.select("target"), ["target"], ["version"], "left_anti")
+    todo = pending(corpus, cursor, [], skip_dirty=True).distinct()
     hashed = with_scripts(todo, script_facts(corpus, None).drop("filename"), script_keys(corpus))
     return upsert(ledger, _changes(hashed, M.APPLIED, now, M.NOTE_APPLIED, F.col("sha256")))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from driftledger.operators.skew import lookup
+from driftledger.sources.shared import share
 
 OBJECT = ["schema", "name", "kind"]
 
@@ -23,7 +24,8 @@ def _keyed(df: DataFrame, ignore_schema: bool, case_sensitive: bool) -> tuple[Da
 
 
 def _match(claims: DataFrame, objects: DataFrame, how: str, ignore_schema: bool, case_sensitive: bool) -> DataFrame:
-    many, keys = _keyed(claims, ignore_schema, case_sensitive)
+    # Claims come out of script text; they are read for the match and for counting.
+    many, keys = _keyed(share(claims, "claims"), ignore_schema, case_sensitive)
     there, _ = _keyed(objects, ignore_schema, case_sensitive)
     there = there.select(*keys).distinct().withColumn("_there", F.lit(True))
     salt_by = [c for c in ("version", "pos") if c in claims.columns] or ["k_target"]

@@ -106,33 +106,44 @@ def next_script_name(corpus: DataFrame, now: dt.datetime, name: Column | str) ->
 
 
 def split_dirty(cursor: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(clean, dirty) rows; a dirty row has ``error``, as nothing may be applied or recorded there.
-
-    A target without a version has nothing that could be half applied, so it is clean.
-    """
-    dirty = F.coalesce(F.col("dirty"), F.lit(False)) & F.col("version").isNotNull()
+    """(clean, dirty) rows; a dirty row has ``error``, as nothing may be applied or recorded there."""
+    dirty = is_dirty()
     message = F.format_string("migration cursor is dirty at version %d; repair the target to resolve it", "version")
     return cursor.filter(~dirty), cursor.filter(dirty).withColumn("error", message)
 
 
+def is_dirty() -> Column:
+    """A target without a version has nothing that could be half applied, so it is clean."""
+    return F.coalesce(F.col("dirty"), F.lit(False)) & F.col("version").isNotNull()
+
+
 def _positions(cursor: DataFrame) -> DataFrame:
-    return conform(cursor, CURSOR).select("target", F.col("version").alias("position"))
+    return conform(cursor, CURSOR).select("target", F.col("version").alias("position"), is_dirty().alias("_dirty"))
 
 
-def pending(corpus: DataFrame, cursor: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def pending(
+    corpus: DataFrame,
+    cursor: DataFrame,
+    columns: list[str] | None = None,
+    listed_only: bool = False,
+    skip_dirty: bool = False,
+) -> DataFrame:
     """Up scripts above the cursor, all of them for a target without a version.
 
     The cursor decides, not the ledger. ``cursor`` names the targets when the corpus is shared;
-    a corpus with targets is pending as a whole where the cursor has no row.
+    a corpus with targets is pending as a whole where the cursor has no row, unless
+    ``listed_only``. ``skip_dirty`` leaves out targets where nothing may be applied.
     """
     columns = ["filename"] if columns is None else columns
-    scripts = corpus_up(corpus)
+    scripts, places = corpus_up(corpus), _positions(cursor)
     if has_target(corpus):
         scripts = scripts.select("target", "version", *columns)
-        placed = lookup(scripts, _positions(cursor), ["target"], ["version"])
-        return placed.filter("position IS NULL OR version > position").drop("position")
+        placed = lookup(scripts, places, ["target"], ["version"], "inner" if listed_only else "left")
+        if skip_dirty:
+            placed = placed.filter(~F.coalesce("_dirty", F.lit(False)))
+        return placed.filter("position IS NULL OR version > position").drop("position", "_dirty")
     scripts = script_keys_above(scripts.select("version", *columns))
-    targets = cursor_keys_above(_positions(cursor))
+    targets = cursor_keys_above(places.filter(~F.col("_dirty")) if skip_dirty else places)
     return targets.join(scripts, KEYS).select("target", "version", *columns)
 
 
@@ -156,10 +167,9 @@ def pending_summary(corpus: DataFrame, cursor: DataFrame) -> DataFrame:
 
 def pending_scripts(corpus: DataFrame, cursor: DataFrame) -> DataFrame:
     """Dry run: pending scripts with their text; a dirty target yields one row with ``error`` instead."""
-    clean, dirty = split_dirty(cursor)
-    if has_target(corpus):
-        corpus = lookup(corpus, dirty.select("target"), ["target"], ["version"], "left_anti")
-    scripts = pending(corpus, clean, ["filename", "body"]).withColumn("error", F.lit(None).cast("string"))
+    _, dirty = split_dirty(cursor)
+    scripts = pending(corpus, cursor, ["filename", "body"], skip_dirty=True)
+    scripts = scripts.withColumn("error", F.lit(None).cast("string"))
     refused = dirty.select(
         "target",
         F.lit(None).cast("bigint").alias("version"),
@@ -174,7 +184,8 @@ def reached(corpus: DataFrame, cursor: DataFrame) -> DataFrame:
     """(target, version) of up scripts at or below the cursor."""
     scripts = corpus_up(corpus)
     if has_target(corpus):
-        placed = lookup(scripts.select("target", "version"), _positions(cursor), ["target"], ["version"], "inner")
+        places = _positions(cursor).select("target", "position")
+        placed = lookup(scripts.select("target", "version"), places, ["target"], ["version"], "inner")
         return placed.filter("version <= position").select("target", "version").distinct()
     keys = script_keys_up_to(scripts.select("version").distinct())
     return cursor_keys_up_to(_positions(cursor)).join(keys, KEYS).select("target", "version")

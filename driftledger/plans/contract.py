@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from driftledger.functions.naming import pascal_case, safe_field, web_name
 from driftledger.functions.payload import field_contract_type, json_fields
 from driftledger.functions.types import contract_type, web_type, web_validator
-from driftledger.operators.skew import lookup
+from driftledger.operators.skew import lookup, row_counts
 from driftledger.schemas import COLUMNS, conform
 
 TABLE = ["target", "schema", "table"]
@@ -40,31 +40,30 @@ def unmapped_types(columns: DataFrame, dialect: str) -> DataFrame:
 
 
 def resolve_class_names(columns: DataFrame) -> DataFrame:
-    """(target, schema, table, class_name, error): Pascal-case names, with the schema's in front where two tables share one.
+    """(target, schema, table, class_name): Pascal-case names, with the schema's in front where two tables share one.
 
-    ``error`` marks names that still collide. Names that occur more than once are counted per
-    name before they are joined back, so a name that very many tables share is one row there.
+    Names are counted before they are joined back, so only those that occur more than once take part.
     """
     tables = columns.select(*TABLE).distinct().withColumn("_name", pascal_case(F.col("table")))
-    counts = tables.groupBy("target", "_name").agg(F.count(F.lit(1)).alias("n_rows")).filter("n_rows > 1")
-    marked = lookup(tables, counts, ["target", "_name"], ["schema", "table"], counts=counts)
+    repeated = row_counts(tables, ["target", "_name"]).filter("n_rows > 1")
+    marked = lookup(tables, repeated, ["target", "_name"], ["schema", "table"], counts=repeated)
     prefixed = F.concat(pascal_case(F.col("schema")), F.col("_name"))
-    named = marked.select(*TABLE, F.when(F.col("n_rows") > 1, prefixed).otherwise(F.col("_name")).alias("class_name"))
-    owners = named.groupBy("target", "class_name").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.min(F.struct("schema", "table")).alias("_owner")
-    )
-    owners = owners.filter("n_rows > 1")
-    joined = lookup(named, owners, ["target", "class_name"], ["schema", "table"], counts=owners)
-    owner = F.concat_ws(".", "_owner.schema", "_owner.table")
-    error = F.format_string('class name "%s" collides with that of "%s"', F.col("class_name"), owner)
-    is_owner = (F.col("schema") == F.col("_owner.schema")) & (F.col("table") == F.col("_owner.table"))
-    collides = F.col("n_rows").isNotNull() & ~is_owner
-    return joined.select(*TABLE, "class_name", F.when(collides, error).alias("error"))
+    return marked.select(*TABLE, F.when(F.col("n_rows") > 1, prefixed).otherwise(F.col("_name")).alias("class_name"))
+
+
+def class_name_collisions(columns: DataFrame) -> DataFrame:
+    """(target, class_name, n_tables, error) of class names that collide even with the schema in front."""
+    owner = F.min(F.struct("schema", "table")).alias("_owner")
+    named = resolve_class_names(columns).groupBy("target", "class_name")
+    shared = named.agg(F.count(F.lit(1)).alias("n_tables"), owner).filter("n_tables > 1")
+    first = F.concat_ws(".", "_owner.schema", "_owner.table")
+    error = F.format_string('class name "%s" of "%s" collides with that of %d other(s)', "class_name", first, F.col("n_tables") - 1)
+    return shared.select("target", "class_name", "n_tables", error.alias("error"))
 
 
 def schema_contract(columns: DataFrame, dialect: str) -> DataFrame:
     """(target, schema, table, class_name, ordinal, field, alias, type, ..., nullable), one row per column."""
-    names = resolve_class_names(columns).drop("error")
+    names = resolve_class_names(columns)
     rows = lookup(typed(columns, dialect), names, TABLE, ["column"])
     return rows.select(
         *TABLE,

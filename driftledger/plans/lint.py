@@ -48,16 +48,13 @@ def _duplicate_findings(parsed: DataFrame) -> DataFrame:
     keys = [*_group(parsed), "version"]
     repeated = duplicate_versions(parsed)
     up = parsed.filter((F.col("_name.direction") == M.UP) & F.col("version").isNotNull()).select(*keys, "filename")
-    shared = lookup(up, repeated, keys, ["filename"], "inner", counts=repeated)
     # The rank limit acts before the shuffle, so a much-repeated version sends few names.
-    ranked = shared.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy("filename")))
-    named = ranked.filter(F.col("_rank") <= NAMED_FILES).groupBy(*keys).agg(
-        F.array_join(F.array_sort(F.collect_list("filename")), ", ").alias("names"), F.first("n_rows").alias("n")
-    )
-    more = F.when(F.col("n") > NAMED_FILES, F.format_string(" and %d more", F.col("n") - NAMED_FILES)).otherwise("")
-    message = F.format_string(M.LINT_DUPLICATE, F.col("version").cast("string"), F.concat("names", more))
-    texts = named.select(*keys, message.alias("message"))
-    return lookup(shared.drop("n_rows"), texts, keys, ["filename"], "inner", counts=repeated).select(
+    ranked = up.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy("filename")))
+    named = ranked.filter(F.col("_rank") <= NAMED_FILES).groupBy(*keys).agg(F.array_sort(F.collect_list("filename")).alias("names"))
+    more = F.when(F.col("n_rows") > NAMED_FILES, F.format_string(" and %d more", F.col("n_rows") - NAMED_FILES)).otherwise("")
+    message = F.format_string(M.LINT_DUPLICATE, F.col("version").cast("string"), F.concat(F.array_join("names", ", "), more))
+    texts = repeated.join(named, keys).select(*keys, message.alias("message"))
+    return lookup(up, texts, keys, ["filename"], "inner", counts=repeated).select(
         *_group(parsed), F.col("filename").alias("file"), "version", F.lit(M.RULE_DUPLICATE).alias("rule"), "message"
     )
 

@@ -14,7 +14,7 @@ from driftledger.operators.objects import missing_objects
 from driftledger.operators.scripts import script_facts, script_keys, split_dirty, with_scripts
 from driftledger.operators.skew import lookup
 from driftledger.functions.ddl import dialect_of
-from driftledger.schemas import INSTRUCTIONS, conform
+from driftledger.schemas import CURSOR, INSTRUCTIONS, conform
 from driftledger.sources.shared import share
 
 
@@ -103,8 +103,13 @@ def repair(
     granted = lookup(instructions, blocked_targets(violations), ["target"], ["version"], "left_anti")
     new_ledger = set_status(backfill(ledger, corpus, cursor), granted, now)
 
-    touched = asked.join(blocked_targets(violations), "target", "left_anti")
-    after = lookup(new_ledger, touched, ["target"], ["version"], "left_semi")
-    moved = recompute_cursor(after, cursor.join(touched, "target", "left_semi"))
-    new_cursor = cursor.join(touched, "target", "left_anti").unionByName(moved)
+    touched = asked.join(blocked_targets(violations), "target", "left_anti").withColumn("_touched", F.lit(True))
+    before = conform(cursor, CURSOR).select("target", F.col("version").alias("_was"), F.col("dirty").alias("_was_dirty"))
+    moved = recompute_cursor(new_ledger, cursor).join(before, "target", "left").join(touched, "target", "left")
+    stays = F.col("_touched").isNull()
+    new_cursor = moved.select(
+        "target",
+        F.when(stays, F.col("_was")).otherwise(F.col("version")).alias("version"),
+        F.when(stays, F.col("_was_dirty")).otherwise(F.col("dirty")).alias("dirty"),
+    )
     return Repaired(new_ledger, new_cursor, violations)

@@ -88,23 +88,22 @@ def plan_lines(
     targets: DataFrame | None = None,
 ) -> DataFrame:
     """(target, section, version, line): pending file names, and ``v<version>: <detail>`` for drift."""
-    scope = None if targets is None else conform(targets, TARGETS).filter("error IS NULL").select("target")
     cursor = conform(cursor, CURSOR)
-    if scope is not None:
+    if targets is not None:
+        scope = conform(targets, TARGETS).filter("error IS NULL").select("target")
         cursor = scope.join(cursor, "target", "left").select(*CURSOR.fieldNames())
-    waiting = pending(corpus, cursor).select(
+    waiting = pending(corpus, cursor, listed_only=targets is not None).select(
         "target", F.lit("pending").alias("section"), "version", F.col("filename").alias("line")
     )
-    report = verify(ledger, corpus, objects, dialect).filter(F.col("status") != M.OK)
-    report = lookup(report, cursor.filter("version IS NOT NULL").select("target"), ["target"], ["version"], "left_semi")
-    drift = report.select(
+    placed = cursor.filter("version IS NOT NULL").select("target")
+    audited = lookup(ledger, placed, ["target"], ["version"], "left_semi")
+    report = verify(audited, corpus, objects, dialect)
+    drift = report.filter(F.col("status") != M.OK).select(
         "target",
         F.lit("drift").alias("section"),
         "version",
         F.concat(F.lit("v"), F.col("version").cast("string"), F.lit(": "), F.col("detail")).alias("line"),
     )
-    if scope is not None:
-        waiting = lookup(waiting, scope, ["target"], ["version"], "left_semi")
     return waiting.unionByName(drift)
 
 

@@ -133,11 +133,27 @@ def _classes(columns: str) -> str:
 _CLASSES = f"WITH classes AS ({_classes('columns_d')})"
 
 
-@query(f"{_CLASSES} SELECT *, cast(NULL AS varchar) AS error FROM classes")
+@query(f"{_CLASSES} SELECT * FROM classes")
 def class_names(t):
     return K.resolve_class_names(t.columns_d)
 
 
+# A hyphen next to an underscore, and a table that has another's schema in its name, are what still collides.
+_ALIKE = """SELECT target, schema, CASE WHEN ordinal % 3 = 0 THEN replace({q}table{q}, '_', '-')
+                                        WHEN ordinal % 3 = 1 THEN concat(schema, ' ', {q}table{q}) ELSE {q}table{q} END AS {q}table{q}
+            FROM columns_d"""
+
+
+@query(f"""
+    WITH alike AS ({_ALIKE.format(q='"')}), classes AS ({_classes('alike')}),
+    shared AS (SELECT target, class_name, count(*) AS n_tables, min((schema, "table")) AS owner FROM classes GROUP BY 1, 2 HAVING count(*) > 1)
+    SELECT target, class_name, n_tables,
+           concat('class name "', class_name, '" of "', owner[1], '.', owner[2], '" collides with that of ', n_tables - 1, ' other(s)') AS error
+    FROM shared""")
+def class_name_collisions(t):
+    return K.class_name_collisions(t.sql(_ALIKE.format(q="`")))
+
+
 @query(f"""
     {_CLASSES}
     SELECT c.target, c.schema, c."table", k.class_name, c.ordinal, {_field('c."column"')} AS field, c."column" AS alias,

@@ -17,23 +17,28 @@ NOW_TEXT = "'2026-01-01 12:00:00'"
 
 
 class Tables:
-    """Derived tables by attribute: ``t.corpus_d``."""
+    """Derived tables by attribute: ``t.corpus_d``. Each is built once."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self._spark, self._sf_dir = spark, sf_dir
+        self.session, self._sf_dir = spark, sf_dir
+        self._known: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
-        return derived(self._spark, self._sf_dir, name)
+        return self.sql(name)
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return self.base(name)
 
     def base(self, name: str) -> DataFrame:
-        return self._spark.read.parquet(f"{self._sf_dir}/{name}.parquet")
+        return self._once(f"@{name}", lambda: self.session.read.parquet(f"{self._sf_dir}/{name}.parquet"))
 
     def sql(self, text: str) -> DataFrame:
-        return derived(self._spark, self._sf_dir, text)
+        return self._once(text, lambda: derived(self.session, self, text))
 
-    @property
-    def session(self) -> SparkSession:
-        return self._spark
+    def _once(self, key: str, build: Callable[[], DataFrame]) -> DataFrame:
+        if key not in self._known:
+            self._known[key] = build()
+        return self._known[key]
 
 
 def query(sql: str | None = None):
