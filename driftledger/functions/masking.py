@@ -17,19 +17,12 @@ from pyspark.sql import Column, functions as F, types as T
 # The scan travels to the executors with the query, so they need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_REGION = re.compile(
-    r"""
-      (?P<line>--[^\n]*)
-    | (?P<block>/\*)
-    | (?P<escape>[eE]'(?:\\.|''|[^'\\])*+(?:'|\\?\Z))
-    | (?P<string>'(?:''|[^'])*+(?:'|\Z))
-    | (?P<name>"(?:""|[^"])*+(?:"|\Z))
-    | (?P<dollar>\$(?:[A-Za-z_][A-Za-z0-9_]*)?\$)
-    """,
-    re.VERBOSE | re.DOTALL,
-)
+_START = re.compile(r"--|/\*|'|\"|\$(?:[A-Za-z_][A-Za-z0-9_]*)?\$")
 _BLOCK_EDGE = re.compile(r"/\*|\*/")
-_NOT_NEWLINE = re.compile(rb"[^\n]")
+# From behind the opening quote to behind the closing one, or to the end of the text.
+_STRING_REST = re.compile(r"[^']*+(?:''[^']*+)*+'?")
+_ESCAPE_STRING_REST = re.compile(r"[^'\\]*+(?:(?:\\.|'')[^'\\]*+)*+(?:'|\\\Z)?", re.DOTALL)
+_NAME_REST = re.compile(r'[^"]*+(?:""[^"]*+)*+"?')
 
 # Cheap test on the JVM side for texts that need the scan at all.
 MASKABLE = r"--|/\*|'|\$"
@@ -44,21 +37,36 @@ def _block_end(text: str, start: int) -> int:
     return len(text)
 
 
+def _find_end(text: str, mark: str, start: int) -> int:
+    found = text.find(mark, start)
+    return len(text) if found < 0 else found
+
+
+def _blanks(text: str) -> str:
+    """One blank per UTF-8 byte; line breaks stay."""
+    return "\n".join(" " * len(line.encode("utf-8")) for line in text.split("\n"))
+
+
 def mask_one(text: str) -> str:
     """``text`` with every non-executable byte as a blank; line breaks and quoted names stay."""
     out, done, at = [], 0, 0
-    while region := _REGION.search(text, at):
-        at = region.end()
-        if region.lastgroup == "name":
+    while found := _START.search(text, at):
+        mark, start, behind = found.group(), found.start(), found.end()
+        if mark == '"':
+            at = _NAME_REST.match(text, behind).end()
             continue
-        if region.lastgroup == "block":
-            at = _block_end(text, at)
-        elif region.lastgroup == "dollar":
-            close = text.find(region.group(), at)
-            at = len(text) if close < 0 else close + len(region.group())
-        hidden = text[region.start() : at].encode("utf-8")
-        out += [text[done : region.start()], _NOT_NEWLINE.sub(b" ", hidden).decode("ascii")]
-        done = at
+        if mark == "'":
+            escapes = start > at and text[start - 1] in "eE"
+            end = (_ESCAPE_STRING_REST if escapes else _STRING_REST).match(text, behind).end()
+            start -= escapes
+        elif mark == "--":
+            end = _find_end(text, "\n", behind)
+        elif mark == "/*":
+            end = _block_end(text, behind)
+        else:
+            end = min(_find_end(text, mark, behind) + len(mark), len(text))
+        out += [text[done:start], _blanks(text[start:end])]
+        done = at = end
     out.append(text[done:])
     return "".join(out)
 

@@ -26,12 +26,8 @@ _CONVERT = rf"{_CONVERT_TO}{WS}*{_COLUMN}{WS}*\)"
 _AS_TYPE = rf"(?i)\bAS{WS}+([A-Za-z]+{_SIZE})"
 _AS_TYPE_NEXT = rf"(?i)\A{WS}*\)*{WS}+AS{WS}+([A-Za-z]+{_SIZE})"
 _CONTEXT = 150
-_VALUE_CALL = rf"JSON_VALUE{WS}*\({WS}*[A-Za-z_][A-Za-z0-9_.]*{WS}*,{WS}*{_PATH}{WS}*\)"
-# Group 1 is the text before the call, group 2 the path, group 3 the text after it.
-_VALUE_IN_CONTEXT = (
-    rf"(?i)(?=JSON_VALUE)(?<=(\A[\s\S]{{0,{_CONTEXT - 1}}}|[\s\S]{{{_CONTEXT}}}))"
-    rf"{_VALUE_CALL}(?=([\s\S]{{0,{_CONTEXT}}}))"
-)
+_VALUE_CALL = rf"(?i)JSON_VALUE{WS}*\({WS}*[A-Za-z_][A-Za-z0-9_.]*{WS}*,{WS}*{_PATH}{WS}*\)"
+_REST = r"(?=([\s\S]*))"  # group: everything behind the match
 _DEFAULT_TYPE = "NVARCHAR"
 _KNOWN_TYPES = (
     "BIGINT INT SMALLINT TINYINT BIT DECIMAL NUMERIC FLOAT REAL MONEY SMALLMONEY DATE DATETIME DATETIME2 "
@@ -44,7 +40,7 @@ def _all(text: Column, pattern: str, group: int) -> Column:
 
 
 def _opens(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit("("), F.lit("")))
+    return F.length(F.regexp_replace(text, r"[^(]+", ""))
 
 
 def balanced_block(rest: Column) -> Column:
@@ -66,41 +62,65 @@ def balanced_block(rest: Column) -> Column:
     return F.when(end > 0, F.array_join(F.slice(pieces, F.lit(1), end), ")"))
 
 
-def _field(path: Column, sql_type: Column) -> Column:
-    return F.struct(
-        path.alias("path"), F.substring_index(path, ".", -1).alias("name"), base_type(sql_type).alias("sql_type")
-    )
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value evaluated once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _fields(raw: Column) -> Column:
+    """Finish fields given as (path, type): name from the path, base type; first spelling of a name wins."""
+
+    def finish(f: Column) -> Column:
+        name = F.substring_index(f["path"], ".", -1)
+        sql_type = base_type(f["type"])
+        return F.struct(f["path"].alias("path"), name.alias("name"), sql_type.alias("sql_type"), F.lower(name).alias("key"))
 
+    def distinct(fields: Column) -> Column:
+        known = F.struct(fields.alias("fields"), F.transform(fields, lambda f: f["key"]).alias("keys"))
+        return _let(known, lambda k: F.filter(k["fields"], lambda f, i: F.array_position(k["keys"], f["key"]) == i + 1))
 
-def _first_spelling(fields: Column) -> Column:
-    """Keep the first of the fields whose names differ only in case."""
-    names = F.transform(fields, lambda f: F.lower(f["name"]))
-    return F.filter(fields, lambda f, i: F.array_position(names, F.lower(f["name"])) == i + 1)
+    kept = _let(F.transform(raw, finish), distinct)
+    return F.transform(kept, lambda f: F.struct(f["path"].alias("path"), f["name"].alias("name"), f["sql_type"].alias("sql_type")))
 
 
 def _block_fields(block: Column, converts: Column) -> Column:
-    def declared(match: Column) -> Column:
-        column = F.regexp_extract(match, _DECLARED, 1)
-        path = F.regexp_extract(match, _DECLARED, 3)
-        same = F.filter(converts, lambda c: F.lower(F.regexp_extract(c, _CONVERT, 2)) == F.lower(column))
-        converted = F.regexp_extract(F.try_element_at(same, F.lit(-1)), _CONVERT, 1)
-        return _field(
-            F.when(path == "", F.concat(F.lit("$."), column)).otherwise(path),
-            F.coalesce(converted, F.regexp_extract(match, _DECLARED, 2)),
+    """Fields of one block; ``converts`` are (key, type) of the convert calls on bare columns."""
+
+    def parts(match: Column) -> Column:
+        return F.struct(
+            F.regexp_extract(match, _DECLARED, 1).alias("column"),
+            F.regexp_extract(match, _DECLARED, 2).alias("type"),
+            F.regexp_extract(match, _DECLARED, 3).alias("path"),
+        )
+
+    def declared(p: Column) -> Column:
+        same = F.filter(converts, lambda c: c["key"] == F.lower(p["column"]))
+        path = F.when(p["path"] == "", F.concat(F.lit("$."), p["column"])).otherwise(p["path"])
+        return F.struct(
+            path.alias("path"), F.coalesce(F.try_element_at(same, F.lit(-1))["type"], p["type"]).alias("type")
         )
 
-    return _first_spelling(F.transform(_all(block, _DECLARED, 0), declared))
+    return _fields(F.transform(F.transform(_all(block, _DECLARED, 0), parts), declared))
 
 
 def _declared_fields(definition: Column) -> Column:
-    converts = _all(definition, _CONVERT, 0)
-    rests = _all(definition, rf"{_OPEN_WITH}(?=([\s\S]*))", 1)
-    blocks = F.filter(F.transform(rests, balanced_block), lambda b: b.isNotNull())
-    return F.aggregate(
-        F.transform(blocks, lambda b: _block_fields(b, converts)),
-        F.array().cast(FIELD_ARRAY),
-        lambda best, fields: F.when(F.size(fields) > F.size(best), fields).otherwise(best),
+    converts = F.transform(
+        _all(definition, _CONVERT, 0),
+        lambda c: F.struct(
+            F.lower(F.regexp_extract(c, _CONVERT, 2)).alias("key"), F.regexp_extract(c, _CONVERT, 1).alias("type")
+        ),
     )
+    rests = _all(definition, _OPEN_WITH + _REST, 1)
+    blocks = F.filter(F.transform(rests, balanced_block), lambda b: b.isNotNull())
+
+    def largest(c: Column) -> Column:
+        return F.aggregate(
+            F.transform(blocks, lambda b: _block_fields(b, c)),
+            F.array().cast(FIELD_ARRAY),
+            lambda best, fields: F.when(F.size(fields) > F.size(best), fields).otherwise(best),
+        )
+
+    return _let(converts, largest)
 
 
 def _known(sql_type: Column) -> Column:
@@ -112,7 +132,7 @@ def _known(sql_type: Column) -> Column:
 def value_type(before: Column, after: Column) -> Column:
     """Type of a JSON_VALUE call from the bytes around it."""
     behind_cast = F.substring_index(F.upper(before), "CAST(", -1)
-    depth = 1 + _opens(behind_cast) - (F.length(behind_cast) - F.length(F.replace(behind_cast, F.lit(")"), F.lit(""))))
+    depth = 1 + _opens(behind_cast) - F.length(F.regexp_replace(behind_cast, r"[^)]+", ""))
     in_cast = F.upper(before).contains("CAST(") & (depth > 0)
     return F.coalesce(
         _known(F.regexp_extract(before, _CONVERT_TO, 1)),
@@ -124,29 +144,32 @@ def value_type(before: Column, after: Column) -> Column:
 
 def _value_fields(definition: Column) -> Column:
     calls = F.arrays_zip(
-        _all(definition, _VALUE_IN_CONTEXT, 1).alias("before"),
-        _all(definition, _VALUE_IN_CONTEXT, 2).alias("path"),
-        _all(definition, _VALUE_IN_CONTEXT, 3).alias("after"),
+        _all(definition, _VALUE_CALL, 0).alias("call"),
+        _all(definition, _VALUE_CALL + _REST, 2).alias("rest"),
     )
 
-    def field(call: Column) -> Column:
-        # The context is measured in bytes.
-        before = F.substring(call["before"].cast("binary"), -_CONTEXT, _CONTEXT).cast("string")
-        after = F.substring(call["after"].cast("binary"), 1, _CONTEXT).cast("string")
-        return _field(call["path"], value_type(before, after))
+    def field(c: Column) -> Column:
+        # The context is measured in bytes, so as many characters are enough.
+        start = F.length(definition) - F.length(c["rest"]) - F.length(c["call"])
+        before = F.substr(definition, F.greatest(start - _CONTEXT, F.lit(0)) + 1, F.least(start, F.lit(_CONTEXT)))
+        after = F.substr(c["rest"], F.lit(1), F.lit(_CONTEXT))
+        context = F.struct(
+            F.substring(before.cast("binary"), -_CONTEXT, _CONTEXT).cast("string").alias("before"),
+            F.substring(after.cast("binary"), 1, _CONTEXT).cast("string").alias("after"),
+        )
+        sql_type = _let(context, lambda x: value_type(x["before"], x["after"]))
+        return F.struct(F.regexp_extract(c["call"], _VALUE_CALL, 1).alias("path"), sql_type.alias("type"))
 
-    return _first_spelling(F.transform(calls, field))
+    return _fields(F.transform(calls, field))
 
 
 def json_fields(definition: Column) -> Column:
     """``array<struct<path,name,sql_type>>`` of a procedure text; empty when it takes no JSON input."""
-    declared = _declared_fields(definition)
-    takes_json = definition.rlike("(?i)OPENJSON")
-    return (
-        F.when(~takes_json, F.array().cast(FIELD_ARRAY))
-        .when(F.size(declared) > 0, declared)
-        .otherwise(_value_fields(definition))
+    by_block = _let(
+        _declared_fields(definition),
+        lambda fields: F.when(F.size(fields) > 0, fields).otherwise(_value_fields(definition)),
     )
+    return F.when(definition.rlike("(?i)OPENJSON"), by_block).otherwise(F.array().cast(FIELD_ARRAY))
 
 
 def field_contract_type(sql_type: Column) -> Column:

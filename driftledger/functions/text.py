@@ -57,10 +57,18 @@ def batches(text: Column) -> Column:
     return F.filter(pieces, lambda p: p != "")
 
 
+def explode_rows(df: DataFrame, keep: list[str], array: Column, pos: str = "pos", item: str = "item") -> DataFrame:
+    """One row per array element, for arrays that are costly to compute.
+
+    The inner explode makes the optimizer filter on the array's size first, which computes the
+    array again; the outer one does not, and its rows for empty arrays are dropped right after.
+    """
+    return df.select(*keep, F.posexplode_outer(array).alias(pos, item)).filter(F.col(pos).isNotNull())
+
+
 def split_batches(df: DataFrame, text: str, pos: str = "pos", batch: str = "batch") -> DataFrame:
     """One row per batch of ``text``; the text column itself is not carried along."""
-    keep = [F.col(c) for c in df.columns if c != text]
-    return df.select(*keep, F.posexplode(batches(F.col(text))).alias(pos, batch))
+    return explode_rows(df, [c for c in df.columns if c != text], batches(F.col(text)), pos, batch)
 
 
 def detail_text(parts: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from driftledger import messages as M
 from driftledger.functions import ddl
-from driftledger.functions.text import content_hash, script_name
+from driftledger.functions.text import content_hash, explode_rows, script_name
 from driftledger.operators.intervals import (
     KEYS,
     cursor_keys_above,
@@ -81,8 +81,8 @@ def dropped_objects(corpus: DataFrame, dialect: str) -> DataFrame:
 def _object_rows(corpus: DataFrame, dialect: str, extract) -> DataFrame:
     text = ddl.executable_text(F.col("body"), dialect)
     scripts = corpus_up(corpus).select(*script_keys(corpus), "filename", text.alias("_text"))
-    rows = scripts.select(*script_keys(corpus), "filename", F.posexplode(extract(F.col("_text"), dialect)))
-    return rows.select(*script_keys(corpus), "filename", "pos", "col.*")
+    keep = [*script_keys(corpus), "filename"]
+    return explode_rows(scripts, keep, extract(F.col("_text"), dialect)).select(*keep, "pos", "item.*")
 
 
 def _clock(now: dt.datetime) -> int:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from driftledger.functions.naming import pascal_case, safe_field, web_name
+from driftledger.functions.text import explode_rows
 from driftledger.functions.payload import field_contract_type, json_fields
 from driftledger.functions.types import contract_type, web_type, web_validator
 from driftledger.operators.skew import lookup, row_counts
@@ -137,19 +138,16 @@ def json_contracts(procs: DataFrame) -> DataFrame:
 
     Procedures without JSON input give no rows. The text is dropped in the scan.
     """
-    fields = procs.filter(F.col("definition").rlike("(?i)OPENJSON")).select(
-        "target",
-        "schema",
-        F.concat(F.regexp_replace("name", r"\Ausp_", ""), F.lit("_payload")).alias("table"),
-        F.posexplode(json_fields(F.col("definition"))),
-    )
+    table = F.concat(F.regexp_replace("name", r"\Ausp_", ""), F.lit("_payload"))
+    taking = procs.filter(F.col("definition").rlike("(?i)OPENJSON")).withColumn("table", table)
+    fields = explode_rows(taking, TABLE, json_fields(F.col("definition")))
     return fields.select(
         *TABLE,
         (F.col("pos") + 1).alias("ordinal"),
-        F.col("col.name").alias("column"),
-        F.col("col.path").alias("path"),
-        F.col("col.sql_type").alias("data_type"),
-        field_contract_type(F.col("col.sql_type")).alias("type"),
+        F.col("item.name").alias("column"),
+        F.col("item.path").alias("path"),
+        F.col("item.sql_type").alias("data_type"),
+        field_contract_type(F.col("item.sql_type")).alias("type"),
         F.lit(True).alias("nullable"),
     )
 

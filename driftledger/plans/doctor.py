@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from driftledger.functions.text import explode_rows
 from driftledger.operators.ledger import hash_drift
 from driftledger.plans.status import EXIT_ERROR, EXIT_ISSUES, EXIT_OK, status
 from driftledger.plans.verify import drift_counts, verify
@@ -123,9 +124,9 @@ def doctor(
     failing = F.exists("checks", lambda c: c["status"] == "fail")
     code = F.when(~reachable, EXIT_ERROR).when(failing, EXIT_ISSUES).otherwise(EXIT_OK)
     judged = rows.withColumn("checks", checks).withColumn("exit", code)
-    return judged.select(
-        "target", "engine", (F.col("exit") == EXIT_OK).alias("healthy"), "exit", F.posexplode("checks")
-    ).select("target", "engine", "healthy", "exit", "pos", "col.*")
+    judged = judged.withColumn("healthy", F.col("exit") == EXIT_OK)
+    keep = ["target", "engine", "healthy", "exit"]
+    return explode_rows(judged, keep, F.col("checks")).select(*keep, "pos", "item.*")
 
 
 def doctor_exits(report: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, functions as F
 
 from driftledger import messages as M
-from driftledger.functions.text import parse_uint64
+from driftledger.functions.text import explode_rows, parse_uint64
 from driftledger.operators.ledger import KEYS, backfill, blocked_targets, recompute_cursor, set_status
 from driftledger.operators.objects import missing_objects
 from driftledger.operators.scripts import script_facts, script_keys, split_dirty, with_scripts
@@ -41,7 +41,7 @@ def parse_instructions(df: DataFrame, text: str = "instructions") -> DataFrame:
     rows = df.withColumn("_parts", F.transform(parts, read))
     rows = rows.withColumn("_versions", F.col("_parts.version"))
     keep = [c for c in df.columns if c != text]
-    rows = rows.select(*keep, "_versions", F.posexplode("_parts")).select(*keep, "_versions", "pos", "col.*")
+    rows = explode_rows(rows, [*keep, "_versions"], F.col("_parts")).select(*keep, "_versions", "pos", "item.*")
     valid = F.col("status").isin(M.APPLIED, M.REVERTED)
     earlier = F.array_position("_versions", F.col("version")) <= F.col("pos")
     error = (
