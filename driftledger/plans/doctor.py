@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from driftledger.functions.text import explode_rows
-from driftledger.operators.ledger import hash_drift
 from driftledger.plans.status import EXIT_ERROR, EXIT_ISSUES, EXIT_OK, status
-from driftledger.plans.verify import drift_counts, verify
+from driftledger.plans.verify import audited, drift_counts, hash_mismatches, verify_audited
 from driftledger.schemas import TARGETS, conform
 
 
@@ -27,9 +26,9 @@ def doctor_inputs(
     Each input is counted per target before the joins, so they are joins of one row with one row.
     """
     targets = conform(targets, TARGETS)
-    drift = drift_counts(verify(ledger, corpus, objects, dialect))
-    mismatches = hash_drift(ledger, corpus, missing_is_mismatch=True).groupBy("target")
-    mismatches = mismatches.agg(F.count(F.lit(1)).alias("n_mismatch"))
+    checked = audited(ledger, corpus, dialect)
+    drift = drift_counts(verify_audited(checked, objects, dialect))
+    mismatches = hash_mismatches(checked)
     standing = status(corpus, cursor, targets).select(
         "target", "current_version", "has_version", "dirty", "n_pending"
     )

@@ -10,7 +10,7 @@ from driftledger.functions.text import detail_text
 from driftledger.operators.objects import OBJECT, gone_at
 from driftledger.operators.scripts import script_facts, script_keys, with_scripts
 from driftledger.operators.skew import lookup
-from driftledger.schemas import LEDGER, conform
+from driftledger.sources.ledger import as_ledger
 from driftledger.sources.shared import share
 
 
@@ -19,19 +19,26 @@ def _object_message(text: str) -> Column:
 
 
 def audited(ledger: DataFrame, corpus: DataFrame, dialect: str) -> DataFrame:
-    """Ledger rows joined with what their script says: found, edited, created and dropped objects."""
+    """Ledger rows joined with what their script says: file, edited or not, created and dropped objects.
+
+    ``hashed`` marks applied rows with a recorded hash. This is the one pass over script text; it
+    is shared, as the reports read it several times.
+    """
     facts = script_facts(corpus, dialect)
-    rows = with_scripts(conform(ledger, LEDGER), facts, script_keys(corpus))
-    edited = (F.col("status") == M.APPLIED) & (F.col("sha256") != F.nullif("content_sha256", F.lit("")))
-    return rows.select(
+    rows = with_scripts(as_ledger(ledger), facts, script_keys(corpus))
+    hashed = (F.col("status") == M.APPLIED) & F.col("content_sha256").isNotNull()
+    edited = hashed & (F.col("sha256") != F.col("content_sha256"))
+    checked = rows.select(
         "target",
         "version",
         "status",
         F.col("filename").alias("file"),
+        hashed.alias("hashed"),
         F.coalesce(edited, F.lit(False)).alias("edited"),
         "created",
         "dropped",
     )
+    return share(checked, "audited")
 
 
 def object_facts(rows: DataFrame, objects: DataFrame) -> DataFrame:
@@ -114,7 +121,11 @@ def verify(
     such object; its script may be gone. The detail names the hash first, then objects in
     source order. One script's findings are gathered per (target, version), never per target.
     """
-    rows = share(audited(ledger, corpus, dialect), "audited")
+    return verify_audited(audited(ledger, corpus, dialect), objects, dialect, location)
+
+
+def verify_audited(rows: DataFrame, objects: DataFrame, dialect: str, location: str = "corpus") -> DataFrame:
+    """The drift report from rows of :func:`audited`."""
     found = object_findings(rows, objects, dialect)
     per_row = found.groupBy("target", "version").agg(
         F.array_sort(F.collect_list(F.struct("pos", "message"))).alias("_found")
@@ -142,6 +153,12 @@ def drift_counts(report: DataFrame) -> DataFrame:
     )
 
 
+def hash_mismatches(rows: DataFrame) -> DataFrame:
+    """(target, n_mismatch) from rows of :func:`audited`; here a missing script counts as a mismatch."""
+    gone = F.col("file").isNull()
+    return rows.groupBy("target").agg(F.count_if(F.col("hashed") & (F.col("edited") | gone)).alias("n_mismatch"))
+
+
 def unverifiable(targets: DataFrame, ledger: DataFrame) -> DataFrame:
     """Targets that cannot be verified as their ledger holds nothing, with the reason."""
     empty = targets.select("target").join(ledger.select("target").distinct(), "target", "left_anti")
