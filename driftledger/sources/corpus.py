@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from posixpath import basename
+from urllib.parse import unquote
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -14,6 +17,8 @@ def scan_files(spark: SparkSession, path: str) -> DataFrame:
     """``(filename, body)`` of the files directly in a folder; an absent folder has none.
 
     The body is the file's bytes taken as text without any change, so its hash is the file's hash.
+    Spark skips empty files when it reads; their names come from the scan's file listing, which
+    the driver holds anyway. Beyond what one folder can hold, keep the corpus as a table.
     """
     try:
         files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(path)
@@ -21,9 +26,12 @@ def scan_files(spark: SparkSession, path: str) -> DataFrame:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], "filename string, body string")
-    return files.select(
+    read = files.select(
         F.regexp_extract("path", r"[^/]+\z", 0).alias("filename"), F.col("content").cast("string").alias("body")
     )
+    listed = [(unquote(basename(path)),) for path in files.inputFiles()]
+    names = spark.createDataFrame(listed, "filename string")
+    return names.join(read, "filename", "left").select("filename", F.coalesce("body", F.lit("")).alias("body"))
 
 
 def corpus_from_files(files: DataFrame) -> DataFrame:

@@ -13,8 +13,9 @@ NOW = dt.datetime(2026, 1, 15, 10, 0, 0)
 
 
 @pytest.fixture(scope="session")
-def spark():
-    return local_session(4)
+def spark(tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("shared"))
+    return local_session(4, **{"spark.checkpoint.dir": folder, "spark.sql.warehouse.dir": f"{folder}/warehouse"})
 
 
 @pytest.fixture(scope="session")
