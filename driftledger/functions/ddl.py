@@ -84,19 +84,19 @@ def executable_text(body: Column, dialect: str | Dialect) -> Column:
 
 
 def _objects(text: Column, pattern: str, default_schema: str) -> Column:
-    # The text is scanned once; the groups are then read from the short matches.
+    # The text is scanned once; the short matches are then split into their three groups.
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    groups = F.transform(matches, lambda m: F.split(F.regexp_replace(m, pattern, "$1.$2.$3"), r"\."))
 
-    def ref(match: Column) -> Column:
-        kind = F.lower(F.regexp_extract(match, pattern, 1))
-        schema = F.regexp_extract(match, pattern, 2)
+    def ref(g: Column) -> Column:
+        kind, schema, name = (F.get(g, F.lit(i)) for i in range(3))
         return F.struct(
             F.when(schema == "", F.lit(default_schema)).otherwise(schema).alias("schema"),
-            F.regexp_extract(match, pattern, 3).alias("name"),
-            F.when(kind == "proc", F.lit("procedure")).otherwise(kind).alias("kind"),
+            name.alias("name"),
+            F.when(F.lower(kind) == "proc", F.lit("procedure")).otherwise(F.lower(kind)).alias("kind"),
         )
 
-    return F.transform(matches, ref)
+    return F.transform(groups, ref)
 
 
 def created(text: Column, dialect: str | Dialect) -> Column:

@@ -29,16 +29,21 @@ def is_blank(text: Column) -> Column:
     return ~text.rlike(r"(?U)\S")
 
 
+def keep_if(value: Column, condition) -> Column:
+    """``value`` where ``condition(value)`` holds, else NULL; the value is evaluated once."""
+    return F.get(F.filter(F.array(value), condition), F.lit(0))
+
+
 def parse_uint64(digits: Column) -> Column:
     """Digits as decimal(20,0), NULL when they are no unsigned 64-bit number."""
-    number = F.when(digits.rlike(r"\A[0-9]+\z"), digits).try_cast("decimal(38,0)")
-    return F.when(number <= F.lit(MAX_UINT64).cast("decimal(38,0)"), number).cast("decimal(20,0)")
+    number = keep_if(digits, lambda d: d.rlike(r"\A[0-9]+\z")).try_cast("decimal(38,0)")
+    return keep_if(number, lambda n: n <= F.lit(MAX_UINT64).cast("decimal(38,0)")).cast("decimal(20,0)")
 
 
 def parse_script_name(filename: Column, pattern: str = LOADER_NAME) -> Column:
     """``struct<version decimal(20,0), direction string>``; both NULL when the name is not a script's."""
     direction_group = 2 if pattern == LOADER_NAME else 3
-    direction = F.nullif(F.regexp_extract(filename, pattern, direction_group), F.lit(""))
+    direction = keep_if(F.regexp_extract(filename, pattern, direction_group), lambda d: d != "")
     return F.struct(
         parse_uint64(F.regexp_extract(filename, pattern, 1)).alias("version"),
         direction.alias("direction"),

@@ -144,7 +144,7 @@ def pending(
         return placed.filter("position IS NULL OR version > position").drop("position", "_dirty")
     scripts = script_keys_above(scripts.select("version", *columns))
     targets = cursor_keys_above(places.filter(~F.col("_dirty")) if skip_dirty else places)
-    return targets.join(scripts, KEYS).select("target", "version", *columns)
+    return lookup(targets, scripts, KEYS, ["target"], "inner").select("target", "version", *columns)
 
 
 def pending_summary(corpus: DataFrame, cursor: DataFrame) -> DataFrame:
@@ -158,7 +158,7 @@ def pending_summary(corpus: DataFrame, cursor: DataFrame) -> DataFrame:
         per_key = script_keys_above(corpus_up(corpus).select("version", "filename")).groupBy(*KEYS)
         per_key = per_key.agg(F.count(F.lit(1)).alias("n"), first)
         keys = cursor_keys_above(_positions(cursor))
-        counted = keys.join(per_key, KEYS).groupBy("target")
+        counted = lookup(keys, per_key, KEYS, ["target"], "inner").groupBy("target")
         counted = counted.agg(F.sum("n").alias("n_pending"), F.min("_next").alias("_next"))
     return counted.select(
         "target", "n_pending", F.col("_next.version").alias("next_version"), F.col("_next.filename").alias("next_file")
@@ -166,10 +166,16 @@ def pending_summary(corpus: DataFrame, cursor: DataFrame) -> DataFrame:
 
 
 def pending_scripts(corpus: DataFrame, cursor: DataFrame) -> DataFrame:
-    """Dry run: pending scripts with their text; a dirty target yields one row with ``error`` instead."""
+    """Dry run: pending scripts with their text; a dirty target yields one row with ``error`` instead.
+
+    What is pending is worked out without the text. Where that is little, the text is then picked
+    from the scan without being shuffled.
+    """
     _, dirty = split_dirty(cursor)
-    scripts = pending(corpus, cursor, ["filename", "body"], skip_dirty=True)
-    scripts = scripts.withColumn("error", F.lit(None).cast("string"))
+    wanted = pending(corpus, cursor, skip_dirty=True)
+    files = [*script_keys(corpus), "filename"]
+    scripts = wanted.join(corpus_up(corpus).select(*files, "body"), files)
+    scripts = scripts.select("target", "version", "filename", "body", F.lit(None).cast("string").alias("error"))
     refused = dirty.select(
         "target",
         F.lit(None).cast("bigint").alias("version"),
@@ -188,4 +194,5 @@ def reached(corpus: DataFrame, cursor: DataFrame) -> DataFrame:
         placed = lookup(scripts.select("target", "version"), places, ["target"], ["version"], "inner")
         return placed.filter("version <= position").select("target", "version").distinct()
     keys = script_keys_up_to(scripts.select("version").distinct())
-    return cursor_keys_up_to(_positions(cursor)).join(keys, KEYS).select("target", "version")
+    targets = cursor_keys_up_to(_positions(cursor))
+    return lookup(targets, keys, KEYS, ["target"], "inner").select("target", "version")

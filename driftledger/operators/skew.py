@@ -1,4 +1,4 @@
-"""Joining many rows to one row per key when a few keys hold a large part of the rows.
+"""Joining many rows to few rows per key when some keys hold a large part of the many.
 
 Adaptive execution splits a skewed join only when nothing downstream needs the
 join's partitioning and both inputs come straight from a shuffle. A lookup on
@@ -20,16 +20,17 @@ def row_counts(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def lookup(
     many: DataFrame,
-    one: DataFrame,
+    few: DataFrame,
     keys: list[str],
     salt_by: list[str],
     how: str = "left",
     hot_rows: int | None = None,
     counts: DataFrame | None = None,
 ) -> DataFrame:
-    """Join ``many`` to ``one`` (one row per key) on ``keys``; ``how`` is inner, left, left_semi or left_anti.
+    """Join ``many`` to ``few`` on ``keys``; ``how`` is inner, left, left_semi or left_anti.
 
-    ``salt_by`` names columns of ``many`` that tell the rows of a hot key apart.
+    ``salt_by`` names columns of ``many`` that tell the rows of a hot key apart. The rows of
+    ``few``, mostly one per key, are copied once per salt of a hot key.
     ``counts`` (keys, n_rows) saves the counting pass where the caller has the numbers already.
 
     The broadcast list holds only keys with over ``hot_rows`` rows: at most
@@ -45,5 +46,5 @@ def lookup(
     salt = F.coalesce(F.pmod(F.xxhash64(*salt_by), F.col("_salts")).cast("int"), F.lit(0))
     last = F.coalesce(F.col("_salts"), F.lit(1)) - 1
     salted = many.join(hot, keys, "left").withColumn("_salt", salt).drop("_salts")
-    copies = one.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), last))).drop("_salts")
+    copies = few.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), last))).drop("_salts")
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")

@@ -28,22 +28,29 @@ def parse_instructions(df: DataFrame, text: str = "instructions") -> DataFrame:
     """One row per part of "version:status,version:status,...": (..., pos, part, version, status, error)."""
     parts = F.split(F.col(text), ",", -1)
 
-    def read(part):
+    def read(part, pos):
         pieces = F.split(part, ":", 2)
         return F.struct(
             part.alias("part"),
+            pos.alias("pos"),
             F.size(pieces).alias("n"),
             F.get(pieces, F.lit(0)).alias("number"),
             F.get(pieces, F.lit(1)).alias("status"),
             parse_uint64(F.get(pieces, F.lit(0))).alias("version"),
         )
 
+    def repeated(sorted_parts):
+        """Positions of the parts whose version an earlier part has; sorting brings equal versions together."""
+        same = F.filter(sorted_parts, lambda p, i: p["version"] == F.get(sorted_parts, i - 1)["version"])
+        return F.transform(same, lambda p: p["pos"])
+
     rows = df.withColumn("_parts", F.transform(parts, read))
-    rows = rows.withColumn("_versions", F.col("_parts.version"))
+    by_version = F.transform("_parts", lambda p: F.struct(p["version"].alias("version"), p["pos"].alias("pos")))
+    rows = rows.withColumn("_sorted", F.array_sort(by_version)).withColumn("_repeated", repeated(F.col("_sorted")))
     keep = [c for c in df.columns if c != text]
-    rows = explode_rows(rows, [*keep, "_versions"], F.col("_parts")).select(*keep, "_versions", "pos", "item.*")
+    rows = explode_rows(rows, [*keep, "_repeated"], F.col("_parts"), "_pos").select(*keep, "_repeated", "item.*")
     valid = F.col("status").isin(M.APPLIED, M.REVERTED)
-    earlier = F.array_position("_versions", F.col("version")) <= F.col("pos")
+    earlier = F.array_contains("_repeated", F.col("pos"))
     error = (
         F.when(F.col("n") < 2, F.format_string('invalid version:status pair "%s"', "part"))
         .when(F.col("version").isNull(), F.format_string('invalid version "%s" in pair "%s"', "number", "part"))
