@@ -25,6 +25,6 @@ RULE_VERSION = "invalid-version-number"
 RULE_EMPTY = "empty-migration-file"
 RULE_DUPLICATE = "duplicate-version-number"
 LINT_FILENAME = "filename must match '{timestamp}_{name}.up.sql' or '{timestamp}_{name}.down.sql'"
-LINT_VERSION = 'cannot parse version number "%s": value out of range'
+LINT_VERSION = 'cannot parse version number "%s": strconv.ParseUint: parsing "%s": value out of range'
 LINT_EMPTY = "migration file is empty"
 LINT_DUPLICATE = "version %s is duplicated across multiple files: %s"

@@ -154,9 +154,16 @@ def soft_reverted(ledger: DataFrame, steps: int = 1) -> DataFrame:
     return last_applied(ledger, steps).join(applied, "target").filter(F.col("step") <= taken).select(*KEYS)
 
 
-def soft_revert(ledger: DataFrame, now: dt.datetime, steps: int = 1) -> DataFrame:
-    """Mark the last versions reverted in the ledger only; no script is looked at."""
-    return upsert(ledger, _changes(soft_reverted(ledger, steps), M.REVERTED, now, M.NOTE_SOFT_REVERTED))
+def soft_revert(ledger: DataFrame, now: dt.datetime, steps: int = 1, cursor: DataFrame | None = None) -> DataFrame:
+    """Mark the last versions reverted in the ledger only; no script is looked at.
+
+    With a cursor given, targets where it is dirty stay as they are.
+    """
+    taken = soft_reverted(ledger, steps)
+    if cursor is not None:
+        _, dirty = split_dirty(cursor)
+        taken = taken.join(dirty.select("target"), "target", "left_anti")
+    return upsert(ledger, _changes(taken, M.REVERTED, now, M.NOTE_SOFT_REVERTED))
 
 
 def record_applied(ledger: DataFrame, corpus: DataFrame, cursor: DataFrame, now: dt.datetime) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from driftledger import messages as M
 from driftledger.operators.ledger import backfill, record_applied, record_reverted, recompute_cursor, soft_revert
-from driftledger.operators.scripts import split_dirty
+from driftledger.operators.scripts import pending, split_dirty
 from driftledger.schemas import CURSOR, conform
 
 
@@ -22,25 +22,26 @@ class Recorded(NamedTuple):
     refused: DataFrame  # dirty targets with the reason
 
 
-def _recorded(ledger: DataFrame, cursor: DataFrame) -> Recorded:
-    """Dirty targets keep their cursor, whatever the ledger says."""
-    clean, dirty = split_dirty(conform(cursor, CURSOR))
-    moved = recompute_cursor(ledger, clean).join(dirty.select("target"), "target", "left_anti")
-    return Recorded(ledger, moved.unionByName(dirty.drop("error")), dirty)
-
-
 def apply_pending(ledger: DataFrame, corpus: DataFrame, cursor: DataFrame, now: dt.datetime) -> Recorded:
     """Backfill, then record every pending script as applied. The cursor moves to the last of them."""
-    return _recorded(record_applied(backfill(ledger, corpus, cursor), corpus, cursor, now), cursor)
+    cursor = conform(cursor, CURSOR)
+    last = pending(corpus, cursor, [], skip_dirty=True).groupBy("target").agg(F.max("version").alias("_last"))
+    moved = cursor.join(last, "target", "full").select(
+        "target",
+        F.coalesce("_last", "version").alias("version"),
+        (F.coalesce("dirty", F.lit(False)) & F.col("_last").isNull()).alias("dirty"),
+    )
+    _, refused = split_dirty(cursor)
+    return Recorded(record_applied(backfill(ledger, corpus, cursor), corpus, cursor, now), moved, refused)
 
 
 def rollback(ledger: DataFrame, corpus: DataFrame, cursor: DataFrame, now: dt.datetime, steps: int = 1) -> Recorded:
     """Backfill, then mark the last applied versions reverted without running down scripts."""
-    clean, dirty = split_dirty(conform(cursor, CURSOR))
-    synced = backfill(ledger, corpus, cursor)
-    frozen = synced.join(dirty.select("target"), "target", "left_semi")
-    open_rows = synced.join(dirty.select("target"), "target", "left_anti")
-    return _recorded(soft_revert(open_rows, now, steps).unionByName(frozen), cursor)
+    cursor = conform(cursor, CURSOR)
+    _, dirty = split_dirty(cursor)
+    after = soft_revert(backfill(ledger, corpus, cursor), now, steps, cursor)
+    moved = recompute_cursor(after, cursor).join(dirty.select("target"), "target", "left_anti")
+    return Recorded(after, moved.unionByName(dirty.drop("error")), dirty)
 
 
 def run_down(ledger: DataFrame, corpus: DataFrame, cursor: DataFrame, now: dt.datetime, steps: int = 1) -> Recorded:

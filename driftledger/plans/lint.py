@@ -30,7 +30,7 @@ def _single_file_findings(parsed: DataFrame) -> DataFrame:
     digits = F.regexp_extract("filename", LINT_NAME, 1)
     findings: list[tuple[Column, str, Column]] = [
         (F.col("_name.direction").isNull(), M.RULE_FILENAME, F.lit(M.LINT_FILENAME)),
-        (F.col("version").isNull(), M.RULE_VERSION, F.format_string(M.LINT_VERSION, digits)),
+        (F.col("version").isNull(), M.RULE_VERSION, F.format_string(M.LINT_VERSION, digits, digits)),
         (is_blank(F.col("body")), M.RULE_EMPTY, F.lit(M.LINT_EMPTY)),
     ]
     first = F.coalesce(*[F.when(c, F.struct(F.lit(rule).alias("rule"), m.alias("message"))) for c, rule, m in findings])

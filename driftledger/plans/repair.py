@@ -52,10 +52,10 @@ def parse_instructions(df: DataFrame, text: str = "instructions") -> DataFrame:
     valid = F.col("status").isin(M.APPLIED, M.REVERTED)
     earlier = F.array_contains("_repeated", F.col("pos"))
     error = (
-        F.when(F.col("n") < 2, F.format_string('invalid version:status pair "%s"', "part"))
+        F.when(F.col("n") < 2, F.format_string('invalid version:status pair "%s" (want VERSION:applied or VERSION:reverted)', "part"))
         .when(F.col("version").isNull(), F.format_string('invalid version "%s" in pair "%s"', "number", "part"))
-        .when(~valid, F.format_string('invalid status "%s" in pair "%s"', "status", "part"))
-        .when(earlier, F.format_string("duplicate version %s", F.col("version").cast("string")))
+        .when(~valid, F.format_string('invalid status "%s" in pair "%s" (want applied or reverted)', "status", "part"))
+        .when(earlier, F.format_string("duplicate version %s in repair args", F.col("version").cast("string")))
         .when(F.col("version").try_cast("bigint").isNull(), F.format_string('version "%s" is out of range', "number"))
     )
     return rows.select(*keep, "pos", "part", F.col("version").try_cast("bigint").alias("version"), "status", error.alias("error"))
@@ -98,8 +98,8 @@ def repair(
 ) -> Repaired:
     """Write the instructed statuses, for each target all of them or none, then recompute its cursor.
 
-    The ledger is backfilled first. A target with a violation, or a dirty cursor, keeps its
-    statuses and cursor; so does the cursor of a target without instructions.
+    The ledgers of the instructed targets are backfilled first. A target with a violation, or a
+    dirty cursor, keeps its statuses and cursor; other targets are not touched at all.
     """
     instructions = conform(instructions, INSTRUCTIONS)
     _, dirty = split_dirty(cursor)
@@ -108,7 +108,8 @@ def repair(
     refused = dirty.join(asked, "target", "left_semi").select("target", "version", "error")
     violations = share(violations.unionByName(refused), "violations")
     granted = lookup(instructions, blocked_targets(violations), ["target"], ["version"], "left_anti")
-    new_ledger = set_status(backfill(ledger, corpus, cursor), granted, now)
+    synced = backfill(ledger, corpus, conform(cursor, CURSOR).join(asked, "target", "left_semi"))
+    new_ledger = set_status(synced, granted, now)
 
     touched = asked.join(blocked_targets(violations), "target", "left_anti").withColumn("_touched", F.lit(True))
     before = conform(cursor, CURSOR).select("target", F.col("version").alias("_was"), F.col("dirty").alias("_was_dirty"))

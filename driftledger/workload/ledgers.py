@@ -116,19 +116,36 @@ def record_reverted(t):
     return _text(L.record_reverted(t.ledger_d, t.both_d, t.cursor_d, NOW, 2))
 
 
+@query(f"""
+    WITH {O.WAITING.strip()},
+    steps AS (SELECT w.target, max(w.version) AS version FROM waiting w JOIN cursor_d c USING (target)
+              WHERE c.version IS NULL OR NOT c.dirty GROUP BY 1)
+    SELECT c.target, coalesce(s.version, c.version) AS version, c.dirty AND s.version IS NULL AS dirty
+    FROM cursor_d c LEFT JOIN steps s USING (target)""")
+def apply_cursor(t):
+    return flows.apply_pending(t.ledger_d, t.both_d, t.cursor_d, NOW).cursor
+
+
 @query(f"""
     WITH {O.SYNCED.strip()},
     {O.WAITING.strip()},
     changes AS (SELECT w.target, w.version, 'applied' AS status, cast({NOW_TEXT} AS timestamp) AS recorded_at, 'applied via up/push' AS note,
                        sha256(w.body) AS content_sha256
-                FROM waiting w JOIN cursor_d c USING (target) WHERE c.version IS NULL OR NOT c.dirty),
-    after AS ({O.upserted('synced', 'changes')})
+                FROM waiting w JOIN cursor_d c USING (target) WHERE c.version IS NULL OR NOT c.dirty)
+    SELECT {O.LEDGER_TEXT} FROM ({O.upserted('synced', 'changes')})""")
+def apply_ledger(t):
+    return _text(flows.apply_pending(t.ledger_d, t.both_d, t.cursor_d, NOW).ledger)
+
+
+@query(f"""
+    WITH {O.SYNCED.strip()},
+    applied AS (SELECT target, version, row_number() OVER (PARTITION BY target ORDER BY version DESC) AS step FROM synced WHERE status = 'applied'),
+    after AS (SELECT target, max(version) AS version FROM applied WHERE step > 1 GROUP BY 1)
     SELECT c.target, CASE WHEN c.dirty AND c.version IS NOT NULL THEN c.version ELSE coalesce(a.version, c.version) END AS version,
            c.dirty AND (c.version IS NOT NULL OR a.version IS NULL) AS dirty
-    FROM cursor_d c LEFT JOIN (SELECT target, max(version) AS version FROM after WHERE status = 'applied' GROUP BY 1) a USING (target)""")
-def apply_cursor(t):
-    return flows.apply_pending(t.ledger_d, t.both_d, t.cursor_d, NOW).cursor
-
+    FROM cursor_d c LEFT JOIN after a USING (target)""")
+def rollback_cursor(t):
+    return flows.rollback(t.ledger_d, t.both_d, t.cursor_d, NOW).cursor
 
 @query(f"""
     WITH {O.SYNCED.strip()},
@@ -158,7 +175,7 @@ def run_down_cursor(t):
 
 
 _INSTRUCTED = f"""
-    {O.SYNCED.strip()},
+    {O.SYNCED.strip().replace("WHERE NOT c.dirty", "WHERE target IN (SELECT target FROM wanted_d) AND NOT c.dirty")},
     creates AS ({O.objects(O.CREATE, "pg")}),
     bad AS (
         SELECT w.target, w.version, concat('version ', w.version, ' does not match any migration file in corpus') AS error
@@ -203,11 +220,11 @@ def repair_cursor(t):
     numbered AS (SELECT *, CASE WHEN regexp_full_match(number, '[0-9]+') AND try_cast(number AS hugeint) <= 18446744073709551615
                                 THEN try_cast(number AS hugeint) END AS n FROM halves)
     SELECT target, cast(pos AS int) AS pos, part, try_cast(n AS bigint) AS version, status,
-           CASE WHEN colon = 0 THEN concat('invalid version:status pair "', part, '"')
+           CASE WHEN colon = 0 THEN concat('invalid version:status pair "', part, '" (want VERSION:applied or VERSION:reverted)')
                 WHEN n IS NULL THEN concat('invalid version "', number, '" in pair "', part, '"')
-                WHEN status NOT IN ('applied', 'reverted') THEN concat('invalid status "', status, '" in pair "', part, '"')
+                WHEN status NOT IN ('applied', 'reverted') THEN concat('invalid status "', status, '" in pair "', part, '" (want applied or reverted)')
                 WHEN EXISTS (SELECT 1 FROM numbered e WHERE e.target = numbered.target AND e.pos < numbered.pos AND e.n = numbered.n)
-                THEN concat('duplicate version ', n) END AS error
+                THEN concat('duplicate version ', n, ' in repair args') END AS error
     FROM numbered""")
 def parse_instructions(t):
     return R.parse_instructions(t.instructions_d)

@@ -148,7 +148,7 @@ _LINT = "^(\\d+)_([a-zA-Z0-9_-]+)\\.(up|down)\\.sql$"
                CASE WHEN direction = '' THEN 'invalid-filename-format' WHEN version IS NULL THEN 'invalid-version-number'
                     WHEN regexp_full_match(body, '[\\s\\x0b\\x{{85}}\\p{{Z}}]*') THEN 'empty-migration-file' END AS rule,
                CASE WHEN direction = '' THEN 'filename must match ''{{timestamp}}_{{name}}.up.sql'' or ''{{timestamp}}_{{name}}.down.sql'''
-                    WHEN version IS NULL THEN concat('cannot parse version number "', digits, '": value out of range')
+                    WHEN version IS NULL THEN concat('cannot parse version number "', digits, '": strconv.ParseUint: parsing "', digits, '": value out of range')
                     ELSE 'migration file is empty' END AS message
         FROM parsed) WHERE rule IS NOT NULL
     UNION ALL

@@ -108,7 +108,7 @@ def test_lint(spark):
             ("2_blank.up.sql", M.RULE_EMPTY, M.LINT_EMPTY),
             ("no_version.sql", M.RULE_FILENAME, M.LINT_FILENAME),
             ("3_sp ace.up.sql", M.RULE_FILENAME, M.LINT_FILENAME),
-            ("18446744073709551616_big.up.sql", M.RULE_VERSION, M.LINT_VERSION % "18446744073709551616"),
+            ("18446744073709551616_big.up.sql", M.RULE_VERSION, M.LINT_VERSION % (("18446744073709551616",) * 2)),
         ],
         key=repr,
     )
@@ -129,12 +129,12 @@ def test_instructions(spark):
     parsed = R.parse_instructions(df)
     errors = {r["target"]: r["error"] for r in parsed.filter("error IS NOT NULL").collect()}
     assert errors == {
-        "2": 'invalid status "done" in pair "1:done"',
+        "2": 'invalid status "done" in pair "1:done" (want applied or reverted)',
         "3": 'invalid version "x" in pair "x:applied"',
-        "4": 'invalid version:status pair "1"',
-        "5": "duplicate version 1",
-        "6": 'invalid version:status pair ""',
-        "7": 'invalid status "applied:" in pair "1:applied:"',
+        "4": 'invalid version:status pair "1" (want VERSION:applied or VERSION:reverted)',
+        "5": "duplicate version 1 in repair args",
+        "6": 'invalid version:status pair "" (want VERSION:applied or VERSION:reverted)',
+        "7": 'invalid status "applied:" in pair "1:applied:" (want applied or reverted)',
         "8": 'version "9223372036854775808" is out of range',
     }
     assert rows(R.accepted_instructions(parsed)) == [("0", 1, "applied"), ("1", 1, "applied"), ("1", 2, "reverted")]
