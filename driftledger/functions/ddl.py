@@ -11,8 +11,6 @@ from driftledger.functions.text import WS
 
 NAME = "([A-Za-z_][A-Za-z0-9_]*)"
 
-OBJECT_ARRAY = "array<struct<schema:string,name:string,kind:string>>"
-
 
 @dataclass(frozen=True)
 class Dialect:

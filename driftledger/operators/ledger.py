@@ -13,6 +13,10 @@ from driftledger.schemas import CURSOR, LEDGER, conform
 
 KEYS = ["target", "version"]
 
+# Default of spark.sql.optimizer.windowGroupLimitThreshold.
+GROUP_LIMIT = 1000
+SLICES = 256
+
 
 def timestamp(now: dt.datetime | None) -> Column:
     """A point in time; without a zone it is wall-clock time of the session's zone."""
@@ -104,12 +108,20 @@ def recompute_cursor(ledger: DataFrame, cursor: DataFrame) -> DataFrame:
 def last_applied(ledger: DataFrame, steps: int) -> DataFrame:
     """The ``steps`` highest applied versions per target with their ``step``, 1 being the newest.
 
-    The rank filter is pushed into the sort on both sides of the shuffle, so each task hands
-    on at most ``steps`` rows per target, however many a target has.
+    Spark applies a rank limit of up to 1,000 on both sides of the shuffle, so each task hands on
+    at most ``steps`` rows per target, however many a target has. For higher limits the rows of a
+    target are first ranked in slices.
     """
-    newest_first = Window.partitionBy("target").orderBy(F.desc("version"))
-    ranked = applied_versions(ledger).withColumn("step", F.row_number().over(newest_first))
-    return ranked.filter(F.col("step") <= steps)
+    applied = applied_versions(ledger)
+    if steps > GROUP_LIMIT:
+        sliced = applied.withColumn("_slice", F.pmod(F.xxhash64("version"), F.lit(SLICES)))
+        applied = _ranked(sliced, ["target", "_slice"], steps).select(*KEYS)
+    return _ranked(applied, ["target"], steps)
+
+
+def _ranked(versions: DataFrame, keys: list[str], steps: int) -> DataFrame:
+    newest_first = Window.partitionBy(*keys).orderBy(F.desc("version"))
+    return versions.withColumn("step", F.row_number().over(newest_first)).filter(F.col("step") <= steps)
 
 
 def down_plan(ledger: DataFrame, corpus: DataFrame, steps: int = 1, location: str = "corpus") -> DataFrame:

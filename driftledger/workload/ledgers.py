@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from driftledger.operators import ledger as L
@@ -147,6 +149,7 @@ def apply_ledger(t):
 def rollback_cursor(t):
     return flows.rollback(t.ledger_d, t.both_d, t.cursor_d, NOW).cursor
 
+
 @query(f"""
     WITH {O.SYNCED.strip()},
     applied AS (SELECT target, version, row_number() OVER (PARTITION BY target ORDER BY version DESC) AS step FROM synced WHERE status = 'applied'
@@ -288,6 +291,6 @@ def ledger_round_trip(t):
     folder = shared_folder(t.session)
     if folder is None:
         return _text(sources.as_ledger(t.ledger_d))
-    path = f"{folder}/ledger_round_trip"
+    path = f"{folder}/ledger_round_trip-{uuid.uuid4().hex}"
     sources.write_ledger(t.ledger_d, path)
     return _text(sources.read_ledger(t.session, path))

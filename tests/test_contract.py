@@ -12,6 +12,10 @@ def column(spark, function, *values):
     return [r[0] for r in df.select(function(F.col("v")).alias("r"), "i").orderBy("i").select("r").collect()]
 
 
+def test_reserved_words():
+    assert len(naming.keyword.kwlist) == 35 and len(naming.WEB_RESERVED) == len(set(naming.WEB_RESERVED)) == 47
+
+
 def test_names(spark):
     given = ["fact_widget_sale", "trade-log", "2fa_codes", "user id", "a.B", "a$b", "__", ""]
     assert column(spark, naming.pascal_case, *given) == ["FactWidgetSale", "TradeLog", "_2faCodes", "UserId", "AB", "A$b", "Empty", "Empty"]

@@ -125,6 +125,14 @@ def test_revert_is_all_or_nothing_per_target(make):
     assert rows(L.record_reverted(ledger, corpus, cursor, NOW, 0), "target", "version", "status") == rows(after, "target", "version", "status")
 
 
+def test_many_steps_are_ranked_in_slices(make, monkeypatch):
+    ledger = make.ledger([("a", v, "applied") for v in range(40)] + [("b", 7, "applied")])
+    direct = rows(L.last_applied(ledger, 25))
+    monkeypatch.setattr(L, "GROUP_LIMIT", 10)
+    monkeypatch.setattr(L, "SLICES", 3)
+    assert rows(L.last_applied(ledger, 25)) == direct and len(direct) == 26
+
+
 @pytest.mark.parametrize("steps", [-1, 0, 1, 2, 3, 9])
 def test_soft_revert_and_cursor_against_replay(make, steps):
     rng = random.Random(steps)
