@@ -10,28 +10,22 @@ from driftledger.sources.shared import share
 OBJECT = ["schema", "name", "kind"]
 
 
-def object_key(ignore_schema: bool = False, case_sensitive: bool = True) -> list[Column]:
-    """Identity of an object: target, schema, name and kind, or fewer where a dialect looks at fewer."""
-    parts = [c for c in OBJECT if not (ignore_schema and c == "schema")]
-    return [F.col("target").alias("k_target")] + [
-        (F.col(c) if case_sensitive else F.lower(F.col(c))).alias(f"k_{c}") for c in parts
-    ]
-
-
 def _keyed(df: DataFrame, ignore_schema: bool, case_sensitive: bool) -> tuple[DataFrame, list[str]]:
-    keys = object_key(ignore_schema, case_sensitive)
-    return df.select("*", *keys), [k for k in ("k_target", "k_schema", "k_name", "k_kind") if not (ignore_schema and k == "k_schema")]
+    """Add the identity of an object: target, schema, name and kind, or less where a dialect looks at less."""
+    parts = ["target", *(c for c in OBJECT if not (ignore_schema and c == "schema"))]
+    exact = [c for c in parts if case_sensitive or c == "target"]
+    keys = {f"k_{c}": F.col(c) if c in exact else F.lower(F.col(c)) for c in parts}
+    return df.withColumns(keys), list(keys)
 
 
 def _match(claims: DataFrame, objects: DataFrame, how: str, ignore_schema: bool, case_sensitive: bool) -> DataFrame:
     # Claims come out of script text; they are read for the match and for counting.
     many, keys = _keyed(share(claims, "claims"), ignore_schema, case_sensitive)
     there, _ = _keyed(objects, ignore_schema, case_sensitive)
-    there = there.select(*keys).distinct().withColumn("_there", F.lit(True))
-    salt_by = [c for c in ("version", "pos") if c in claims.columns] or ["k_target"]
-    if how in ("left_semi", "left_anti"):
-        there = there.drop("_there")
-    return lookup(many, there, keys, salt_by, how).drop(*keys)
+    there = there.select(*keys).distinct()
+    if how == "left":
+        there = there.withColumn("_there", F.lit(True))
+    return lookup(many, there, keys, claims.columns, how).drop(*keys)
 
 
 def object_exists(
