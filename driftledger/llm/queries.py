@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftledger.llm import mixing, neardup, sharding, toxicity
+from driftledger.llm import decontaminate, mixing, neardup, sharding, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,4 +38,11 @@ def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op5_toxicity, op6_near_duplicates, op7_shard)}
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that each document holds."""
+    return decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op5_toxicity, op6_near_duplicates, op7_shard, op8_decontaminate)}
+
+ORACLES: dict[str, str] = {}

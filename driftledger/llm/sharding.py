@@ -77,8 +77,8 @@ def minimax_cuts(groups: DataFrame, shards: int, cells: int = CELLS) -> list[int
                 windows.append((a, b))
 
 
-def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
-    """(doc_id, size, text_crc32, shard, slot): documents with equal texts go together, and the largest shard is as small as
+def shard(docs: DataFrame, shards: int = 8, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, carried columns, size, text_crc32, shard, slot): documents with equal texts go together, and the largest shard is as small as
     cutting the groups in the order of their hashes allows.
 
     The size is the UTF-8 length plus 1. A null text has size 1, no CRC, and shares a group with other null texts only. A
@@ -88,6 +88,7 @@ def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
     narrow = stored(
         docs.select(
             "doc_id",
+            F.struct(F.lit(1).alias("none"), *carried).alias("carried"),
             (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias("size"),
             F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
             F.coalesce(F.unhex(F.sha2(F.col("text").cast("binary"), 256)), F.lit(b"")).alias("group"),
@@ -101,5 +102,5 @@ def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
     placed = placed.withColumn("shard", F.size(F.filter(of, lambda c: c <= F.col("start"))).cast("int") if cuts else F.lit(0))
     firsts = placed.groupBy("shard").agg(F.min("number").alias("first"))
     return placed.join(F.broadcast(firsts), "shard").select(  # one row per shard
-        "doc_id", "size", "text_crc32", "shard", (F.col("number") - F.col("first")).alias("slot")
+        "doc_id", *[F.col("carried")[c].alias(c) for c in carried], "size", "text_crc32", "shard", (F.col("number") - F.col("first")).alias("slot")
     )
