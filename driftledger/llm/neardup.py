@@ -18,10 +18,11 @@ SHINGLE = 5
 SHARE, PER = 75, 100
 #: A pair at similarity 0.75 shares none of 32 bands of 4 rows with probability 5e-6.
 BANDS, ROWS = 32, 4
-#: Signature values that are compared before each decision, and the chance of dropping a similar pair at one.
-BATCH, MISS = 32, 1e-7
+#: Values of the signature after which a pair may be dropped; those beyond the bands exist for candidates only. And the
+#: chance of dropping a similar pair at one of these decisions.
+STEPS, MISS = (32, 64, 96, 128, 256, 512), 1e-5
 #: Members of a bucket that one task compares with as many others.
-BLOCK = 256
+BLOCK = 1024
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -38,14 +39,14 @@ def _signature(found: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return hashing.mixed(least).astype(np.uint16)
 
 
-def least_agreements(threshold: float = SHARE / PER, total: int = BANDS * ROWS, batch: int = BATCH, miss: float = MISS) -> dict[int, int]:
+def least_agreements(threshold: float = SHARE / PER, steps: tuple[int, ...] = STEPS, miss: float = MISS) -> dict[int, int]:
     """After n compared values, the fewest agreements with which a pair stays.
 
     With a flat prior the similarity given m of n agreements is Beta(m + 1, n - m + 1), and the chance that it reaches the
     threshold is that of at most m successes in n + 1 trials of that probability. Below ``miss`` a pair is dropped.
     """
     found = {}
-    for n in range(batch, total + 1, batch):
+    for n in steps:
         below, m = 0.0, -1
         while below < miss:
             m += 1
@@ -54,11 +55,27 @@ def least_agreements(threshold: float = SHARE / PER, total: int = BANDS * ROWS,
     return found
 
 
+def _survivors(x: np.ndarray, y: np.ndarray, rows: np.ndarray, bounds: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Of the rows at which ``x`` and ``y`` are compared, batch by batch, those that stay, and all rows' agreements."""
+    agree, done = np.zeros(len(y), np.int64), 0
+    for n, least in bounds.items():
+        if n > y.shape[1]:
+            break
+        agree[rows] += (x[rows, done:n] == y[rows, done:n]).sum(axis=1)
+        rows, done = rows[agree[rows] >= least], n
+    return rows, agree
+
+
+def _functions() -> tuple[np.ndarray, np.ndarray]:
+    """Factors and summands of all hash functions, the same in every task."""
+    random = np.random.default_rng(20240607)
+    a, b = random.integers(0, 1 << 63, (2, STEPS[-1]), dtype=np.uint64)
+    return a * np.uint64(2) + np.uint64(1), b
+
+
 def signatures(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, fingerprint, signature): 128 values of 16 bits in 32 longs, one for each band."""
-    random = np.random.default_rng(20240607)
-    a = random.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    b = random.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+    a, b = (x[: BANDS * ROWS] for x in _functions())
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,9 +98,9 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n_shingles long, fingerprint binary, signature array<long>")
 
 
-def _values(column: pa.Array) -> np.ndarray:
-    """Signatures of a batch as a matrix of 16-bit values."""
-    return column.flatten().to_numpy(zero_copy_only=False).view(np.uint16).reshape(len(column), -1)
+def _longs(column: pa.Array) -> np.ndarray:
+    """Signatures of a batch as a matrix with a column for each band."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), BANDS)
 
 
 def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -92,11 +109,8 @@ def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = _values(batch["sa"]), _values(batch["sb"])
-            rows, agree = np.arange(len(x)), np.zeros(len(x), np.int64)
-            for n, least in bounds.items():
-                agree[rows] += (x[rows, n - BATCH : n] == y[rows, n - BATCH : n]).sum(axis=1)
-                rows = rows[agree[rows] >= least]
+            x, y = (_longs(batch[c]).view(np.uint16) for c in ("sa", "sb"))
+            rows, agree = _survivors(x, y, np.arange(len(x)), bounds)
             yield pa.RecordBatch.from_arrays([batch["a"].take(pa.array(rows)), batch["b"].take(pa.array(rows)), pa.array(agree[rows])], names=["a", "b", "agree"])
 
     left = nodes.select(F.col("uid").alias("a"), F.col("signature").alias("sa"))
@@ -148,7 +162,14 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
-def _across(members: DataFrame, comps: DataFrame, nodes: DataFrame) -> DataFrame:
+def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are not in one component."""
+    side = lambda c: comps.select(F.col("uid").alias(c), F.col("component").alias(f"c{c}"))
+    both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
+def _across(members: DataFrame, comps: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
     """Likely pairs within buckets whose members are in several components, between components.
 
     A bucket's first member has been compared with all others already. The others are dealt into blocks; each pair of blocks
@@ -162,28 +183,26 @@ def _across(members: DataFrame, comps: DataFrame, nodes: DataFrame) -> DataFrame
     blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("uid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.select("uid", "comp", *bucket, "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    rows = rows.join(nodes.select("uid", "signature"), "uid")
+    rows = rows.join(nodes.select("uid", "signature"), "uid").join(sets.select("uid", "more"), "uid")
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         uid, comp, own = (table[c].to_numpy() for c in ("uid", "comp", "own"))
-        signs = table["signature"].combine_chunks()
-        values = _values(signs.chunk(0) if isinstance(signs, pa.ChunkedArray) else signs)
+        bands, band = _longs(table["signature"].chunk(0)), table["band"][0].as_py()
+        values = np.hstack([bands.view(np.uint16), np.frombuffer(b"".join(table["more"].to_pylist()), np.uint16).reshape(len(uid), -1)])
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        found_a, found_b, found_n = [], [], []
-        left = np.flatnonzero(own == i)
-        for x in left:
+        left, right = [], []
+        for x in np.flatnonzero(own == i):
             rows = np.flatnonzero((own == j) & (comp != comp[x]) & ((uid > uid[x]) if i == j else True))
-            agree = np.zeros(len(uid), np.int64)
-            for n, least in bounds.items():
-                agree[rows] += (values[rows, n - BATCH : n] == values[x, n - BATCH : n]).sum(axis=1)
-                rows = rows[agree[rows] >= least]
-            found_a += [min(uid[x], uid[y]) for y in rows]
-            found_b += [max(uid[x], uid[y]) for y in rows]
-            found_n += [agree[y] for y in rows]
-        return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64()), "agree": pa.array(found_n, pa.int64())})
+            # A pair that shares several bands is compared in the first of them.
+            rows = rows[(bands[rows, :band] != bands[x, :band]).all(axis=1)]
+            rows, _ = _survivors(np.broadcast_to(values[x], values.shape), values, rows, bounds)
+            left.append(np.minimum(uid[rows], uid[x]))
+            right.append(np.maximum(uid[rows], uid[x]))
+        join = lambda found: pa.array(np.concatenate(found) if found else [], pa.int64())
+        return pa.table({"a": join(left), "b": join(right)})
 
-    return rows.groupBy(*bucket, "i", "j").applyInArrow(compare, "a long, b long, agree long")
+    return rows.groupBy(*bucket, "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -192,8 +211,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     1. Documents with equal sets are one node, so copies, however many, meet in no comparison.
     2. In each band's bucket every node is compared with the bucket's first. The signatures drop what cannot be similar.
-    3. Each node's best candidate is checked on the full sets. Then follow all candidates that would still join two
-       components: the rest of step 2, and pairs of other members of a bucket whose members are not in one component.
+    3. Each node's best candidate is checked on the full sets. Then follow the other candidates of step 2 that would still
+       join two components, and last the pairs of other members of a bucket whose members are not in one component.
        So a pair that shares a band is left unchecked only if the signatures rule it out or it would change nothing.
 
     A null text, or one without words, has no shingles and is in no link. A row without doc_id is linked with nothing
@@ -210,16 +229,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     needed = stored(members.select("uid").distinct())
     sets = stored(_sets(docs, needed))
-    best = first.groupBy("b").agg(F.max_by("a", F.struct("agree", -F.col("a"))).alias("a"))
+    best = stored(first.groupBy("b").agg(F.max_by("a", F.struct("agree", -F.col("a"))).alias("a")).select("a", "b"))
     links = stored(confirmed(best, sets))
     comps = components(links)
-
-    rest = first.select("a", "b").unionByName(_across(members, comps, nodes).select("a", "b")).distinct()
-    side = lambda c: comps.select(F.col("uid").alias(c), F.col("component").alias(f"c{c}"))
-    apart = rest.join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-    apart = stored(apart.select("a", "b"))
-    more = stored(confirmed(apart.join(best, ["a", "b"], "left_anti"), sets))
-    comps = components(links.unionByName(more))
+    rest = stored(_apart(first.select("a", "b").join(best, ["a", "b"], "left_anti"), comps))
+    links = stored(links.unionByName(confirmed(rest, sets)))
+    comps = components(links)
+    others = stored(_apart(_across(members, comps, nodes, sets).distinct(), comps))
+    comps = components(links.unionByName(confirmed(others, sets)))
 
     found = signed.join(nodes.select("fingerprint", "uid"), "fingerprint", "left").join(comps, "uid", "left")
     smallest = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "uid", "doc_id"))
@@ -229,15 +246,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """(uid, found): the sorted shingle hashes of the documents that some candidate pair may need."""
+    """(uid, found, more): the sorted shingle hashes, and the rest of the signature, of documents in some candidate pair."""
+    a, b = (x[BANDS * ROWS :] for x in _functions())
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingles(t.as_py()).tobytes() for t in batch["text"]]
-            yield pa.RecordBatch.from_arrays([batch["uid"], pa.array(found, pa.binary())], names=["uid", "found"])
+            found = [shingles(t.as_py()) for t in batch["text"]]
+            more = [_signature(x, a, b).tobytes() for x in found]
+            yield pa.RecordBatch.from_arrays([batch["uid"], pa.array([x.tobytes() for x in found], pa.binary()), pa.array(more, pa.binary())], names=["uid", "found", "more"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("uid"), "text").join(needed, "uid", "left_semi")
-    return texts.mapInArrow(collect, "uid long, found binary")
+    return texts.mapInArrow(collect, "uid long, found binary, more binary")
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
