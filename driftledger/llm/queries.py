@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftledger.llm import decontaminate, mixing, neardup, sharding, toxicity
+from driftledger.llm import chat, decontaminate, mixing, neardup, revisits, sharding, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,45 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op5_toxicity, op6_near_duplicates, op7_shard, op8_decontaminate)}
+def captures(pages: DataFrame) -> DataFrame:
+    """A crawl of the pages: each is captured in full at its page_id and answered not modified at two later times, once with
+    the page's own validators and once, on another spelling of the URL, with those that pages of its hundred share."""
+    etag = F.concat(F.lit('"'), F.md5("html"), F.lit('"'))
+    day = F.concat(F.lit("day "), (F.col("page_id") % 7).cast("string"))
+    full = pages.select(
+        F.concat(F.lit("p"), F.col("page_id")).alias("record_id"), F.lit("response").alias("kind"), "url", F.col("page_id").alias("time"),
+        F.create_map(F.lit("content-type"), F.lit("text/html"), F.lit("etag"), etag, F.lit("last-modified"), day, F.lit("date"), F.col("page_id").cast("string")).alias("headers"),
+        F.md5("html").alias("digest"),
+    )
+    weak = pages.select(
+        F.concat(F.lit("w"), F.col("page_id")), F.lit("revisit"), "url", F.col("page_id") + 50,
+        F.create_map(F.lit("etag"), F.concat(F.lit("W/"), etag), F.lit("date"), (F.col("page_id") + 50).cast("string"), F.lit("server"), F.lit("x")), F.lit(None).cast("string"),
+    )
+    dated = pages.select(
+        F.concat(F.lit("d"), F.col("page_id")), F.lit("revisit"), F.concat(F.upper(F.regexp_extract("url", "^[a-z]+://", 0)), F.regexp_replace("url", "^[a-z]+://", ""), F.lit("#d")), F.col("page_id") + 500,
+        F.create_map(F.lit("last-modified"), F.concat(F.lit("day "), (F.floor(F.col("page_id") / 100) % 7).cast("string")), F.lit("expires"), F.lit("0")), F.lit(None).cast("string"),
+    )
+    return full.union(weak).union(dated)
+
+
+def op3_resolve_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The response that each not-modified capture of the pages stands for; headers as sorted text."""
+    found = revisits.resolve(captures(_read(spark, sf_dir, "pages")))
+    lines = F.transform(F.array_sort(F.map_entries("headers")), lambda h: F.concat(h["key"], F.lit("="), h["value"]))
+    return found.withColumn("headers", F.array_join(lines, ";"))
+
+
+def op10_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one that holds control strings, formatted and read back."""
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(tricky).alias("text")
+    )
+    messages = rows.unionByName(extra).withColumn("content", chat.text_part("text"))
+    return chat.read_back(chat.format_chats(messages))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_resolve_revisits, op5_toxicity, op6_near_duplicates, op7_shard, op8_decontaminate, op10_format_chats)}
 
 ORACLES: dict[str, str] = {}
