@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftledger.llm import chat, decontaminate, mixing, neardup, revisits, sharding, toxicity
+from driftledger.llm import chat, decontaminate, langid, mixing, neardup, revisits, sharding, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,12 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of each document."""
+    found = langid.identify(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "held_out", "lang_pred", "score", F.size("segments").alias("n_segments"))
+
+
 def captures(pages: DataFrame) -> DataFrame:
     """A crawl of the pages: each is captured in full at its page_id and answered not modified at two later times, once with
     the page's own validators and once, on another spelling of the URL, with those that pages of its hundred share."""
@@ -82,6 +88,6 @@ def op10_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chats(messages))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_resolve_revisits, op5_toxicity, op6_near_duplicates, op7_shard, op8_decontaminate, op10_format_chats)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_language, op3_resolve_revisits, op5_toxicity, op6_near_duplicates, op7_shard, op8_decontaminate, op10_format_chats)}
 
 ORACLES: dict[str, str] = {}
