@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftledger.llm import chat, decontaminate, langid, mixing, neardup, revisits, sharding, toxicity
+from driftledger.llm import chat, decontaminate, forest, langid, mixing, neardup, revisits, sharding, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,11 @@ def op3_resolve_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("headers", F.array_join(lines, ";"))
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest found of every hundredth vector."""
+    return forest.nearest(_read(spark, sf_dir, "embeddings"), 10, 100)
+
+
 def op10_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one that holds control strings, formatted and read back."""
     rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -88,6 +93,6 @@ def op10_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chats(messages))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_language, op3_resolve_revisits, op5_toxicity, op6_near_duplicates, op7_shard, op8_decontaminate, op10_format_chats)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_language, op3_resolve_revisits, op5_toxicity, op6_near_duplicates, op7_shard, op8_decontaminate, op9_nearest, op10_format_chats)}
 
 ORACLES: dict[str, str] = {}
