@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftledger.llm import chat, decontaminate, forest, langid, mixing, neardup, revisits, sharding, toxicity
+from driftledger.llm import chat, decontaminate, forest, langid, mixing, neardup, revisits, sharding, substrings, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op4_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of each document without passages that repeat."""
+    return substrings.without_repeats(_read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of each document."""
     found = toxicity.detect(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
@@ -93,6 +98,6 @@ def op10_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chats(messages))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_language, op3_resolve_revisits, op5_toxicity, op6_near_duplicates, op7_shard, op8_decontaminate, op9_nearest, op10_format_chats)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_language, op3_resolve_revisits, op4_remove_repeats, op5_toxicity, op6_near_duplicates, op7_shard, op8_decontaminate, op9_nearest, op10_format_chats)}
 
 ORACLES: dict[str, str] = {}
