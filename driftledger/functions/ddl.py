@@ -78,7 +78,11 @@ def dialect_of(dialect: str | Dialect) -> Dialect:
 
 
 def executable_text(body: Column, dialect: str | Dialect) -> Column:
-    return mask_text(body) if dialect_of(dialect).masks else body
+    """The body without comments and strings, where the dialect needs that and there is a statement to be found at all."""
+    if not dialect_of(dialect).masks:
+        return body
+    named = body.rlike("(?i)create|drop")
+    return F.when(named, mask_text(F.when(named, body))).otherwise(body)
 
 
 def _objects(text: Column, pattern: str, default_schema: str) -> Column:

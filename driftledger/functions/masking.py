@@ -17,66 +17,63 @@ from pyspark.sql import Column, functions as F, types as T
 # The scan travels to the executors with the query, so they need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_START = re.compile(r"--|/\*|'|\"|\$(?:[A-Za-z_][A-Za-z0-9_]*)?\$")
-_BLOCK_EDGE = re.compile(r"/\*|\*/")
+_START = re.compile(rb"--|/\*|'|\"|\$(?:[A-Za-z_][A-Za-z0-9_]*)?\$")
+_BLOCK_EDGE = re.compile(rb"/\*|\*/")
 # From behind the opening quote to behind the closing one, or to the end of the text.
-_STRING_REST = re.compile(r"[^']*+(?:''[^']*+)*+'?")
-_ESCAPE_STRING_REST = re.compile(r"[^'\\]*+(?:(?:\\.|'')[^'\\]*+)*+(?:'|\\\Z)?", re.DOTALL)
-_NAME_REST = re.compile(r'[^"]*+(?:""[^"]*+)*+"?')
+_STRING_REST = re.compile(rb"[^']*+(?:''[^']*+)*+'?")
+_ESCAPE_STRING_REST = re.compile(rb"[^'\\]*+(?:(?:\\.|'')[^'\\]*+)*+(?:'|\\\Z)?", re.DOTALL)
+_NAME_REST = re.compile(rb'[^"]*+(?:""[^"]*+)*+"?')
+
+_NO_BREAK = re.compile(rb"[^\n]")
 
 # Cheap test on the JVM side for texts that need the scan at all.
 MASKABLE = r"--|/\*|'|\$"
 
 
-def _block_end(text: str, start: int) -> int:
+def _block_end(text: bytes, start: int) -> int:
     depth = 1
     for edge in _BLOCK_EDGE.finditer(text, start):
-        depth += 1 if edge.group() == "/*" else -1
+        depth += 1 if edge.group() == b"/*" else -1
         if depth == 0:
             return edge.end()
     return len(text)
 
 
-def _find_end(text: str, mark: str, start: int) -> int:
+def _find_end(text: bytes, mark: bytes, start: int) -> int:
     found = text.find(mark, start)
     return len(text) if found < 0 else found
 
 
-def _blanks(text: str) -> str:
-    """One blank per UTF-8 byte; line breaks stay."""
-    return "\n".join(" " * len(line.encode("utf-8")) for line in text.split("\n"))
-
-
-def mask_one(text: str) -> str:
-    """``text`` with every non-executable byte as a blank; line breaks and quoted names stay."""
+def mask_one(text: bytes) -> bytes:
+    """``text`` with every non-executable byte as a blank; line breaks and quoted names stay. Any bytes will do."""
     out, done, at = [], 0, 0
     while found := _START.search(text, at):
         mark, start, behind = found.group(), found.start(), found.end()
-        if mark == '"':
+        if mark == b'"':
             at = _NAME_REST.match(text, behind).end()
             continue
-        if mark == "'":
-            escapes = start > at and text[start - 1] in "eE"
+        if mark == b"'":
+            escapes = start > at and text[start - 1 : start] in (b"e", b"E")
             end = (_ESCAPE_STRING_REST if escapes else _STRING_REST).match(text, behind).end()
             start -= escapes
-        elif mark == "--":
-            end = _find_end(text, "\n", behind)
-        elif mark == "/*":
+        elif mark == b"--":
+            end = _find_end(text, b"\n", behind)
+        elif mark == b"/*":
             end = _block_end(text, behind)
         else:
             end = min(_find_end(text, mark, behind) + len(mark), len(text))
-        out += [text[done:start], _blanks(text[start:end])]
+        out += [text[done:start], _NO_BREAK.sub(b" ", text[start:end])]
         done = at = end
     out.append(text[done:])
-    return "".join(out)
+    return b"".join(out)
 
 
-@F.pandas_udf(T.StringType())
+@F.pandas_udf(T.BinaryType())
 def _mask(texts: pd.Series) -> pd.Series:
-    return texts.map(mask_one, na_action="ignore")
+    return texts.map(lambda t: mask_one(bytes(t)), na_action="ignore")
 
 
 def mask_text(text: Column) -> Column:
     """Mask comments, strings and dollar bodies; a text without any skips the Python scan."""
     maskable = text.rlike(MASKABLE)
-    return F.when(maskable, _mask(F.when(maskable, text))).otherwise(text)
+    return F.when(maskable, _mask(F.when(maskable, text.cast("binary"))).cast("string")).otherwise(text)

@@ -28,3 +28,5 @@ LINT_FILENAME = "filename must match '{timestamp}_{name}.up.sql' or '{timestamp}
 LINT_VERSION = 'cannot parse version number "%s": strconv.ParseUint: parsing "%s": value out of range'
 LINT_EMPTY = "migration file is empty"
 LINT_DUPLICATE = "version %s is duplicated across multiple files: %s"
+NO_STATUS = 'version %d: "%s" is no status'
+REPEATED = "version %d is instructed more than once"

@@ -13,8 +13,7 @@ from driftledger.schemas import CURSOR, LEDGER, conform
 
 KEYS = ["target", "version"]
 
-# Default of spark.sql.optimizer.windowGroupLimitThreshold.
-GROUP_LIMIT = 1000
+# Ranges that the versions of a target are ranked in.
 SLICES = 256
 
 
@@ -42,11 +41,15 @@ def upsert(ledger: DataFrame, changes: DataFrame, hash_policy: str = "keep_first
     """Insert new (target, version) rows; on existing ones replace status, time and note.
 
     The hash of an existing row is kept, even when it is absent; ``hash_policy="latest"``
-    takes the new one instead. ``changes`` has one row per key (see :func:`fold`).
-    Both sides are unique on the join key, so no key is hot.
+    takes the new one instead. ``changes`` has one row per key (see :func:`fold`); a key that
+    repeats ends the job, as which of its rows would stand is not defined. Both sides are unique on the join key, so no key is hot.
     """
     if hash_policy not in ("keep_first", "latest"):
         raise ValueError(f"unknown hash policy {hash_policy!r}")
+    once = F.assert_true(F.col("_n") == 1, F.format_string("changes repeat version %d of %s", "version", "target"))
+    rows = F.struct(*[c for c in LEDGER.fieldNames() if c not in KEYS])
+    changes = conform(changes, LEDGER).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n"), F.first(rows).alias("_row"))
+    changes = changes.filter(once.isNull()).select(*KEYS, "_row.*")
     old, new = conform(ledger, LEDGER).alias("old"), conform(changes, LEDGER).alias("new")
     old, new = old.withColumn("_old", F.lit(True)), new.withColumn("_new", F.lit(True))
     was, comes = F.col("_old").isNotNull(), F.col("_new").isNotNull()
@@ -108,20 +111,24 @@ def recompute_cursor(ledger: DataFrame, cursor: DataFrame) -> DataFrame:
 def last_applied(ledger: DataFrame, steps: int) -> DataFrame:
     """The ``steps`` highest applied versions per target with their ``step``, 1 being the newest.
 
-    Spark applies a rank limit of up to 1,000 on both sides of the shuffle, so each task hands on
-    at most ``steps`` rows per target, however many a target has. For higher limits the rows of a
-    target are first ranked in slices.
+    A target's versions are counted in ranges. A version's rank is what the ranges above its own hold, one row each, and its
+    rank within its range; ranges with nothing to give are left out before any rows move. So a target with very many
+    versions is not ranked in one task, whatever ``steps`` is.
     """
     applied = applied_versions(ledger)
-    if steps > GROUP_LIMIT:
-        sliced = applied.withColumn("_slice", F.pmod(F.xxhash64("version"), F.lit(SLICES)))
-        applied = _ranked(sliced, ["target", "_slice"], steps).select(*KEYS)
-    return _ranked(applied, ["target"], steps)
-
-
-def _ranked(versions: DataFrame, keys: list[str], steps: int) -> DataFrame:
-    newest_first = Window.partitionBy(*keys).orderBy(F.desc("version"))
-    return versions.withColumn("step", F.row_number().over(newest_first)).filter(F.col("step") <= steps)
+    ends = applied.groupBy("target").agg(F.min("version").alias("_low"), F.max("version").alias("_high"))
+    sizes = row_counts(applied, ["target"])
+    width = F.col("_high").cast("double") - F.col("_low") + 1
+    part = F.least(F.floor((F.col("version") - F.col("_low")).cast("double") / width * SLICES), F.lit(SLICES - 1))
+    sliced = lookup(applied, ends, ["target"], ["version"], "inner", counts=sizes).select(*KEYS, part.alias("_slice"))
+    counts = sliced.groupBy("target", "_slice").agg(F.count(F.lit(1)).alias("n_rows"))
+    above = Window.partitionBy("target").orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_above", F.coalesce(F.sum("n_rows").over(above), F.lit(0))).filter(F.col("_above") < steps)
+    wanted = offsets.select("target", "_slice", "_above")
+    met = lookup(sliced, wanted, ["target", "_slice"], ["version"], "inner", counts=counts)
+    newest_first = Window.partitionBy("target", "_slice").orderBy(F.desc("version"))
+    step = (F.col("_above") + F.row_number().over(newest_first)).cast("int")
+    return met.withColumn("step", step).filter(F.col("step") <= steps).select(*KEYS, "step")
 
 
 def down_plan(ledger: DataFrame, corpus: DataFrame, steps: int = 1, location: str = "corpus") -> DataFrame:

@@ -92,17 +92,24 @@ def _clock(now: dt.datetime) -> int:
 
 
 def next_version(corpus: DataFrame, now: dt.datetime) -> DataFrame:
-    """The clock (UTC, yyyyMMddHHmmss), or one more than the highest up version where that is ahead."""
+    """The clock (UTC, yyyyMMddHHmmss), or one more than the highest up version where that is ahead.
+
+    Above the highest version a ledger can hold there is none: ``next_version`` is null and ``error`` says so.
+    """
     keys = script_keys(corpus)[:-1]
     highest = F.max(F.when(F.col("direction") == M.UP, F.col("version")))
     clock = F.lit(_clock(now)).cast("bigint")
-    return corpus.groupBy(*keys).agg(F.greatest(clock, highest + 1).alias("next_version"))
+    found = corpus.groupBy(*keys).agg(highest.alias("_highest"))
+    full = F.coalesce(F.col("_highest") == (1 << 63) - 1, F.lit(False))
+    error = F.when(full, F.lit("no version is left above 9223372036854775807"))
+    return found.select(*keys, F.when(~full, F.greatest(clock, F.col("_highest") + 1)).alias("next_version"), error.alias("error"))
 
 
 def next_script_name(corpus: DataFrame, now: dt.datetime, name: Column | str) -> DataFrame:
-    """File name for the next up script."""
+    """File name for the next up script; null where ``error`` is set."""
     label = F.lit(name) if isinstance(name, str) else name
-    return next_version(corpus, now).withColumn("filename", script_name(F.col("next_version"), label))
+    filename = F.when(F.col("error").isNull(), script_name(F.col("next_version"), label))
+    return next_version(corpus, now).withColumn("filename", filename)
 
 
 def split_dirty(cursor: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -13,9 +13,6 @@ from driftledger.schemas import COLUMNS, conform
 
 TABLE = ["target", "schema", "table"]
 
-# No supported database has tables with more columns, so a table is one chunk there.
-CHUNK = 2000
-
 COMPARED = ["class_name", "field", "alias", "type", "web_type", "nullable", "ordinal"]
 
 
@@ -53,13 +50,17 @@ def resolve_class_names(columns: DataFrame) -> DataFrame:
 
 
 def class_name_collisions(columns: DataFrame) -> DataFrame:
-    """(target, class_name, n_tables, error) of class names that collide even with the schema in front."""
+    """(target, class_name, schema, table, error): each table whose class name another one has first, even with the schema
+    in front. The first is the smallest by schema and table."""
+    named = resolve_class_names(columns)
     owner = F.min(F.struct("schema", "table")).alias("_owner")
-    named = resolve_class_names(columns).groupBy("target", "class_name")
-    shared = named.agg(F.count(F.lit(1)).alias("n_tables"), owner).filter("n_tables > 1")
-    first = F.concat_ws(".", "_owner.schema", "_owner.table")
-    error = F.format_string('class name "%s" of "%s" collides with that of %d other(s)', "class_name", first, F.col("n_tables") - 1)
-    return shared.select("target", "class_name", "n_tables", error.alias("error"))
+    shared = named.groupBy("target", "class_name").agg(F.count(F.lit(1)).alias("n_rows"), owner).filter("n_rows > 1")
+    counts = shared.select("target", "class_name", "n_rows")
+    met = lookup(named, shared.drop("n_rows"), ["target", "class_name"], ["schema", "table"], "inner", counts=counts)
+    other = met.filter(F.struct("schema", "table") != F.col("_owner"))
+    of = lambda *parts: F.concat_ws(".", *parts)
+    error = F.format_string('class name "%s" of "%s" is taken by "%s"', "class_name", of("schema", "table"), of("_owner.schema", "_owner.table"))
+    return other.select("target", "class_name", "schema", "table", error.alias("error"))
 
 
 def schema_contract(columns: DataFrame, dialect: str) -> DataFrame:
@@ -84,17 +85,10 @@ def schema_contract(columns: DataFrame, dialect: str) -> DataFrame:
     )
 
 
-def nested_contract(contract: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """One row per table with its fields as an array in column order.
-
-    A table with ordinals beyond ``chunk`` continues in further rows (``part`` 1, 2, ...), so
-    no array grows without bound and no field is left out.
-    """
-    part = F.floor((F.col("ordinal") - 1) / chunk).cast("int")
+def nested_contract(contract: DataFrame) -> DataFrame:
+    """One row per table with its fields as an array in column order; a table's own columns are all it holds."""
     fields = F.struct("ordinal", "field", "alias", "type", "web_name", "web_type", "nullable")
-    return contract.groupBy(*TABLE, "class_name", part.alias("part")).agg(
-        F.array_sort(F.collect_list(fields)).alias("fields")
-    )
+    return contract.groupBy(*TABLE, "class_name").agg(F.array_sort(F.collect_list(fields)).alias("fields"))
 
 
 def contract_needs(contract: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -52,7 +52,8 @@ def doctor(
 
     An unreachable target has only its connectivity and security rows, and exit 1. ``names``
     restricts the report; a name that is no target gets one failing row. ``missing_folder`` is
-    the name of the script folder when there is none.
+    the name of the script folder when there is none. ``targets.has_ledger``, if there is such a column, tells an empty
+    ledger from none.
     """
     rows = doctor_inputs(targets, ledger, corpus, objects, cursor, dialect).withColumn("known", F.lit(True))
     if names is not None:
@@ -61,7 +62,9 @@ def doctor(
 
     ok, warn, fail = F.lit("ok"), F.lit("warn"), F.lit("fail")
     reachable = F.col("known") & F.col("error").isNull()
-    has_ledger = F.coalesce("n_checked", F.lit(0)) > 0
+    has_rows = F.coalesce("n_checked", F.lit(0)) > 0
+    # An existing ledger without rows is sound, as far as it goes. Where targets do not tell, rows are what shows a ledger.
+    has_ledger = F.coalesce("has_ledger", has_rows) if "has_ledger" in targets.columns else has_rows
     mismatch = F.coalesce("n_mismatch", F.lit(0)) > 0
     drifted = F.coalesce("n_drift", F.lit(0)) > 0
     waiting = F.coalesce("n_pending", F.lit(0)) > 0
@@ -79,7 +82,7 @@ def doctor(
         F.when(~has_ledger, warn).when(mismatch, fail).otherwise(ok),
         F.when(~has_ledger, "ledger table uninitialized or empty")
         .when(mismatch, _counted("content hash mismatch in %d migration(s)", "n_mismatch"))
-        .otherwise(_counted("%d ledger entries verified (hashes match)", "n_checked")),
+        .otherwise(F.format_string("%d ledger entries verified (hashes match)", F.coalesce("n_checked", F.lit(0)))),
     )
     sync = _check(
         "version-sync",
@@ -92,8 +95,8 @@ def doctor(
     )
     drift = _check(
         "drift-summary",
-        F.when(~has_ledger, warn).when(drifted, fail).otherwise(ok),
-        F.when(~has_ledger, "skipped (ledger empty or not initialized)")
+        F.when(~has_rows, warn).when(drifted, fail).otherwise(ok),
+        F.when(~has_rows, "skipped (ledger empty or not initialized)")
         .when(drifted, _counted("drift detected in %d migration(s)", "n_drift"))
         .otherwise("no schema drift detected"),
     )

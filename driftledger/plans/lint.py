@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from driftledger import messages as M
 from driftledger.functions.text import LINT_NAME, is_blank, parse_script_name
 from driftledger.operators.skew import lookup
 
-# A duplicate's message names up to this many files; all of them are findings of their own anyway.
-NAMED_FILES = 20
-
 
 def lintable(files: DataFrame) -> DataFrame:
     """Files that are looked at: hidden ones and README.md are not. Their number is the report's total."""
@@ -48,12 +45,10 @@ def _duplicate_findings(parsed: DataFrame) -> DataFrame:
     keys = [*_group(parsed), "version"]
     repeated = duplicate_versions(parsed)
     up = parsed.filter((F.col("_name.direction") == M.UP) & F.col("version").isNotNull()).select(*keys, "filename")
-    # The rank limit acts before the shuffle, so a much-repeated version sends few names.
-    ranked = up.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy("filename")))
-    named = ranked.filter(F.col("_rank") <= NAMED_FILES).groupBy(*keys).agg(F.array_sort(F.collect_list("filename")).alias("names"))
-    more = F.when(F.col("n_rows") > NAMED_FILES, F.format_string(" and %d more", F.col("n_rows") - NAMED_FILES)).otherwise("")
-    message = F.format_string(M.LINT_DUPLICATE, F.col("version").cast("string"), F.concat(F.array_join("names", ", "), more))
-    texts = repeated.join(named, keys).select(*keys, message.alias("message"))
+    # A list for each version: the files that share it, all of which the message names.
+    named = up.join(repeated, keys).groupBy(*keys).agg(F.array_sort(F.collect_list("filename")).alias("names"))
+    message = F.format_string(M.LINT_DUPLICATE, F.col("version").cast("string"), F.array_join("names", ", "))
+    texts = named.select(*keys, message.alias("message"))
     return lookup(up, texts, keys, ["filename"], "inner", counts=repeated).select(
         *_group(parsed), F.col("filename").alias("file"), "version", F.lit(M.RULE_DUPLICATE).alias("rule"), "message"
     )

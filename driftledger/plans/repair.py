@@ -71,12 +71,18 @@ def repair_violations(
     corpus: DataFrame, objects: DataFrame, instructions: DataFrame, dialect: str, force: bool = False,
     location: str = "corpus",
 ) -> DataFrame:
-    """(target, version, error): applied versions without a script or, unless forced, with missing objects."""
+    """(target, version, error): statuses that are none, versions instructed more than once, applied versions without a
+    script or, unless forced, with missing objects."""
+    known_status = F.coalesce(F.col("status").isin(M.APPLIED, M.REVERTED), F.lit(False))
+    no_status = F.format_string(M.NO_STATUS, "version", F.coalesce("status", F.lit("")))
+    unsound = instructions.filter(~known_status).select(*KEYS, no_status.alias("error"))
+    repeated = instructions.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    unsound = unsound.unionByName(repeated.select(*KEYS, F.format_string(M.REPEATED, "version").alias("error")))
     wanted = instructions.filter(F.col("status") == M.APPLIED).select(*KEYS)
     known = with_scripts(wanted, script_facts(corpus, dialect), script_keys(corpus))
     known = share(known.select(*KEYS, "filename", "created"), "instructed")
     no_script = F.format_string(M.NO_SCRIPT, F.col("version"), F.lit(location))
-    violations = known.filter("filename IS NULL").select(*KEYS, no_script.alias("error"))
+    violations = known.filter("filename IS NULL").select(*KEYS, no_script.alias("error")).unionByName(unsound)
     if force:
         return violations
     claims = known.filter(F.size("created") > 0).select(*KEYS, "filename", F.posexplode("created"))

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from posixpath import basename
-from urllib.parse import unquote
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from driftledger import messages as M
@@ -13,25 +9,54 @@ from driftledger.functions.text import parse_script_name
 from driftledger.schemas import CORPUS, SHARED_CORPUS, conform, has_target
 
 
+def _listing(spark: SparkSession, path: str) -> list[tuple[str, int]] | None:
+    """(name, length) of the files directly in a folder; None if there is no such folder. File-system metadata of one
+    folder, as the driver holds it for any scan."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(hadoop):
+        return None
+    return [(s.getPath().getName(), s.getLen()) for s in system.listStatus(hadoop) if s.isFile()]
+
+
 def scan_files(spark: SparkSession, path: str) -> DataFrame:
-    """``(filename, body)`` of the files directly in a folder; an absent folder has none.
+    """``(filename, body)`` of the files directly in a folder, whatever their names; an absent folder has none.
 
-    The body is the file's bytes taken as text without any change, so its hash is the file's hash.
-    Spark skips empty files when it reads; their names come from the scan's file listing, which
-    the driver holds anyway. Beyond what one folder can hold, keep the corpus as a table.
+    The body is the file's bytes taken as text without any change, so its hash is the file's hash. Spark's readers skip
+    files that are empty or whose names begin with ``_`` or ``.``, and take ``k=v`` subfolders for partitions; so each
+    file is read by its own path, and the few that no reader takes even so, by the file system itself. A file that is listed with bytes but comes back without any ends the job: an empty body
+    would be a hash that no file has. Beyond what one folder can hold, keep the corpus as a table.
     """
+    listed = _listing(spark, path)
+    nothing = spark.createDataFrame([], "filename string, body string")
+    if not listed:
+        return nothing
+    names = spark.createDataFrame(listed, "filename string, length long")
+    full = [name for name, length in listed if length and name[0] not in "._"]
+    hidden = [(name, _content(spark, f"{path.rstrip('/')}/{name}")) for name, length in listed if length and name[0] in "._"]
+    read = spark.createDataFrame(hidden, "filename string, content binary").select("filename", F.col("content").cast("string").alias("body"))
+    if full:
+        folder = path.rstrip("/")
+        contents = spark.sparkContext.binaryFiles(",".join(f"{folder}/{_quoted(n)}" for n in full)).mapValues(bytearray)
+        rows = contents.map(lambda x: (x[0].rsplit("/", 1)[-1], x[1])).toDF("filename string, content binary")
+        read = read.unionByName(rows.select("filename", F.col("content").cast("string").alias("body")))
+    met = names.join(read, "filename", "left")
+    lost = F.when(F.col("length") > 0, F.raise_error(F.concat(F.lit("no content was read of "), "filename"))).otherwise(F.lit(""))
+    return met.select("filename", F.coalesce("body", lost.cast("string")).alias("body"))
+
+
+def _content(spark: SparkSession, path: str) -> bytearray:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).open(hadoop)
     try:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], "filename string, body string")
-    read = files.select(
-        F.regexp_extract("path", r"[^/]+\z", 0).alias("filename"), F.col("content").cast("string").alias("body")
-    )
-    listed = [(unquote(basename(path)),) for path in files.inputFiles()]
-    names = spark.createDataFrame(listed, "filename string")
-    return names.join(read, "filename", "left").select("filename", F.coalesce("body", F.lit("")).alias("body"))
+        return bytearray(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
+
+
+def _quoted(name: str) -> str:
+    """A file name in a path pattern: what patterns read specially stands for itself."""
+    return "".join(f"\\{c}" if c in "*?[]{},\\" else c for c in name)
 
 
 def corpus_from_files(files: DataFrame) -> DataFrame:

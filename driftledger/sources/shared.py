@@ -2,29 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_folder: tempfile.TemporaryDirectory | None = None
-
 
 def shared_folder(spark: SparkSession) -> str | None:
-    """The folder all executors can reach, as the session names it.
-
-    Where none is named, a local session gets a temporary folder of its own and a
-    cluster session gets none: a folder on one machine is of no use there.
-    """
-    global _local_folder
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        return None
-    if _local_folder is None:
-        _local_folder = tempfile.TemporaryDirectory(prefix="driftledger-")
-    return _local_folder.name
+    """The folder all executors can reach, as the session names it; None if it names none."""
+    return spark.conf.get("spark.checkpoint.dir", None)
 
 
 def share(df: DataFrame, name: str) -> DataFrame:

@@ -146,10 +146,10 @@ _ALIKE = """SELECT target, schema, CASE WHEN ordinal % 3 = 0 THEN replace({q}tab
 
 @query(f"""
     WITH alike AS ({_ALIKE.format(q='"')}), classes AS ({_classes('alike')}),
-    shared AS (SELECT target, class_name, count(*) AS n_tables, min((schema, "table")) AS owner FROM classes GROUP BY 1, 2 HAVING count(*) > 1)
-    SELECT target, class_name, n_tables,
-           concat('class name "', class_name, '" of "', owner[1], '.', owner[2], '" collides with that of ', n_tables - 1, ' other(s)') AS error
-    FROM shared""")
+    owners AS (SELECT *, first_value((schema, "table")) OVER (PARTITION BY target, class_name ORDER BY schema, "table") AS owner FROM classes)
+    SELECT target, class_name, schema, "table",
+           concat('class name "', class_name, '" of "', schema, '.', "table", '" is taken by "', owner[1], '.', owner[2], '"') AS error
+    FROM owners WHERE (schema, "table") <> owner""")
 def class_name_collisions(t):
     return K.class_name_collisions(t.sql(_ALIKE.format(q="`")))
 
@@ -176,13 +176,13 @@ def _full_columns(columns):
 
 @query(f"""
     {_CLASSES}
-    SELECT target, schema, "table", class_name, cast(floor((ordinal - 1) / 200) AS int) AS part,
+    SELECT target, schema, "table", class_name,
            string_agg(concat(ordinal, ' ', field, ':', type, CASE WHEN nullable THEN '?' ELSE '' END), ', ' ORDER BY ordinal) AS fields
     FROM (SELECT c.*, k.class_name, {_field('c."column"')} AS field, coalesce({_PG}, 'Any') AS type
           FROM columns_d c JOIN classes k ON k.target = c.target AND k.schema = c.schema AND k."table" = c."table")
     GROUP BY ALL""")
 def nested_contract(t):
-    nested = K.nested_contract(_contract(t), chunk=200)
+    nested = K.nested_contract(_contract(t))
     mark = lambda f: F.when(f["nullable"], "?").otherwise("")
     line = lambda f: F.concat(f["ordinal"].cast("string"), F.lit(" "), f["field"], F.lit(":"), f["type"], mark(f))
     return nested.withColumn("fields", F.array_join(F.transform("fields", line), ", "))

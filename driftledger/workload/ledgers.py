@@ -287,10 +287,8 @@ def check_version_range(t):
 
 @query(f"SELECT {O.LEDGER_TEXT} FROM ledger_d")
 def ledger_round_trip(t):
-    """Written as a new generation and read back, where the session has a shared folder to write to."""
-    folder = shared_folder(t.session)
-    if folder is None:
-        return _text(sources.as_ledger(t.ledger_d))
+    """Written as a new generation, to the shared folder or else the warehouse, and read back."""
+    folder = shared_folder(t.session) or t.session.conf.get("spark.sql.warehouse.dir")
     path = f"{folder}/ledger_round_trip-{uuid.uuid4().hex}"
     sources.write_ledger(t.ledger_d, path)
     return _text(sources.read_ledger(t.session, path))

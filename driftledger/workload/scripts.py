@@ -57,11 +57,17 @@ def find_scripts(t):
 
 
 @query("""
-    SELECT target, greatest(20260101120000, max(version) + 1) AS next_version,
-           concat(lpad(cast(greatest(20260101120000, max(version) + 1) AS varchar), 14, '0'), '_add_widget_two.up.sql') AS filename
-    FROM corpus_d GROUP BY target""")
+    SELECT target, n AS next_version, lpad(cast(n AS varchar), 14, '0') || '_add_widget_two.up.sql' AS filename,
+           CASE WHEN n IS NULL THEN 'no version is left above 9223372036854775807' END AS error
+    FROM (SELECT target, CASE WHEN max(v) < 9223372036854775807 THEN greatest(20260101120000, max(v) + 1) END AS n
+          FROM (SELECT target, CASE WHEN target = (SELECT min(target) FROM corpus_d) THEN 9223372036854775807 ELSE version END AS v FROM corpus_d)
+          GROUP BY target)""")
 def next_script_name(t):
-    return S.next_script_name(t.both_d, NOW, "  add widget two\n")
+    """One target has the highest version there is."""
+    first = t.corpus_d.agg(F.min("target").alias("_first"))
+    rows = t.both_d.join(F.broadcast(first), F.col("target") == F.col("_first"), "left")
+    top = F.when(F.col("_first").isNotNull(), F.lit((1 << 63) - 1)).otherwise(F.col("version"))
+    return S.next_script_name(rows.withColumn("version", top).drop("_first"), NOW, "  add widget two\n")
 
 
 @query("""

@@ -55,7 +55,11 @@ def test_class_names(spark, make):
     ]
     assert rows(K.class_name_collisions(tables)) == []
     worse = tables.unionByName(make.columns([("a", "other", "dbo_user")]))
-    assert rows(K.class_name_collisions(worse), "target", "class_name", "n_tables") == [("a", "DboUser", 2)]
+    assert rows(K.class_name_collisions(worse), "target", "class_name", "schema", "table", "error") == [
+        ("a", "DboUser", "other", "dbo_user", 'class name "DboUser" of "other.dbo_user" is taken by "dbo.user"'),
+    ]
+    alike = make.columns([("a", "dbo", t) for t in ("a_b", "a-b", "a b")])
+    assert rows(K.class_name_collisions(alike), "table") == [("a-b",), ("a_b",)]
 
 
 def users(make):
@@ -77,8 +81,8 @@ def test_contract_of_a_table(make):
     needs = K.contract_needs(contract).first().asDict()
     assert needs == {"target": "a", "need_decimal": True, "need_datetime": True, "need_time": False, "need_uuid": False, "need_any": True,
                      "need_optional": True, "typing_imports": "Any, Optional"}
-    parts = K.nested_contract(contract, chunk=3).orderBy("part").collect()
-    assert [[f["field"] for f in p["fields"]] for p in parts] == [["id", "email", "balance"], ["created_at", "avatar", "location"], ["class_"]]
+    table = K.nested_contract(contract).collect()
+    assert [[f["field"] for f in t["fields"]] for t in table] == [["id", "email", "balance", "created_at", "avatar", "location", "class_"]]
 
 
 def test_contract_changes(make):

@@ -1,8 +1,10 @@
+import collections
 import datetime as dt
 import random
 
 import pytest
 from conftest import NOW, rows
+from pyspark.sql import functions as F
 
 from driftledger import messages as M
 from driftledger.operators import ledger as L
@@ -90,9 +92,9 @@ def test_dirty_targets_are_refused(make):
 
 def test_next_version(make):
     empty = make.corpus([make.script("a", 1, "x")])
-    assert rows(S.next_version(empty, NOW)) == [("a", 20260115100000)]
+    assert rows(S.next_version(empty, NOW), "target", "next_version") == [("a", 20260115100000)]
     ahead = make.corpus([make.script("a", 20260120000000, "x"), make.script("a", 20270101000000, "x", "down")])
-    assert rows(S.next_script_name(ahead, NOW, "x y")) == [("a", 20260120000001, "20260120000001_x_y.up.sql")]
+    assert rows(S.next_script_name(ahead, NOW, "x y")) == [("a", 20260120000001, None, "20260120000001_x_y.up.sql")]
 
 
 def test_later_file_name_wins(make):
@@ -128,7 +130,6 @@ def test_revert_is_all_or_nothing_per_target(make):
 def test_many_steps_are_ranked_in_slices(make, monkeypatch):
     ledger = make.ledger([("a", v, "applied") for v in range(40)] + [("b", 7, "applied")])
     direct = rows(L.last_applied(ledger, 25))
-    monkeypatch.setattr(L, "GROUP_LIMIT", 10)
     monkeypatch.setattr(L, "SLICES", 3)
     assert rows(L.last_applied(ledger, 25)) == direct and len(direct) == 26
 
@@ -180,3 +181,28 @@ def test_hash_drift_variants(make):
     )
     assert rows(L.hash_drift(ledger, corpus), "version") == [(1,)]
     assert rows(L.hash_drift(ledger, corpus, missing_is_mismatch=True), "version") == [(1,), (4,)]
+
+
+def test_no_version_is_left(make):
+    corpus = make.corpus([make.script("a", (1 << 63) - 1, "x"), make.script("b", 3, "x")])
+    found = {r["target"]: (r["next_version"], r["filename"], r["error"]) for r in S.next_script_name(corpus, NOW, "n").collect()}
+    assert found["a"] == (None, None, "no version is left above 9223372036854775807") and found["b"][2] is None
+
+
+def test_upsert_refuses_repeated_keys(make):
+    ledger = make.ledger([("a", 1, "applied")])
+    with pytest.raises(Exception, match="repeat version 1"):
+        L.upsert(ledger, make.ledger([("a", 1, "applied"), ("a", 1, "reverted")])).collect()
+
+
+@pytest.mark.parametrize("steps", [1, 7, 300, 5000])
+def test_last_applied_of_any_number(spark, steps):
+    ledger = spark.range(4000).select(
+        F.when(F.col("id") % 5 == 0, "b").otherwise("a").alias("target"), (F.col("id") * F.col("id") * 99991).alias("version"),
+        F.when(F.col("id") % 3 == 0, "reverted").otherwise("applied").alias("status"))
+    found = collections.defaultdict(list)
+    for r in L.last_applied(ledger, steps).collect():
+        found[r["target"]].append((r["step"], r["version"]))
+    for target in "ab":
+        applied = sorted((i * i * 99991 for i in range(4000) if i % 3 and (target == "b") == (i % 5 == 0)), reverse=True)[:steps]
+        assert sorted(found[target]) == list(enumerate(applied, 1))

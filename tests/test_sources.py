@@ -114,3 +114,17 @@ def test_data_checks(spark):
     assert rows(A.null_counts(people)) == [("boss", 1), ("id", 0), ("job", 0)]
     assert rows(A.composite_key(people.union(people.limit(1)), ["id", "job"]).select("n_rows")) == [(2,)]
     assert rows(A.key_count(people, F.col("job") == "dev")) == [(2,)]
+
+
+def test_folder_scan_sees_every_regular_file(spark, tmp_path):
+    from driftledger.sources.corpus import scan_files
+
+    files = {"1_a.up.sql": b"x", "_draft.sql": b"d", ".hidden": b"h", "2_empty.up.sql": b"", "3 b%20c.up.sql": b"\xff", "4_[a]{b}.up.sql": b"y"}
+    for name, body in files.items():
+        (tmp_path / name).write_bytes(body)
+    for folder in ("sub", "k=v"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "9_z.up.sql").write_bytes(b"no")
+    found = scan_files(spark, str(tmp_path)).selectExpr("filename", "CAST(body AS binary) AS body").collect()
+    assert {r.filename: bytes(r.body) for r in found} == files
+    assert scan_files(spark, str(tmp_path / "none")).count() == 0

@@ -5,6 +5,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from driftledger.functions import ddl, text
+from driftledger.functions.ddl import created, dropped, executable_text
 from driftledger.functions.masking import mask_one, mask_text
 
 
@@ -34,7 +35,7 @@ MASKED = [
 
 @pytest.mark.parametrize("name,given,expected", MASKED, ids=[m[0] for m in MASKED])
 def test_mask(name, given, expected):
-    assert mask_one(given) == expected
+    assert mask_one(given.encode()) == expected.encode()
 
 
 def test_mask_in_spark(spark):
@@ -100,7 +101,16 @@ def test_mask_against_byte_wise_replay():
     parts = ["'", '"', "$", "a", "E", "e", "\\", "-", "--", "/*", "*/", "*", "/", "\n", " ", "é", "$x$", "$$", "1"]
     for _ in range(20000):
         given = "".join(rng.choices(parts, k=rng.randint(0, 12)))
-        assert mask_one(given) == _mask_bytes(given), given
+        assert mask_one(given.encode()).decode() == _mask_bytes(given), given
+
+
+def test_scripts_that_are_not_utf8(spark):
+    body = b"-- caf\xe9 \xff\nCREATE TABLE a (x text default 'ol\xe9');\n/* \xfe */ DROP VIEW b;\n$q$ CREATE TABLE no \x80 $q$\nCREATE VIEW \"c\" AS SELECT 1"
+    assert mask_one(b"'\xe9\n\xff' \xe9") == b"  \n   \xe9"
+    df = spark.createDataFrame([(bytearray(body),)], "b binary").select(F.col("b").cast("string").alias("body"))
+    text = executable_text(F.col("body"), "pg")
+    row = df.select(created(text, "pg").alias("c"), dropped(text, "pg").alias("d")).first()
+    assert [(o.name, o.kind) for o in row.c] == [("a", "table"), ("c", "view")] and [o.name for o in row.d] == ["b"]
 
 
 def objects(spark, extract, dialect, body):
