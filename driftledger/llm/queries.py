@@ -101,3 +101,51 @@ def op10_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_language, op3_resolve_revisits, op4_remove_repeats, op5_toxicity, op6_near_duplicates, op7_shard, op8_decontaminate, op9_nearest, op10_format_chats)}
 
 ORACLES: dict[str, str] = {}
+
+# Sources in turn by code point; the level at which targets stop is found among the sources sorted by bound over weight.
+ORACLES["op1_mix_sources"] = r"""
+    WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+    sources AS (
+        SELECT source, cast(sum(size) AS bigint) AS source_size,
+               [5, 2, 1][(row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1] AS weight
+        FROM sized GROUP BY source),
+    sorted AS (
+        SELECT *, row_number() OVER (ORDER BY 2 * source_size / weight, source) AS place, 2 * source_size AS bound,
+               sum(source_size) OVER () AS total, sum(weight) OVER () AS all_weight FROM sources),
+    levels AS (
+        SELECT (1.5::DOUBLE * s.total - coalesce(sum(p.bound), 0)) / (s.all_weight - coalesce(sum(p.weight), 0)) AS level, s.place, s.bound, s.weight
+        FROM sorted s LEFT JOIN sorted p ON p.place < s.place GROUP BY s.place, s.total, s.all_weight, s.bound, s.weight),
+    level AS (SELECT level FROM levels WHERE bound > level * weight ORDER BY place LIMIT 1),
+    targets AS (
+        SELECT source, source_size, least(bound::DOUBLE, level * weight) AS target,
+               ('0x' || substr(md5('1:' || coalesce('=' || source, 'null')), 1, 6))::BIGINT AS start
+        FROM sorted, level),
+    placed AS (
+        SELECT d.*, row_number() OVER (PARTITION BY source ORDER BY size, doc_id) - 1 AS before FROM sized d),
+    rated AS (
+        SELECT p.doc_id, p.size, t.source_size, t.target, p.before, t.start,
+               CASE WHEN t.source_size > 0 THEN least(cast(floor(t.target / t.source_size * 16777216) AS bigint), 33554432) ELSE 0 END AS rate
+        FROM placed p JOIN targets t ON t.source IS NOT DISTINCT FROM p.source)
+    SELECT doc_id, cast(size AS bigint) AS size, source_size, target,
+           cast(size * (((before + 1) * rate + start) // 16777216 - (before * rate + start) // 16777216) AS bigint) AS taken
+    FROM rated"""
+
+ORACLES["op4_remove_repeats"] = r"""
+    WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    windows AS (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w)),
+    later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS n FROM windows) WHERE n > 1),
+    gone AS (SELECT DISTINCT doc_id, i + k AS p FROM later, (SELECT unnest(range(20)) AS k)),
+    each AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS word FROM w),
+    kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n FROM each ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+    SELECT doc_id, cast(len(ws) AS bigint) AS n_words, cast(len(ws) - coalesce(n, 0) AS bigint) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+    FROM w LEFT JOIN kept USING (doc_id)"""
+
+ORACLES["op10_format_chats"] = r"""
+    WITH rows AS (
+        SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+           cast(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS bigint) AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+           cast(sum(17 + length(role) + 2 * length(text) - length(translate(text, '\|', ''))) AS bigint) AS formatted_chars
+    FROM rows GROUP BY conv_id"""
