@@ -34,7 +34,7 @@ def objects(verb: str, dialect: str, source: str = "corpus_d") -> str:
                      string_split(translate(words[k + 1 + CASE WHEN {_are('k + 1', condition)} THEN {len(condition)} ELSE 0 END], '"[]', ''), '.') AS parts
               FROM (SELECT *, j + CASE WHEN {_among('j', _SINGLE.get((verb, dialect), ''))} THEN 1 ELSE 0 END AS k
                     FROM (SELECT *, 2 + CASE WHEN {_are('2', _PAIR.get((verb, dialect), ()))} THEN 2 ELSE 0 END AS j
-                          FROM (SELECT *, string_split_regex(lower(rest), '\s+') AS low, string_split_regex(rest, '\s+') AS words
+                          FROM (SELECT *, string_split_regex(lower(rest), '\\s+') AS low, string_split_regex(rest, '\\s+') AS words
                                 FROM (SELECT *, trim(array_to_string(lines[line:], ' ')) AS rest
                                       FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS line
                                             FROM (SELECT target, version, filename, row_number() OVER () AS script,
