@@ -127,8 +127,10 @@ def last_applied(ledger: DataFrame, steps: int) -> DataFrame:
     wanted = offsets.select("target", "_slice", "_above")
     met = lookup(sliced, wanted, ["target", "_slice"], ["version"], "inner", counts=counts)
     newest_first = Window.partitionBy("target", "_slice").orderBy(F.desc("version"))
-    step = (F.col("_above") + F.row_number().over(newest_first)).cast("int")
-    return met.withColumn("step", step).filter(F.col("step") <= steps).select(*KEYS, "step")
+    # A rank within a range beyond the limit is beyond it in the target too; this filter acts before the shuffle.
+    ranked = met.withColumn("_rank", F.row_number().over(newest_first)).filter(F.col("_rank") <= steps)
+    step = (F.col("_above") + F.col("_rank")).cast("int")
+    return ranked.withColumn("step", step).filter(F.col("step") <= steps).select(*KEYS, "step")
 
 
 def down_plan(ledger: DataFrame, corpus: DataFrame, steps: int = 1, location: str = "corpus") -> DataFrame:
