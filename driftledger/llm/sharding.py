@@ -11,33 +11,38 @@ from driftledger.llm.common import running, stored
 
 #: Ranges that one look at the boundaries is summed up in. Bounds what the driver holds, not the data.
 CELLS = 4096
+#: Steps between the ends of a capacity bracket whose passes a look settles.
+BETWEEN = 6
 
 
 class Boundaries:
-    """What is known of the sorted positions at which a group starts: for each range that holds any, its first and last."""
+    """What is known of the sorted positions at which a group starts: ranges that do not overlap, each with the first and last
+    position in it."""
 
     def __init__(self, cells: list[tuple[int, int]], total: int):
         self.cells = [*sorted(cells), (total, total)]
         self.firsts = [first for first, _ in self.cells]
 
-    def below(self, x: int) -> tuple[int, int]:
-        """Bounds for the largest boundary up to ``x``."""
-        first, last = self.cells[bisect_right(self.firsts, x) - 1]
-        return (last, last) if last <= x else (first, first if first == last else x)
-
-    def greedy(self, capacity: int, shards: int, side: int) -> list[int]:
-        """Where a greedy pass with this capacity cuts, taking the lower (0) or the upper (1) bound at each cut."""
-        cuts, at, total = [], 0, self.cells[-1][0]
+    def path(self, capacity: int, shards: int, side: int) -> tuple[list[int], set[tuple[int, int]]]:
+        """Where a greedy pass with this capacity cuts, taking the lower (0) or the upper (1) bound at each cut, and the
+        ranges in which a cut falls between the first and the last position."""
+        cuts, doubtful, at, total = [], set(), 0, self.cells[-1][0]
         for _ in range(shards):
-            at = self.below(min(at + capacity, total))[side]
+            x = min(at + capacity, total)
+            first, last = self.cells[bisect_right(self.firsts, x) - 1]
+            if last <= x:
+                at = last
+            else:
+                at = x if side else first
+                doubtful.add((first, last))
             cuts.append(at)
-        return cuts
+        return cuts, doubtful
 
     def least(self, low: int, high: int, shards: int, side: int) -> int:
         """The smallest capacity in [low, high] whose greedy pass reaches the end, by binary search."""
         while low < high:
             middle = (low + high) // 2
-            if self.greedy(middle, shards, side)[-1] >= self.cells[-1][0]:
+            if self.path(middle, shards, side)[0][-1] >= self.cells[-1][0]:
                 high = middle
             else:
                 low = middle + 1
@@ -48,33 +53,30 @@ def minimax_cuts(groups: DataFrame, shards: int, cells: int = CELLS) -> list[int
     """Cuts of the smallest feasible capacity; ``groups(start, bytes)`` are contiguous and each goes to one shard whole.
 
     The greedy check needs, for a capacity, the last boundary at or before a position. The first look sums all boundaries up
-    in at most ``cells`` ranges, which brackets the capacity and the cuts; each later look does so only for where cuts can
-    still fall, until both are exact. So a few passes over a narrow table do, and the driver never holds more than
-    ``cells`` ranges, however many groups there are and however large one is.
+    in at most ``cells`` ranges, which brackets the capacity. Each later look divides, again into ``cells`` at most, only the
+    ranges that leave a cut in doubt for the ends of the bracket or capacities between them. The first such range of a pass
+    holds one cut, so it ends in single boundaries, and then the next: every look gets further, also where a very large
+    group makes passes of nearly equal capacities go apart. A few passes over a narrow table do, and the driver holds
+    ``cells`` ranges a look, however many groups there are and however large one is.
     """
     total, largest = groups.agg(F.sum("bytes"), F.max("bytes")).first()
     if not total:
         return [0] * (shards - 1)
     low, high = max(-(-total // shards), largest), -(-total // shards) + largest
-    windows, cells = [(0, total)], max(cells, 16 * shards)
+    doubtful, known, cells = {(0, total)}, set(), max(cells, 16 * shards)
     while True:
-        span = sum(b - a + 1 for a, b in windows)
-        width = max(1, span // cells)
-        cell = F.lit(None).cast("long")
-        for a, b in windows:
-            cell = F.when(F.col("start").between(a, b), F.lit(a) + F.floor((F.col("start") - a) / F.lit(width)) * F.lit(width)).otherwise(cell)
+        pieces, cell = max(2, cells // len(doubtful)), F
+        for a, b in sorted(doubtful):
+            width = -(-(b - a + 1) // pieces)
+            cell = cell.when(F.col("start").between(a, b), F.lit(a) + F.floor((F.col("start") - a) / F.lit(width)) * F.lit(width))
         found = groups.select("start", cell.alias("cell")).where("cell is not null").groupBy("cell").agg(F.min("start"), F.max("start")).collect()
-        known = Boundaries([(0, 0), *((r[1], r[2]) for r in found)], total)
-        low, high = known.least(low, high, shards, 1), known.least(low, high, shards, 0)
-        first, last = known.greedy(low, shards, 0), known.greedy(high, shards, 1)
-        if low == high and first == last:
-            return first[:-1]
-        windows = []
-        for a, b in zip(first, last, strict=True):  # both rise from cut to cut; windows that touch are one
-            if windows and a <= windows[-1][1]:
-                windows[-1] = (windows[-1][0], max(b, windows[-1][1]))
-            else:
-                windows.append((a, b))
+        known = (known - doubtful) | {(r[1], r[2]) for r in found}
+        boundaries = Boundaries(list(known), total)
+        low, high = boundaries.least(low, high, shards, 1), boundaries.least(low, high, shards, 0)
+        capacities = {low + (high - low) * i // BETWEEN for i in range(BETWEEN + 1)}
+        doubtful = set().union(*(boundaries.path(c, shards, side)[1] for c in capacities for side in (0, 1)))
+        if not doubtful:
+            return boundaries.path(low, shards, 0)[0][:-1]
 
 
 def shard(docs: DataFrame, shards: int = 8, carried: tuple[str, ...] = ()) -> DataFrame:

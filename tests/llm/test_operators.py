@@ -107,7 +107,8 @@ def test_shards(documents, texts):
 @pytest.mark.parametrize("cells", [2, 16])
 def test_cuts_are_exact_for_any_resolution(spark, cells):
     random = np.random.default_rng(3)
-    for sizes in ([1] * 50, [7], [100, 1, 1, 1], list(map(int, random.integers(1, 500, 300)))):
+    small = list(map(int, random.integers(1, 500, 300)))
+    for sizes in ([1] * 50, [7], [100, 1, 1, 1], small, [*small[:90], 24_000, *small[90:]], [*small[:200], 31_000, 30_990, *small[200:]]):
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         groups = spark.createDataFrame([(int(a), b) for a, b in zip(starts, sizes)], "start long, bytes long")
         cuts = sharding.minimax_cuts(groups, 4, cells)
