@@ -27,7 +27,8 @@ _AS_TYPE = rf"(?i)\bAS{WS}+([A-Za-z]+{_SIZE})"
 _AS_TYPE_NEXT = rf"(?i)\A{WS}*\)*{WS}+AS{WS}+([A-Za-z]+{_SIZE})"
 _CONTEXT = 150
 _VALUE_CALL = rf"(?i)JSON_VALUE{WS}*\({WS}*[A-Za-z_][A-Za-z0-9_.]*{WS}*,{WS}*{_PATH}{WS}*\)"
-_REST = r"(?=([\s\S]*))"  # group: everything behind the match
+# Calls that can lie within the context of another, as the shortest one has 19 characters.
+_NEAR = _CONTEXT // 19 + 1
 _DEFAULT_TYPE = "NVARCHAR"
 _KNOWN_TYPES = (
     "BIGINT INT SMALLINT TINYINT BIT DECIMAL NUMERIC FLOAT REAL MONEY SMALLMONEY DATE DATETIME DATETIME2 "
@@ -76,11 +77,16 @@ def _fields(raw: Column) -> Column:
         return F.struct(f["path"].alias("path"), name.alias("name"), sql_type.alias("sql_type"), F.lower(name).alias("key"))
 
     def distinct(fields: Column) -> Column:
-        known = F.struct(fields.alias("fields"), F.transform(fields, lambda f: f["key"]).alias("keys"))
-        return _let(known, lambda k: F.filter(k["fields"], lambda f, i: F.array_position(k["keys"], f["key"]) == i + 1))
-
-    kept = _let(F.transform(raw, finish), distinct)
-    return F.transform(kept, lambda f: F.struct(f["path"].alias("path"), f["name"].alias("name"), f["sql_type"].alias("sql_type")))
+        return F.filter(fields, lambda f, i: (i == 0) | (F.get(fields, i - 1)["key"] != f["key"]))
+
+    # Sorted by key and place, the first of equal keys is the one to keep; then back in the order of the text.
+    placed = F.transform(F.transform(raw, finish), lambda f, i: F.struct(f["key"].alias("key"), i.alias("place"), f.alias("field")))
+    kept = _let(F.array_sort(placed), distinct)
+    ordered = F.array_sort(F.transform(kept, lambda f: F.struct(f["place"].alias("place"), f["field"].alias("field"))))
+    return F.transform(
+        ordered,
+        lambda f: F.struct(f["field"]["path"].alias("path"), f["field"]["name"].alias("name"), f["field"]["sql_type"].alias("sql_type")),
+    )
 
 
 def _block_fields(block: Column, converts: Column) -> Column:
@@ -103,6 +109,19 @@ def _block_fields(block: Column, converts: Column) -> Column:
     return _fields(F.transform(F.transform(_all(block, _DECLARED, 0), parts), declared))
 
 
+def _blocks(definition: Column) -> Column:
+    """The block behind each head; NULL where it does not close. The text is cut at the heads once; only a block with another
+    head inside is looked for in all that follows."""
+    cut = F.struct(F.split(definition, _OPEN_WITH, -1).alias("pieces"), _all(definition, _OPEN_WITH, 0).alias("heads"))
+
+    def block(c: Column, i: Column) -> Column:
+        behind = lambda side: F.slice(c[side], i + 2, F.greatest(F.size(c[side]) - i - 1, F.lit(0)))
+        joined = F.transform(behind("pieces"), lambda p, j: F.concat(p, F.coalesce(F.get(behind("heads"), j), F.lit(""))))
+        return F.coalesce(balanced_block(F.get(c["pieces"], i + 1)), balanced_block(F.array_join(joined, "")))
+
+    return _let(cut, lambda c: F.transform(c["heads"], lambda _, i: block(c, i)))
+
+
 def _declared_fields(definition: Column) -> Column:
     converts = F.transform(
         _all(definition, _CONVERT, 0),
@@ -110,8 +129,7 @@ def _declared_fields(definition: Column) -> Column:
             F.lower(F.regexp_extract(c, _CONVERT, 2)).alias("key"), F.regexp_extract(c, _CONVERT, 1).alias("type")
         ),
     )
-    rests = _all(definition, _OPEN_WITH + _REST, 1)
-    blocks = F.filter(F.transform(rests, balanced_block), lambda b: b.isNotNull())
+    blocks = F.filter(_blocks(definition), lambda b: b.isNotNull())
 
     def largest(c: Column) -> Column:
         return F.aggregate(
@@ -143,24 +161,20 @@ def value_type(before: Column, after: Column) -> Column:
 
 
 def _value_fields(definition: Column) -> Column:
-    calls = F.arrays_zip(
-        _all(definition, _VALUE_CALL, 0).alias("call"),
-        _all(definition, _VALUE_CALL + _REST, 2).alias("rest"),
-    )
+    cut = F.struct(F.split(definition, _VALUE_CALL, -1).alias("pieces"), _all(definition, _VALUE_CALL, 0).alias("calls"))
 
-    def field(c: Column) -> Column:
-        # The context is measured in bytes, so as many characters are enough.
-        start = F.length(definition) - F.length(c["rest"]) - F.length(c["call"])
-        before = F.substr(definition, F.greatest(start - _CONTEXT, F.lit(0)) + 1, F.least(start, F.lit(_CONTEXT)))
-        after = F.substr(c["rest"], F.lit(1), F.lit(_CONTEXT))
+    def field(c: Column, call: Column, i: Column) -> Column:
+        at = lambda side, j: F.coalesce(F.get(c[side], j), F.lit(""))
+        before = F.concat(*[at(side, i - k) for k in range(_NEAR, 0, -1) for side in ("pieces", "calls")], at("pieces", i))
+        after = F.concat(at("pieces", i + 1), *[at(side, i + k + int(side == "pieces")) for k in range(1, _NEAR + 1) for side in ("calls", "pieces")])
         context = F.struct(
             F.substring(before.cast("binary"), -_CONTEXT, _CONTEXT).cast("string").alias("before"),
             F.substring(after.cast("binary"), 1, _CONTEXT).cast("string").alias("after"),
         )
         sql_type = _let(context, lambda x: value_type(x["before"], x["after"]))
-        return F.struct(F.regexp_extract(c["call"], _VALUE_CALL, 1).alias("path"), sql_type.alias("type"))
+        return F.struct(F.regexp_extract(call, _VALUE_CALL, 1).alias("path"), sql_type.alias("type"))
 
-    return _fields(F.transform(calls, field))
+    return _fields(_let(cut, lambda c: F.transform(c["calls"], lambda call, i: field(c, call, i))))
 
 
 def json_fields(definition: Column) -> Column:

@@ -145,3 +145,24 @@ def test_payloads_join_the_tables(spark, make):
     procs = make.procs([("a", "main", "usp_in", "FROM OPENJSON(@p) WITH (\n a INT\n)")])
     both = K.with_payloads(users(make), procs)
     assert rows(K.schema_contract(both, "ms").filter("table <> 'users'"), "table", "class_name", "field", "type") == [("in_payload", "InPayload", "a", "int")]
+
+
+def test_many_json_calls_stay_linear(spark):
+    import time
+
+    def run(n):
+        text = "select x from OPENJSON(@p);\n" + ",\n".join(f"cast(JSON_VALUE(@p, '$.f{i % 700}') as int)" for i in range(n))
+        start = time.monotonic()
+        found = fields(spark, text.replace("@p,", "p,"))
+        return found, time.monotonic() - start
+
+    run(10)
+    few, short = run(1000)
+    many, long = run(10000)
+    assert many == few and len(many) == 700 and {f[3] for f in many} == {"int"}
+    assert long < 40 * max(short, 0.25)
+
+
+def test_blocks_within_blocks(spark):
+    text = "OPENJSON(@a) WITH (\n a int,\n b int, /* OPENJSON(@b) WITH (\n c int) */\n d int\n) OPENJSON(@c) WITH (\n e int"
+    assert [f[0] for f in fields(spark, text)] == ["a", "b", "c", "d"]
