@@ -27,9 +27,10 @@ def applied_versions(t):
 @query("""
     SELECT target, coalesce(n.version, c.version) AS version, CASE WHEN n.version IS NULL THEN coalesce(c.dirty, false) ELSE false END AS dirty
     FROM cursor_d c FULL JOIN (
-        SELECT target, max(version) AS version FROM ledger_d WHERE status = 'applied' AND version % 3 <> 0 GROUP BY 1) n USING (target)""")
+        SELECT target, max(CASE WHEN status = 'applied' AND version % 3 <> 0 THEN version END) AS version FROM ledger_d GROUP BY 1) n USING (target)""")
 def recompute_cursor(t):
-    return L.recompute_cursor(t.sql("SELECT * FROM ledger_d WHERE version % 3 <> 0"), t.cursor_d)
+    reverted = F.when(F.col("version") % 3 == 0, "reverted").otherwise(F.col("status"))
+    return L.recompute_cursor(t.ledger_d.withColumn("status", reverted), t.cursor_d)
 
 
 @query(f"SELECT {O.LEDGER_TEXT} FROM ({O.upserted('ledger_d', 'changes_d')})")
@@ -45,10 +46,10 @@ def ledger_upsert_latest_hash(t):
 @query("""
     WITH ranked AS (SELECT *, row_number() OVER (PARTITION BY target, version ORDER BY recorded_at, event_id) AS first_rank,
                            row_number() OVER (PARTITION BY target, version ORDER BY recorded_at DESC, event_id DESC) AS last_rank FROM log_d)
-    SELECT l.target, l.version, l.status, l.note, f.content_sha256
+    SELECT l.target, l.version, l.status, cast(l.recorded_at AS varchar) AS recorded_at, l.note, f.content_sha256
     FROM ranked l JOIN ranked f ON f.target = l.target AND f.version = l.version AND f.first_rank = 1 WHERE l.last_rank = 1""")
 def ledger_fold(t):
-    return L.fold(t.log_d, ["recorded_at", "event_id"]).drop("recorded_at")
+    return _text(L.fold(t.log_d, ["recorded_at", "event_id"]))
 
 
 @query(f"WITH {O.SYNCED.strip()} SELECT {O.LEDGER_TEXT} FROM synced")
