@@ -40,4 +40,4 @@ def parent_of(df: DataFrame, child_key: str, parent_key: str, columns: list[str]
     parents = df.select(
         F.col(child_key).alias(parent_key), *[F.col(c).alias(f"parent_{c}") for c in columns]
     )
-    return lookup(df.filter(F.col(parent_key).isNotNull()), parents, [parent_key], [child_key], "inner")
+    return lookup(df.filter(F.col(parent_key).isNotNull()), parents, [parent_key], "inner")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from driftledger import messages as M
 from driftledger.operators.scripts import find, pending, reached, script_facts, split_dirty, with_scripts, script_keys
-from driftledger.operators.skew import lookup, row_counts
+from driftledger.operators.skew import lookup
 from driftledger.schemas import CURSOR, LEDGER, conform
 
 KEYS = ["target", "version"]
@@ -117,15 +117,14 @@ def last_applied(ledger: DataFrame, steps: int) -> DataFrame:
     """
     applied = applied_versions(ledger)
     ends = applied.groupBy("target").agg(F.min("version").alias("_low"), F.max("version").alias("_high"))
-    sizes = row_counts(applied, ["target"])
     width = F.col("_high").cast("double") - F.col("_low") + 1
     part = F.least(F.floor((F.col("version") - F.col("_low")).cast("double") / width * SLICES), F.lit(SLICES - 1))
-    sliced = lookup(applied, ends, ["target"], ["version"], "inner", counts=sizes).select(*KEYS, part.alias("_slice"))
+    sliced = lookup(applied, ends, ["target"], "inner").select(*KEYS, part.alias("_slice"))
     counts = sliced.groupBy("target", "_slice").agg(F.count(F.lit(1)).alias("n_rows"))
     above = Window.partitionBy("target").orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_above", F.coalesce(F.sum("n_rows").over(above), F.lit(0))).filter(F.col("_above") < steps)
     wanted = offsets.select("target", "_slice", "_above")
-    met = lookup(sliced, wanted, ["target", "_slice"], ["version"], "inner", counts=counts)
+    met = lookup(sliced, wanted, ["target", "_slice"], "inner")
     newest_first = Window.partitionBy("target", "_slice").orderBy(F.desc("version"))
     # A rank within a range beyond the limit is beyond it in the target too; this filter acts before the shuffle.
     ranked = met.withColumn("_rank", F.row_number().over(newest_first)).filter(F.col("_rank") <= steps)
@@ -155,12 +154,7 @@ def record_reverted(ledger: DataFrame, corpus: DataFrame, cursor: DataFrame, now
     plan = down_plan(ledger, corpus, steps)
     _, dirty = split_dirty(cursor)
     stopped = blocked_targets(plan).union(dirty.select("target")).distinct()
-    plan = plan.select(*KEYS)
-    if steps > 0:  # few rows per target
-        plan = plan.join(stopped, "target", "left_anti")
-    else:
-        counts = row_counts(applied_versions(ledger), ["target"])
-        plan = lookup(plan, stopped, ["target"], ["version"], "left_anti", counts=counts)
+    plan = lookup(plan.select(*KEYS), stopped, ["target"], "left_anti")
     files = script_facts(corpus, None, M.DOWN).drop("filename")
     hashed = with_scripts(plan, files, script_keys(corpus))
     return upsert(ledger, _changes(hashed, M.REVERTED, now, M.NOTE_REVERTED, F.col("sha256")))
@@ -172,7 +166,7 @@ def soft_reverted(ledger: DataFrame, steps: int = 1) -> DataFrame:
         return applied_versions(ledger).groupBy("target").agg(F.max("version").alias("version"))
     applied = applied_versions(ledger).groupBy("target").agg(F.count(F.lit(1)).alias("_n"))
     taken = F.when(F.col("_n") < steps, F.lit(1)).otherwise(F.lit(steps))
-    return last_applied(ledger, steps).join(applied, "target").filter(F.col("step") <= taken).select(*KEYS)
+    return lookup(last_applied(ledger, steps), applied, ["target"], "inner").filter(F.col("step") <= taken).select(*KEYS)
 
 
 def soft_revert(ledger: DataFrame, now: dt.datetime, steps: int = 1, cursor: DataFrame | None = None) -> DataFrame:
@@ -183,7 +177,7 @@ def soft_revert(ledger: DataFrame, now: dt.datetime, steps: int = 1, cursor: Dat
     taken = soft_reverted(ledger, steps)
     if cursor is not None:
         _, dirty = split_dirty(cursor)
-        taken = taken.join(dirty.select("target"), "target", "left_anti")
+        taken = lookup(taken, dirty.select("target"), ["target"], "left_anti")
     return upsert(ledger, _changes(taken, M.REVERTED, now, M.NOTE_SOFT_REVERTED))
 
 

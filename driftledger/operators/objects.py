@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from driftledger.operators.skew import lookup
-from driftledger.sources.shared import share
 
 OBJECT = ["schema", "name", "kind"]
 
@@ -19,13 +18,12 @@ def _keyed(df: DataFrame, ignore_schema: bool, case_sensitive: bool) -> tuple[Da
 
 
 def _match(claims: DataFrame, objects: DataFrame, how: str, ignore_schema: bool, case_sensitive: bool) -> DataFrame:
-    # Claims come out of script text; they are read for the match and for counting.
-    many, keys = _keyed(share(claims, "claims"), ignore_schema, case_sensitive)
+    many, keys = _keyed(claims, ignore_schema, case_sensitive)
     there, _ = _keyed(objects, ignore_schema, case_sensitive)
     there = there.select(*keys).distinct()
     if how == "left":
         there = there.withColumn("_there", F.lit(True))
-    return lookup(many, there, keys, claims.columns, how).drop(*keys)
+    return lookup(many, there, keys, how).drop(*keys)
 
 
 def object_exists(

@@ -61,10 +61,10 @@ def find(corpus: DataFrame, keys: DataFrame, direction: str = M.UP, location: st
 def with_scripts(rows: DataFrame, scripts: DataFrame, on: list[str]) -> DataFrame:
     """Left join of (target, version) rows with one row per script.
 
-    In a shared corpus all targets meet at the same versions, hence the spread by target.
+    In a shared corpus all targets meet at the same versions, so the join may be split there.
     """
     if on == ["version"]:
-        return lookup(rows, scripts, on, ["target"])
+        return lookup(rows, scripts, on)
     return rows.join(scripts, on, "left")
 
 
@@ -139,19 +139,20 @@ def pending(
 
     The cursor decides, not the ledger. ``cursor`` names the targets when the corpus is shared;
     a corpus with targets is pending as a whole where the cursor has no row, unless
-    ``listed_only``. ``skip_dirty`` leaves out targets where nothing may be applied.
+    ``listed_only``. With a shared corpus each pair of a target and a script above its cursor is a
+    row, as the pairs are the answer; :func:`pending_summary` counts them without forming them. ``skip_dirty`` leaves out targets where nothing may be applied.
     """
     columns = ["filename"] if columns is None else columns
     scripts, places = corpus_up(corpus), _positions(cursor)
     if has_target(corpus):
         scripts = scripts.select("target", "version", *columns)
-        placed = lookup(scripts, places, ["target"], ["version"], "inner" if listed_only else "left")
+        placed = lookup(scripts, places, ["target"], "inner" if listed_only else "left")
         if skip_dirty:
             placed = placed.filter(~F.coalesce("_dirty", F.lit(False)))
         return placed.filter("position IS NULL OR version > position").drop("position", "_dirty")
     scripts = script_keys_above(scripts.select("version", *columns))
     targets = cursor_keys_above(places.filter(~F.col("_dirty")) if skip_dirty else places)
-    return lookup(targets, scripts, KEYS, ["target"], "inner").select("target", "version", *columns)
+    return lookup(targets, scripts, KEYS, "inner").select("target", "version", *columns)
 
 
 def pending_summary(corpus: DataFrame, cursor: DataFrame) -> DataFrame:
@@ -165,7 +166,7 @@ def pending_summary(corpus: DataFrame, cursor: DataFrame) -> DataFrame:
         per_key = script_keys_above(corpus_up(corpus).select("version", "filename")).groupBy(*KEYS)
         per_key = per_key.agg(F.count(F.lit(1)).alias("n"), first)
         keys = cursor_keys_above(_positions(cursor))
-        counted = lookup(keys, per_key, KEYS, ["target"], "inner").groupBy("target")
+        counted = lookup(keys, per_key, KEYS, "inner").groupBy("target")
         counted = counted.agg(F.sum("n").alias("n_pending"), F.min("_next").alias("_next"))
     return counted.select(
         "target", "n_pending", F.col("_next.version").alias("next_version"), F.col("_next.filename").alias("next_file")
@@ -175,13 +176,17 @@ def pending_summary(corpus: DataFrame, cursor: DataFrame) -> DataFrame:
 def pending_scripts(corpus: DataFrame, cursor: DataFrame) -> DataFrame:
     """Dry run: pending scripts with their text; a dirty target yields one row with ``error`` instead.
 
-    What is pending is worked out without the text. Where that is little, the text is then picked
-    from the scan without being shuffled.
+    A corpus with targets is filtered as it is read wherever the cursor is small enough to be broadcast: text that is not
+    pending is never shuffled. With a shared corpus the pairs of target and script are the result; they are worked out
+    without the text, which joins them last.
     """
     _, dirty = split_dirty(cursor)
-    wanted = pending(corpus, cursor, skip_dirty=True)
-    files = [*script_keys(corpus), "filename"]
-    scripts = wanted.join(corpus_up(corpus).select(*files, "body"), files)
+    if has_target(corpus):
+        scripts = pending(corpus, cursor, ["filename", "body"], skip_dirty=True)
+    else:
+        files = ["version", "filename"]
+        wanted = pending(corpus, cursor, skip_dirty=True)
+        scripts = lookup(wanted, corpus_up(corpus).select(*files, "body"), files, "inner")
     scripts = scripts.select("target", "version", "filename", "body", F.lit(None).cast("string").alias("error"))
     refused = dirty.select(
         "target",
@@ -198,8 +203,8 @@ def reached(corpus: DataFrame, cursor: DataFrame) -> DataFrame:
     scripts = corpus_up(corpus)
     if has_target(corpus):
         places = _positions(cursor).select("target", "position")
-        placed = lookup(scripts.select("target", "version"), places, ["target"], ["version"], "inner")
+        placed = lookup(scripts.select("target", "version"), places, ["target"], "inner")
         return placed.filter("version <= position").select("target", "version").distinct()
     keys = script_keys_up_to(scripts.select("version").distinct())
     targets = cursor_keys_up_to(_positions(cursor))
-    return lookup(targets, keys, KEYS, ["target"], "inner").select("target", "version")
+    return lookup(targets, keys, KEYS, "inner").select("target", "version")

@@ -1,50 +1,30 @@
-"""Joining many rows to few rows per key when some keys hold a large part of the many.
+"""Joining rows to rows of the same key when some keys hold a large part of either side.
 
-Adaptive execution splits a skewed join only when nothing downstream needs the
-join's partitioning and both inputs come straight from a shuffle. A lookup on
-``target`` followed by a count per target meets neither condition, so hot keys
-are spread here by an explicit salt. Other keys are joined as they are.
+Adaptive execution splits a hot partition of a join when both inputs come straight from a shuffle and
+nothing downstream relies on the join's partitioning. A lookup on ``target`` of an aggregate per target,
+followed by a count per target, meets neither condition, so lookups get a partitioning of their own.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-# A key with more rows than this is spread over several tasks.
-HOT_ROWS = 10_000_000
-
 
 def row_counts(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-def lookup(
-    many: DataFrame,
-    few: DataFrame,
-    keys: list[str],
-    salt_by: list[str],
-    how: str = "left",
-    hot_rows: int | None = None,
-    counts: DataFrame | None = None,
-) -> DataFrame:
+def lookup(many: DataFrame, few: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Join ``many`` to ``few`` on ``keys``; ``how`` is inner, left, left_semi or left_anti.
 
-    ``salt_by`` names columns of ``many`` that tell the rows of a hot key apart. The rows of
-    ``few``, mostly one per key, are copied once per salt of a hot key.
-    ``counts`` (keys, n_rows) saves the counting pass where the caller has the numbers already.
+    A hash of the keys is a join key besides them. So no aggregate below or above shares the join's
+    partitioning, both inputs are shuffled for this join alone, and adaptive execution can split the rows
+    of any hot key, NULL among them, whichever side holds them. Nothing is counted beforehand, and a side
+    is broadcast only where the optimizer knows it to be small.
 
-    The broadcast list holds only keys with over ``hot_rows`` rows: at most
-    rows / hot_rows of them, 100,000 for 10^12 rows.
+    Keys whose types differ between the sides hash differently and are left out of the hash.
     """
-    hot_rows = HOT_ROWS if hot_rows is None else hot_rows
-    counts = row_counts(many, keys) if counts is None else counts
-    hot = F.broadcast(
-        counts.filter(F.col("n_rows") > hot_rows).select(
-            *keys, F.ceil(F.col("n_rows") / hot_rows).cast("int").alias("_salts")
-        )
-    )
-    salt = F.coalesce(F.pmod(F.xxhash64(*salt_by), F.col("_salts")).cast("int"), F.lit(0))
-    last = F.coalesce(F.col("_salts"), F.lit(1)) - 1
-    salted = many.join(hot, keys, "left").withColumn("_salt", salt).drop("_salts")
-    copies = few.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), last))).drop("_salts")
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+    left, right = ({f.name: f.dataType for f in df.select(*keys).schema} for df in (many, few))
+    hashed = F.xxhash64(F.lit(0), *[k for k in keys if left[k] == right[k]])
+    both = [df.withColumn("_spread", hashed) for df in (many, few)]
+    return both[0].join(both[1], [*keys, "_spread"], how).drop("_spread")

@@ -44,7 +44,7 @@ def resolve_class_names(columns: DataFrame) -> DataFrame:
     """
     tables = columns.select(*TABLE).distinct().withColumn("_name", pascal_case(F.col("table")))
     repeated = row_counts(tables, ["target", "_name"]).filter("n_rows > 1")
-    marked = lookup(tables, repeated, ["target", "_name"], ["schema", "table"], counts=repeated)
+    marked = lookup(tables, repeated, ["target", "_name"])
     prefixed = F.concat(pascal_case(F.col("schema")), F.col("_name"))
     return marked.select(*TABLE, F.when(F.col("n_rows") > 1, prefixed).otherwise(F.col("_name")).alias("class_name"))
 
@@ -55,8 +55,7 @@ def class_name_collisions(columns: DataFrame) -> DataFrame:
     named = resolve_class_names(columns)
     owner = F.min(F.struct("schema", "table")).alias("_owner")
     shared = named.groupBy("target", "class_name").agg(F.count(F.lit(1)).alias("n_rows"), owner).filter("n_rows > 1")
-    counts = shared.select("target", "class_name", "n_rows")
-    met = lookup(named, shared.drop("n_rows"), ["target", "class_name"], ["schema", "table"], "inner", counts=counts)
+    met = lookup(named, shared.drop("n_rows"), ["target", "class_name"], "inner")
     other = met.filter(F.struct("schema", "table") != F.col("_owner"))
     of = lambda *parts: F.concat_ws(".", *parts)
     error = F.format_string('class name "%s" of "%s" is taken by "%s"', "class_name", of("schema", "table"), of("_owner.schema", "_owner.table"))
@@ -66,7 +65,7 @@ def class_name_collisions(columns: DataFrame) -> DataFrame:
 def schema_contract(columns: DataFrame, dialect: str) -> DataFrame:
     """(target, schema, table, class_name, ordinal, field, alias, type, ..., nullable), one row per column."""
     names = resolve_class_names(columns)
-    rows = lookup(typed(columns, dialect), names, TABLE, ["column"])
+    rows = lookup(typed(columns, dialect), names, TABLE)
     return rows.select(
         *TABLE,
         "class_name",

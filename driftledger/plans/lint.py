@@ -49,7 +49,7 @@ def _duplicate_findings(parsed: DataFrame) -> DataFrame:
     named = up.join(repeated, keys).groupBy(*keys).agg(F.array_sort(F.collect_list("filename")).alias("names"))
     message = F.format_string(M.LINT_DUPLICATE, F.col("version").cast("string"), F.array_join("names", ", "))
     texts = named.select(*keys, message.alias("message"))
-    return lookup(up, texts, keys, ["filename"], "inner", counts=repeated).select(
+    return lookup(up, texts, keys, "inner").select(
         *_group(parsed), F.col("filename").alias("file"), "version", F.lit(M.RULE_DUPLICATE).alias("rule"), "message"
     )
 

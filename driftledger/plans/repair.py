@@ -63,7 +63,7 @@ def parse_instructions(df: DataFrame, text: str = "instructions") -> DataFrame:
 
 def accepted_instructions(parsed: DataFrame) -> DataFrame:
     """Instructions of the targets all of whose parts are valid: one bad part rejects the whole text."""
-    accepted = lookup(parsed, blocked_targets(parsed), ["target"], ["pos"], "left_anti")
+    accepted = lookup(parsed, blocked_targets(parsed), ["target"], "left_anti")
     return conform(accepted, INSTRUCTIONS)
 
 
@@ -113,7 +113,7 @@ def repair(
     asked = instructions.select("target").distinct()
     refused = dirty.join(asked, "target", "left_semi").select("target", "version", "error")
     violations = share(violations.unionByName(refused), "violations")
-    granted = lookup(instructions, blocked_targets(violations), ["target"], ["version"], "left_anti")
+    granted = lookup(instructions, blocked_targets(violations), ["target"], "left_anti")
     synced = backfill(ledger, corpus, conform(cursor, CURSOR).join(asked, "target", "left_semi"))
     new_ledger = set_status(synced, granted, now)
 

@@ -96,7 +96,7 @@ def plan_lines(
         "target", F.lit("pending").alias("section"), "version", F.col("filename").alias("line")
     )
     placed = cursor.filter("version IS NOT NULL").select("target")
-    audited = lookup(ledger, placed, ["target"], ["version"], "left_semi")
+    audited = lookup(ledger, placed, ["target"], "left_semi")
     report = verify(audited, corpus, objects, dialect)
     drift = report.filter(F.col("status") != M.OK).select(
         "target",

@@ -42,7 +42,7 @@ def audited(ledger: DataFrame, corpus: DataFrame, dialect: str) -> DataFrame:
 
 
 def object_facts(rows: DataFrame, objects: DataFrame) -> DataFrame:
-    """One row per object: does it exist, was it dropped for good, and how many rows claim it.
+    """One row per object: that any row claims: does it exist, was it dropped for good.
 
     Claims, drops and live objects go through one aggregation that combines before its shuffle.
     """
@@ -75,7 +75,7 @@ def object_facts(rows: DataFrame, objects: DataFrame) -> DataFrame:
         F.sum("n").alias("n_rows"),
         F.max("e").alias("exists"),
     )
-    return facts.filter("n_rows > 0").select("target", *OBJECT, "n_rows", "exists", gone_at().alias("gone_at"))
+    return facts.filter("n_rows > 0").select("target", *OBJECT, "exists", gone_at().alias("gone_at"))
 
 
 def _facts_by_name(rows: DataFrame, objects: DataFrame) -> DataFrame:
@@ -85,7 +85,7 @@ def _facts_by_name(rows: DataFrame, objects: DataFrame) -> DataFrame:
     """
     facts = object_facts(rows, objects.limit(0)).drop("exists")
     there = objects.select("target", "name", "kind").distinct().withColumn("exists", F.lit(True))
-    joined = lookup(facts, there, ["target", "name", "kind"], ["schema"])
+    joined = lookup(facts, there, ["target", "name", "kind"])
     return joined.withColumn("exists", F.coalesce("exists", F.lit(False)))
 
 
@@ -96,14 +96,7 @@ def object_findings(rows: DataFrame, objects: DataFrame, dialect: str) -> DataFr
     keys = ["target", *OBJECT]
     claims = rows.filter(F.size("created") > 0).select("target", "version", "status", F.posexplode("created"))
     claims = claims.select("target", "version", "status", "pos", "col.*")
-    judged = lookup(
-        claims,
-        facts.drop("n_rows"),
-        keys,
-        ["version", "pos"],
-        "inner",
-        counts=facts.select(*keys, "n_rows"),
-    )
+    judged = lookup(claims, facts, keys, "inner")
     excused = F.coalesce(F.col("gone_at") > F.col("version"), F.lit(False))
     missing = (F.col("status") == M.APPLIED) & ~F.col("exists") & ~excused
     leftover = (F.col("status") == M.REVERTED) & F.col("exists")

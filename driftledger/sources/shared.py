@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: list[str] = []
+
 
 def shared_folder(spark: SparkSession) -> str | None:
     """The folder all executors can reach, as the session names it; None if it names none."""
@@ -15,11 +17,20 @@ def shared_folder(spark: SparkSession) -> str | None:
 def share(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and read it back, so that its branches do not each recompute it.
 
-    Without a shared folder the plan is used as it is: same result, more work.
+    Without a shared folder the plan is used as it is: same result, more work. The table stays until
+    :func:`release`, as the report that reads it runs later.
     """
     folder = shared_folder(df.sparkSession)
     if folder is None:
         return df
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables that :func:`share` has written; for when the reports that read them are done."""
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -135,3 +135,16 @@ def test_object_operators(spark, make):
     assert rows(J.object_exists(claims, live, case_sensitive=False), *key, "exists")[0] == ("a", 1, True)
     assert rows(J.missing_objects(claims, live, ignore_schema=True), *key) == [("b", 1)]
     assert rows(J.leftover_objects(claims, live), *key) == [("a", 2)]
+
+
+def test_shared_tables_can_be_released(spark, make):
+    import os
+
+    from driftledger.plans.verify import verify
+    from driftledger.sources.shared import release
+
+    folder = spark.conf.get("spark.checkpoint.dir")
+    verify(make.ledger([("a", 1, "applied")]), make.corpus([make.script("a", 1, "create table t (i int);")]), make.objects([]), "pg").collect()
+    assert any(f.startswith("audited-") for f in os.listdir(folder))
+    release(spark)
+    assert not [f for f in os.listdir(folder) if f.startswith(("audited-", "instructed-", "violations-"))]
