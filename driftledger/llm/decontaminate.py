@@ -27,49 +27,92 @@ MARKS = (
     (r"(^|[^\p{L}\p{N}.,:/])(\p{N}+(?:[.,:/]\p{N}+)*)", rf"$1{NUMBER}$2"),
     (rf"(^|[^\p{{L}}\p{{M}}\p{{N}}{START}'’-])(\p{{Lu}})", rf"$1{NAME}$2"),
 )
-TOKEN = rf"[{NUMBER}{NAME}]?[\p{{L}}\p{{M}}\p{{N}}]+(?:[.,:/'’-][\p{{L}}\p{{M}}\p{{N}}]+)*"
+#: A mark within a word ("U.S.", "end.Next") types nothing: the word is cut as its lower-case copy is.
+TOKEN = rf"[{NUMBER}{NAME}]?[\p{{L}}\p{{M}}\p{{N}}]+(?:[.,:/'’-]{NAME}?[\p{{L}}\p{{M}}\p{{N}}]+)*"
 
 
 def tokens(text: str | Column) -> Column:
-    """Lower-case words; numbers, and capitalised words that start no sentence, have their type before them."""
+    """Case-folded words; numbers, and capitalised words that start no sentence, have their type before them."""
     marked = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
     for pattern, replacement in MARKS:
         marked = F.regexp_replace(marked, pattern, replacement)
-    return F.regexp_extract_all(F.lower(marked), F.lit(TOKEN), F.lit(0))
+    return F.regexp_extract_all(F.lower(F.upper(marked)), F.lit(TOKEN), F.lit(0))
 
 
-def template(found: Column) -> Column:
-    """The words with their slots emptied: a number, name or unit is its type only."""
+def folded(found: Column) -> Column:
+    """The words without the marks of names, which depend on the case a text is written in."""
+    return F.transform(found, lambda t: F.translate(t, NAME, ""))
+
+
+def template(words: Column) -> Column:
+    """The folded words with their slots emptied: a number or unit is its type only. Names stay as they are."""
     return F.transform(
-        found,
-        lambda t: F.when(F.substring(t, 1, 1).isin(NUMBER, NAME), F.substring(t, 1, 1)).when(t.isin(*UNITS), F.lit(UNIT)).otherwise(t),
+        words,
+        lambda t: F.when(F.startswith(t, F.lit(NUMBER)), F.lit(NUMBER)).when(t.isin(*UNITS), F.lit(UNIT)).otherwise(t),
     )
 
 
-def _each_window(of: Column, window) -> Column:
-    last = F.size(of) - WINDOW
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), window))
+def renamed(found: Column, plain: Column) -> Column:
+    """The template with the slots of names emptied too."""
+    return F.zip_with(found, plain, lambda t, p: F.when(F.startswith(t, F.lit(NAME)), F.lit(NAME)).otherwise(p))
+
+
+def _shaped(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, words, plain, shape, kinds) of each text: folded words, both templates, and 0 for a literal word, 1 for a number
+    or unit and 2 for a name."""
+    found = rows.select(*keys, tokens("text").alias("found"))
+    found = found.select(*keys, "found", folded(F.col("found")).alias("words"))
+    found = found.select(*keys, "found", "words", template(F.col("words")).alias("plain"))
+    found = found.select(*keys, "words", "plain", renamed(F.col("found"), F.col("plain")).alias("shape"))
+    kind = lambda s: F.when(s.isin(NUMBER, UNIT), F.lit(1)).when(s == NAME, F.lit(2)).otherwise(F.lit(0))
+    return found.select("*", F.transform("shape", kind).alias("kinds"))
+
+
+def _each_window(window) -> Column:
+    """``window(i)`` of each window: an array of its probes, of which there are up to two."""
+    last = F.size("shape") - WINDOW
+    return F.when(last >= 0, F.flatten(F.transform(F.sequence(F.lit(0), last), window)))
+
+
+def _at(column: str, i: Column) -> Column:
+    return F.slice(column, i + 1, F.lit(WINDOW))
+
+
+def _renames(i: Column) -> Column:
+    """Whether the window at i has names to empty, and enough literal words without them."""
+    kinds = _at("kinds", i)
+    return F.array_contains(kinds, F.lit(2)) & (F.size(F.filter(kinds, lambda k: k == 0)) >= LITERAL)
 
 
 def _windows(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, pos, hash, shape, words) of each window of ``rows(keys, found, shape)``."""
-    each = _each_window(
-        F.col("shape"),
-        lambda i: F.struct(F.slice("shape", i + 1, F.lit(WINDOW)).alias("shape"), F.slice("found", i + 1, F.lit(WINDOW)).alias("words")),
-    )
-    exploded = rows.select(*keys, F.posexplode(each).alias("pos", "window"))
-    return exploded.select(*keys, "pos", F.xxhash64("window.shape").alias("hash"), "window.shape", "window.words")
+    """(keys, pos, hash, shape, words, kinds) of each probe of the windows of ``rows``, as of ``_shaped``."""
 
+    def probes(i: Column) -> Column:
+        rest = [i.alias("pos"), _at("words", i).alias("words"), _at("kinds", i).alias("kinds")]
+        of = lambda shape: F.struct(_at(shape, i).alias("shape"), *rest)
+        return F.when(_renames(i), F.array(of("plain"), of("shape"))).otherwise(F.array(of("plain")))
 
-def _shaped(rows: DataFrame, keys: list[str]) -> DataFrame:
-    return rows.select(*keys, tokens("text").alias("found")).select(*keys, "found", template(F.col("found")).alias("shape"))
+    exploded = rows.select(*keys, F.explode(_each_window(probes)).alias("window"))
+    return exploded.select(*keys, "window.pos", F.xxhash64("window.shape").alias("hash"), "window.shape", "window.words", "window.kinds")
+
+
+def _hashes(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, hash) of the same probes."""
+
+    def probes(i: Column) -> Column:
+        of = lambda shape: F.xxhash64(_at(shape, i))
+        return F.when(_renames(i), F.array(of("plain"), of("shape"))).otherwise(F.array(of("plain")))
+
+    return rows.select(*keys, F.explode(_each_window(probes)).alias("hash"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, text_hash, item_id, offset, n_windows): aligned occurrences of benchmark items in documents.
 
     Texts become templates in which numbers, names and units are typed slots. Windows of eight template words with at least
-    four literal ones are joined by hash and compared in full. All windows of one alignment (the distance between the places
+    four literal ones are joined by hash and compared in full. A window with names has a second template that keeps them as
+    words: names show by their capitals only, so a copy in capitals, in lower case or in title case meets the item there.
+    All windows of one alignment (the distance between the places
     in the document and the item) must fill the slots alike: a value of the item always stands for the same value of the
     document, and no other does. So a question with other numbers or names is found; texts that merely share a form and
     contradict themselves are not.
@@ -86,8 +129,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     key = ["doc_id", "text_hash"]
     rows = docs.select("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("text_hash"), "text")
 
-    shapes = rows.select(*key, template(tokens("text")).alias("shape"))
-    hashes = shapes.select(*key, F.explode(_each_window(F.col("shape"), lambda i: F.xxhash64(F.slice("shape", i + 1, F.lit(WINDOW))))).alias("hash"))
+    hashes = _hashes(_shaped(rows, key), key)
     touched = stored(hashes.join(sent(items.select("hash").distinct()), "hash", "left_semi").select(*key).distinct())
 
     again = rows.join(
@@ -95,11 +137,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.col("doc_id").eqNullSafe(F.col("d__")) & F.col("text_hash").eqNullSafe(F.col("t__")),
         "left_semi",
     )
-    theirs = items.select("hash", "shape", "item_id", F.col("pos").alias("item_pos"), F.col("words").alias("item_words"))
-    met = _windows(_shaped(again, key), key).join(sent(theirs), ["hash", "shape"])
-    slots = F.filter(
-        F.arrays_zip(F.col("shape").alias("kind"), F.col("words").alias("here"), F.col("item_words").alias("there")),
-        lambda s: s["kind"].isin(NUMBER, NAME, UNIT),
+    theirs = items.select("hash", "shape", "item_id", F.col("pos").alias("item_pos"), F.col("words").alias("item_words"), F.col("kinds").alias("item_kinds"))
+    met = _windows(_shaped(again, key), key).drop("kinds").join(sent(theirs), ["hash", "shape"])
+    # What is a name is read from the item, as a document in another case shows no names.
+    slots = F.transform(
+        F.filter(F.arrays_zip(F.col("item_kinds").alias("kind"), F.col("words").alias("here"), F.col("item_words").alias("there"), F.col("shape").alias("type")), lambda s: s["kind"] > 0),
+        lambda s: F.struct(F.when(s["type"].isin(NUMBER, UNIT), s["type"]).otherwise(NAME).alias("kind"), s["here"].alias("here"), s["there"].alias("there")),
     )
     lined = met.select(*key, "item_id", (F.col("pos") - F.col("item_pos")).alias("offset"), "item_pos", slots.alias("slots"))
     # The slots of one alignment are at most the words of the item.

@@ -365,6 +365,17 @@ def test_leaks(spark):
     assert decontaminate.contamination(docs.limit(0), items).count() == 0
 
 
+def test_leaks_in_another_case(spark):
+    item = "Last week old Alice Miller sold 12 apples to Bob Stone in Paris, U.S.A, and then Carol Reed ate 4 of the apples with Dave."
+    rows = list(enumerate([item, item.upper(), item.lower(), item.title(), item.upper().replace("12", "99"), item.lower().replace("alice", "nobody").replace("carol", "nobody else"), "NOTHING OF THE KIND IS HERE " * 3]))
+    docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string")
+    for texts_, leaked in ((docs, [0, 1, 2, 3, 4]), (docs.where("doc_id < 2"), [0, 1])):
+        found = {r.doc_id for r in decontaminate.contamination(texts_, items).where("contaminated").collect()}
+        assert found - {5} == set(leaked)
+    loud = spark.createDataFrame([(7, item.upper())], "item_id long, text string")
+    assert {0, 1, 2, 3, 4} <= {r.doc_id for r in decontaminate.contamination(docs, loud).where("contaminated").collect()}
+
+
 def test_leaks_of_whole_table(spark, documents, texts):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     strip = lambda t: [w for w in "".join(c if c.isalnum() else " " for c in t.lower()).split()]
