@@ -10,6 +10,8 @@ from driftledger.llm.common import stored
 WINDOW = 8
 #: Words of a window that must be literal, not placeholders.
 LITERAL = 4
+#: Windows in a row that fill their slots alike, where the alignment as a whole does not: 23 words.
+RUN = 2 * WINDOW
 #: Benchmark windows up to which they are sent to all tasks. Beyond it they are shuffled like the documents' windows.
 BROADCAST_WINDOWS = 200_000
 
@@ -112,10 +114,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Texts become templates in which numbers, names and units are typed slots. Windows of eight template words with at least
     four literal ones are joined by hash and compared in full. A window with names has a second template that keeps them as
     words: names show by their capitals only, so a copy in capitals, in lower case or in title case meets the item there.
-    All windows of one alignment (the distance between the places
-    in the document and the item) must fill the slots alike: a value of the item always stands for the same value of the
-    document, and no other does. So a question with other numbers or names is found; texts that merely share a form and
-    contradict themselves are not.
+    The windows of one alignment (the distance between the places in the document and the item) must fill the slots alike: a
+    value of the item always stands for the same value of the document, and no other does. So a question with other numbers
+    or names is found; texts that merely share a form and contradict themselves are not.
+
+    An alignment that contradicts itself somewhere still counts with each window that is a copy word for word, and with each
+    run of RUN or more windows in a row that is free of contradiction. What stays unfound is a contradictory alignment
+    without a copied window whose runs are all shorter: such short runs of rewritten text are a shared form.
 
     Only documents with a window in common are looked at a second time. text_hash is set for rows without doc_id only, which
     are told apart by their texts; rows that share a doc_id are one document. Null and empty texts, and items or documents
@@ -140,17 +145,60 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     theirs = items.select("hash", "shape", "item_id", F.col("pos").alias("item_pos"), F.col("words").alias("item_words"), F.col("kinds").alias("item_kinds"))
     met = _windows(_shaped(again, key), key).drop("kinds").join(sent(theirs), ["hash", "shape"])
     # What is a name is read from the item, as a document in another case shows no names.
-    slots = F.transform(
-        F.filter(F.arrays_zip(F.col("item_kinds").alias("kind"), F.col("words").alias("here"), F.col("item_words").alias("there"), F.col("shape").alias("type")), lambda s: s["kind"] > 0),
-        lambda s: F.struct(F.when(s["type"].isin(NUMBER, UNIT), s["type"]).otherwise(NAME).alias("kind"), s["here"].alias("here"), s["there"].alias("there")),
-    )
-    lined = met.select(*key, "item_id", (F.col("pos") - F.col("item_pos")).alias("offset"), "item_pos", slots.alias("slots"))
-    # The slots of one alignment are at most the words of the item.
+    each = F.transform(
+        F.arrays_zip(F.col("item_kinds").alias("kind"), F.col("words").alias("here"), F.col("item_words").alias("there"), F.col("shape").alias("type")),
+        lambda s, i: F.struct(
+            F.when(s["kind"] > 0, F.when(s["type"].isin(NUMBER, UNIT), s["type"]).otherwise(NAME)).alias("kind"),
+            s["here"].alias("here"), s["there"].alias("there"), (F.col("item_pos") + i).alias("at"),
+        ),
+    )
+    slots = F.filter(each, lambda s: s["kind"].isNotNull())
+    copied = F.when(F.col("words") == F.col("item_words"), F.col("item_pos"))
+    lined = met.select(*key, "item_id", (F.col("pos") - F.col("item_pos")).alias("offset"), "item_pos", copied.alias("copied"), slots.alias("slots"))
+    # The windows and slots of one alignment are at most the words of the item.
     runs = lined.groupBy(*key, "item_id", "offset").agg(
-        F.countDistinct("item_pos").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")
+        F.array_sort(F.collect_set("item_pos")).alias("windows"),
+        F.collect_set("copied").alias("copied"),
+        F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
     )
-    distinct = lambda side: F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s[side]))))
-    return runs.where((distinct("there") == F.size("slots")) & (distinct("here") == F.size("slots"))).select(*key, "item_id", "offset", "n_windows")
+    runs = runs.select("*", F.concat(_clashes("there", "here"), _clashes("here", "there")).alias("clashes"))
+    n_windows = F.when(F.size("clashes") == 0, F.size("windows")).otherwise(F.size(F.array_union("copied", _in_runs())))
+    return runs.select(*key, "item_id", "offset", n_windows.cast("long").alias("n_windows")).where("n_windows > 0")
+
+
+def _clashes(of: str, to: str) -> Column:
+    """(first, last) of the places of each two neighbouring slots that hold one value of side ``of`` and two of side ``to``.
+
+    Between any two slots that clash so lie two neighbours that do, so these are enough to tell which runs are free.
+    """
+    ordered = F.array_sort(F.transform("slots", lambda s: F.struct(s["kind"], s[of].alias("of"), s["at"], s[to].alias("to"))))
+    pair = lambda a, b: F.when((a["kind"] == b["kind"]) & (a["of"] == b["of"]) & (a["to"] != b["to"]), F.struct(a["at"].alias("first"), b["at"].alias("last")))
+    n = F.greatest(F.size("slots") - 1, F.lit(0))
+    return F.filter(F.zip_with(F.slice(ordered, F.lit(1), n), F.slice(ordered, F.lit(2), n), pair), lambda c: c.isNotNull())
+
+
+def _in_runs() -> Column:
+    """The windows within a run of RUN or more without a clash; a run ends where a window is missing.
+
+    Clashes and windows are gone through in order of place, and the first window of the run that ends here is carried on.
+    """
+    least = F.lit(-(2**31) + 1)
+    events = F.array_sort(F.concat(
+        F.transform("clashes", lambda c: F.struct((c["last"] - WINDOW + 1).alias("at"), F.lit(0).alias("window"), (c["first"] + 1).alias("low"))),
+        F.transform("windows", lambda w: F.struct(w.alias("at"), F.lit(1).alias("window"), w.alias("low"))),
+    ))
+    state = F.struct(least.alias("low"), least.alias("before"), F.array().cast("array<struct<low:int,end:int>>").alias("runs"))
+
+    def step(s: Column, e: Column) -> Column:
+        low = F.when((e["window"] == 0) | (e["at"] != s["before"] + 1), F.greatest(s["low"], e["low"])).otherwise(s["low"])
+        long = (e["window"] == 1) & (e["at"] - low + 1 >= RUN)
+        # A run that grows by a window takes the place of what it was.
+        last = F.element_at(s["runs"], -1)
+        grown = F.when(F.size(s["runs"]) > 0, last["low"] == low).otherwise(F.lit(False))
+        runs = F.concat(F.when(grown, F.slice(s["runs"], F.lit(1), F.size(s["runs"]) - 1)).otherwise(s["runs"]), F.array(F.struct(low.alias("low"), e["at"].alias("end"))))
+        return F.struct(low.alias("low"), F.when(e["window"] == 1, e["at"]).otherwise(s["before"]).alias("before"), F.when(long, runs).otherwise(s["runs"]).alias("runs"))
+
+    return F.aggregate(events, state, step, lambda s: F.array_distinct(F.flatten(F.transform(s["runs"], lambda r: F.sequence(r["low"], r["end"])))))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

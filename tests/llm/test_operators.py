@@ -376,6 +376,27 @@ def test_leaks_in_another_case(spark):
     assert {0, 1, 2, 3, 4} <= {r.doc_id for r in decontaminate.contamination(docs, loud).where("contaminated").collect()}
 
 
+def test_leaks_that_contradict_themselves_somewhere(spark):
+    words = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    words[3] = words[33] = words[53] = "Alice"
+    words[20], words[40] = "12", "34"
+    item = " ".join(words)
+    one = " ".join([*words[:53], "Eve", *words[54:]])  # a copy with one other name
+    renamed = item.replace("Alice", "Bob").replace("12", "56")
+    far = " ".join([*renamed.split()[:53], "Eve", *renamed.split()[54:]])
+    short = " ".join(["Other" if i % 7 == 3 else w for i, w in enumerate(words)])  # no window is copied, and names stand for many
+    rows = [(1, one), (2, far), (4, short), (5, item), (6, renamed)]
+    many = " ".join([w if i % 7 != 3 else w.capitalize() for i, w in enumerate(words)])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.n_windows for r in decontaminate.contamination(docs.where("doc_id != 4"), spark.createDataFrame([(7, item)], "item_id long, text string")).where("contaminated").collect()}
+    assert set(found) == {1, 2, 5, 6}
+    assert found[5] == found[6] == 53
+    # Windows 0..45 do not see the last name, and windows 34..52 see no other: each window is in one of two runs.
+    assert found[1] == found[2] == 53
+    found = decontaminate.contamination(docs.where("doc_id = 4"), spark.createDataFrame([(8, many)], "item_id long, text string"))
+    assert found.where("contaminated").count() == 0
+
+
 def test_leaks_of_whole_table(spark, documents, texts):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     strip = lambda t: [w for w in "".join(c if c.isalnum() else " " for c in t.lower()).split()]
