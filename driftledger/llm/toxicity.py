@@ -45,25 +45,26 @@ def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (start, end, score) in one pass: no segment can be made longer or joined for more score.
 
     Candidates stay on a stack with the running sums at their ends. A new positive score joins the candidates back to the
-    last one that starts lower and ends lower, until none does.
+    last one that starts lower and ends lower, until none does. Each knows the last one that starts lower, so those between
+    are not gone through again.
     """
-    stack: list[tuple[int, int, float, float]] = []  # start, end, sum before it, sum through it
+    stack: list[tuple[int, int, float, float, int]] = []  # start, end, sum before it, sum through it, the last that starts lower
     total = 0.0
     for i, score in enumerate(scores):
         before, total = total, total + score
         if score <= 0:
             continue
         start, low = i, before
-        while stack:
+        while True:
             j = len(stack) - 1
             while j >= 0 and stack[j][2] >= low:
-                j -= 1
+                j = stack[j][4]
             if j < 0 or stack[j][3] >= total:
                 break
             start, low = stack[j][0], stack[j][2]
             del stack[j:]
-        stack.append((start, i + 1, low, total))
-    return [(s, e, high - low) for s, e, low, high in stack]
+        stack.append((start, i + 1, low, total, j))
+    return [(s, e, high - low) for s, e, low, high, _ in stack]
 
 
 class Model:
@@ -72,7 +73,7 @@ class Model:
     def __init__(self, lexicon: dict[str, float], prefixes: dict[str, float], drift: float, decay: float = 1.0, scale: float = 1.0):
         self.lexicon, self.prefixes, self.drift = lexicon, prefixes, drift
         self.decay, self.scale = decay, scale
-        self.weights = (0.0, 1.0, 0.0)
+        self.weights: tuple[float, float, float] | None = (0.0, 1.0, 0.0)
 
     def scores(self, words: list[str]) -> tuple[list[int], list[float]]:
         """The places of scored tokens, and their scores. All other tokens cost ``drift`` each."""
@@ -100,7 +101,9 @@ class Model:
         return best, sum(x[2] for x in passages), passages
 
     def probability(self, best: float, together: float) -> float:
-        """Calibrated probability; the sum of passages enters as its logarithm."""
+        """Calibrated probability; the sum of passages enters as its logarithm. 0 if nothing could be learned."""
+        if self.weights is None:
+            return 0.0
         b, w, v = self.weights
         z = b + w * max(-8.0, min(best, 12.0)) + v * math.log1p(together)
         return 1 / (1 + math.exp(-max(-30.0, min(z, 30.0))))
@@ -137,7 +140,8 @@ def labelled(docs: DataFrame, labels: DataFrame, limit: int = FIT_DOCUMENTS) ->
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_DOCUMENTS, min_z: float = 3.5, min_odds: float = 3.0, drift: float = 0.05) -> Model:
-    """Learns from a bounded sample of labelled documents. Without labels of both kinds every score is the same.
+    """Learns from a bounded sample of labelled documents. Without labels of both kinds nothing is shown to be toxic: every
+    score is 0, and no document is predicted toxic.
 
     Counts are taken on the executors. What comes to the driver is bounded by the sample: tokens that are significantly more
     frequent in toxic texts, counts of scores, and two numbers for each document.
@@ -190,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_DOCUMENTS, min_z: f
     seen = sample.mapInArrow(features, "best double, sum double, toxic int").collect()
     x = np.array([[max(-8.0, min(r.best, 12.0)), math.log1p(r.sum)] for r in seen]).reshape(-1, 2)
     y = np.array([float(r.toxic) for r in seen])
-    model.weights = tuple(map(float, _logistic(x, y))) if len(y) else (0.0, 0.0, 0.0)
+    model.weights = tuple(map(float, _logistic(x, y))) if 0 < y.sum() < len(y) else None
     return model
 
 

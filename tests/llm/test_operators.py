@@ -284,6 +284,14 @@ def test_toxicity_odd(spark, odd):
     assert toxicity.without_toxic(odd, some).columns == odd.columns
 
 
+def test_nothing_is_toxic_without_labels_of_both_kinds(spark, odd):
+    label = lambda *rows: spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+    unknown, held = label((1, 0, None), (2, 0, None)), label((6, 1, 1), (3, 1, 0)).where(toxicity.held_out())
+    for labels in (label(), unknown, held, label((1, 0, 1), (2, 0, 1), (5, 0, 1)), label((1, 0, 0), (2, 0, 0))):
+        assert {(r.score, r.predicted) for r in toxicity.detect(odd, labels).collect()} == {(0.0, 0)}
+        assert toxicity.without_toxic(odd, labels).count() == odd.count()
+
+
 # language
 
 
