@@ -30,7 +30,8 @@ def token_odds(counts: dict[str, tuple[int, int]], prior: float = 0.05) -> dict[
     """Log-odds of toxic against clean with an informative Dirichlet prior, and their z-score, for each token.
 
     ``counts`` has a token's numbers in toxic and clean texts. The prior adds ``prior`` of all counts to either side, spread
-    as the tokens of all texts are spread, so rare tokens stay near zero and tokens of one side only have a finite variance.
+    as the tokens of all texts are spread, so tokens of one side only have finite odds and variance. It pulls odds to 0, which is
+    a token's value if its texts are toxic as often as all are. Odds of rare tokens can be large; their z-score is small.
     """
     toxic, clean = (sum(c[i] for c in counts.values()) for i in (0, 1))
     added, odds = prior * (toxic + clean), {}
@@ -139,12 +140,16 @@ def labelled(docs: DataFrame, labels: DataFrame, limit: int = FIT_DOCUMENTS) ->
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_DOCUMENTS, min_z: float = 3.5, min_odds: float = 3.0, drift: float = 0.05) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_DOCUMENTS, min_z: float = 3.5, drift: float = 0.05) -> Model:
     """Learns from a bounded sample of labelled documents. Without labels of both kinds nothing is shown to be toxic: every
     score is 0, and no document is predicted toxic.
 
-    Counts are taken on the executors. What comes to the driver is bounded by the sample: tokens that are significantly more
-    frequent in toxic texts, counts of scores, and two numbers for each document.
+    Each token whose share of toxic texts differs significantly from that of all tokens scores its own log-odds, above or below
+    0; size of the odds is no condition, as the calibration of segments decides. Tokens that show no difference cost ``drift``,
+    or as much more as makes the mean score of clean texts negative, which extreme values need.
+
+    Counts are taken on the executors. What comes to the driver is bounded by the sample: tokens of enough texts, counts of
+    scores, and two numbers for each document.
     """
     sample = stored(labelled(docs, labels, limit).where("text is not null").dropDuplicates(["text", "toxic"]))
     letters = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
@@ -155,12 +160,12 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_DOCUMENTS, min_z: f
         """Counts are texts that have the token: one that repeats it, or has many copies, says it once."""
         counts = each.select("toxic", F.explode(F.array_distinct(F.transform("tokens", part))).alias("token"))
         counts = counts.groupBy("token").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
-        # Only tokens of enough toxic texts can be significant; the others enter as two totals.
-        kept = F.when(F.col("t") >= enough, F.col("token")).alias("token")
+        # Only tokens of enough texts can be significant; the others enter as two totals.
+        kept = F.when(F.col("n") >= enough, F.col("token")).alias("token")
         rows = counts.groupBy(kept).agg(F.sum("t").alias("t"), F.sum(F.col("n") - F.col("t")).alias("c")).collect()
         return token_odds({r.token: (r.t, r.c) for r in rows}) if rows else {}
 
-    significant = lambda found: {t: min(v, 6.0) for t, (v, z) in found.items() if t and z >= min_z and v >= min_odds}
+    significant = lambda found: {t: max(-6.0, min(v, 6.0)) for t, (v, z) in found.items() if t and abs(z) >= min_z}
     lexicon = significant(odds(lambda t: t))
     prefixes = {t: v for t, v in significant(odds(lambda t: F.substring(t, 1, _PREFIX))).items() if len(t) == _PREFIX}
     model = Model(lexicon, prefixes, drift)
@@ -172,13 +177,17 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_DOCUMENTS, min_z: f
                 if not toxic:
                     words = tokens(text)
                     scores = model.scores(words)[1]
-                    found[-drift] = found.get(-drift, 0) + len(words) - len(scores)
+                    found[0.0] = found.get(0.0, 0) + len(words) - len(scores)
                     for s in scores:
-                        found[round(s, 2)] = found.get(round(s, 2), 0) + 1
+                        s = round(s, 2) or 0.01 * (1 if s > 0 else -1)  # 0 stands for tokens without a score
+                        found[s] = found.get(s, 0) + 1
         yield pa.RecordBatch.from_pydict({"score": pa.array(list(found), pa.float64()), "n": pa.array(list(found.values()), pa.int64())})
 
     chance = sample.mapInArrow(tally, "score double, n long").groupBy("score").agg(F.sum("n").alias("n")).collect()
     scores, n = np.array([r.score for r in chance]), np.array([float(r.n) for r in chance])
+    if (plain := n[scores == 0].sum()) > 0:
+        model.drift = max(drift, float((n * scores).sum() + drift * n.sum()) / float(plain))
+        scores = np.where(scores == 0, -model.drift, scores)
     if (scores > 0).any() and (shares := n / n.sum()).any() and (shares * scores).sum() < 0:
         model.decay = min(3.0, _decay(scores, shares))
         # Share of places at which a chance segment can begin.

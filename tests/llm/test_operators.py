@@ -284,6 +284,24 @@ def test_toxicity_odd(spark, odd):
     assert toxicity.without_toxic(odd, some).columns == odd.columns
 
 
+@pytest.mark.parametrize(("toxic_of_20", "slips"), [(11, 0.0), (4, 0.04)])
+def test_toxicity_of_balanced_labels_and_of_words_that_clean_texts_hold(spark, toxic_of_20, slips):
+    random = np.random.default_rng(5)
+    word = lambda: "".join(chr(97 + c) for c in random.integers(0, 26, 6))
+    vocabulary, bad, rows, labels = [word() for _ in range(300)], [word() for _ in range(5)], [], []
+    for i in range(800):
+        words, toxic = [vocabulary[j] for j in random.integers(0, 300, 60)], i % 20 < toxic_of_20
+        if toxic:
+            words[20:23] = [bad[j] for j in random.choice(5, 3, replace=False)]
+        else:  # one of the words alone
+            words = [bad[random.integers(0, 5)] if random.random() < slips / 4 else w for w in words]
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(toxic)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    out = [r for r in toxicity.detect(docs, labels).collect() if r.held_out]
+    assert np.mean([(r.doc_id % 20 < toxic_of_20) == bool(r.predicted) for r in out]) > 0.95
+
+
 def test_nothing_is_toxic_without_labels_of_both_kinds(spark, odd):
     label = lambda *rows: spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
     unknown, held = label((1, 0, None), (2, 0, None)), label((6, 1, 1), (3, 1, 0)).where(toxicity.held_out())
