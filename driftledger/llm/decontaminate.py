@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from driftledger.llm.common import stored
 
 WINDOW = 8
-#: Words of a window that must be literal, not placeholders.
+#: Words of a window that must be literal, not placeholders; a window with fewer must be equal word for word.
 LITERAL = 4
 #: Windows in a row that fill their slots alike, where the alignment as a whole does not: 23 words.
 RUN = 2 * WINDOW
@@ -61,51 +61,49 @@ def renamed(found: Column, plain: Column) -> Column:
 
 def _shaped(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, words, plain, shape, kinds) of each text: folded words, both templates, and 0 for a literal word, 1 for a number
-    or unit and 2 for a name."""
+    or unit, 2 for a name and 3 for a name that is spelled like a unit."""
     found = rows.select(*keys, tokens("text").alias("found"))
     found = found.select(*keys, "found", folded(F.col("found")).alias("words"))
     found = found.select(*keys, "found", "words", template(F.col("words")).alias("plain"))
     found = found.select(*keys, "words", "plain", renamed(F.col("found"), F.col("plain")).alias("shape"))
-    kind = lambda s: F.when(s.isin(NUMBER, UNIT), F.lit(1)).when(s == NAME, F.lit(2)).otherwise(F.lit(0))
-    return found.select("*", F.transform("shape", kind).alias("kinds"))
+    kind = lambda p, s: F.when(p.isin(NUMBER, UNIT), F.lit(1)).otherwise(F.lit(0)) + F.when(s == NAME, F.lit(2)).otherwise(F.lit(0))
+    return found.select("*", F.zip_with("plain", "shape", kind).alias("kinds"))
 
 
-def _each_window(window) -> Column:
-    """``window(i)`` of each window: an array of its probes, of which there are up to two."""
-    last = F.size("shape") - WINDOW
-    return F.when(last >= 0, F.flatten(F.transform(F.sequence(F.lit(0), last), window)))
+def _each_window(probe, n: Column) -> Column:
+    """The probes of each window of n words, of which a window has up to two.
 
-
-def _at(column: str, i: Column) -> Column:
-    return F.slice(column, i + 1, F.lit(WINDOW))
-
-
-def _renames(i: Column) -> Column:
-    """Whether the window at i has names to empty, and enough literal words without them."""
-    kinds = _at("kinds", i)
-    return F.array_contains(kinds, F.lit(2)) & (F.size(F.filter(kinds, lambda k: k == 0)) >= LITERAL)
-
-
-def _windows(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, pos, hash, shape, words, kinds) of each probe of the windows of ``rows``, as of ``_shaped``."""
+    The first is the template with literal names, or the words themselves if too few of them are literal. The second, with the
+    slots of names emptied, is there if the window has names, and enough literal words without them.
+    """
 
     def probes(i: Column) -> Column:
-        rest = [i.alias("pos"), _at("words", i).alias("words"), _at("kinds", i).alias("kinds")]
-        of = lambda shape: F.struct(_at(shape, i).alias("shape"), *rest)
-        return F.when(_renames(i), F.array(of("plain"), of("shape"))).otherwise(F.array(of("plain")))
-
-    exploded = rows.select(*keys, F.explode(_each_window(probes)).alias("window"))
+        at = lambda column: F.slice(column, i + 1, n)
+        kinds = at("kinds")
+        slots = F.when(
+            F.array_contains(kinds, F.lit(1)) | F.array_contains(kinds, F.lit(3)), F.size(F.filter(kinds, lambda k: k % 2 == 1))
+        ).otherwise(F.lit(0))
+        named = F.array_contains(kinds, F.lit(2)) | F.array_contains(kinds, F.lit(3))
+        first = probe(F.when(n - slots >= LITERAL, at("plain")).otherwise(at("words")), i, at)
+        renames = named & (F.size(F.filter(kinds, lambda k: k == 0)) >= LITERAL)
+        return F.when(renames, F.array(first, probe(at("shape"), i, at))).otherwise(F.array(first))
+
+    last = F.size("shape") - n
+    windows = F.when((n > 0) & (last >= 0), F.flatten(F.transform(F.sequence(F.lit(0), last), probes)))
+    return F.coalesce(windows, F.array())
+
+
+def _windows(rows: DataFrame, keys: list[str], lengths: list[Column]) -> DataFrame:
+    """(keys, pos, hash, shape, words, kinds) of each probe of the windows of ``rows``, as of ``_shaped``."""
+    probe = lambda shape, i, at: F.struct(shape.alias("shape"), i.alias("pos"), at("words").alias("words"), at("kinds").alias("kinds"))
+    exploded = rows.select(*keys, F.explode(F.concat(*[_each_window(probe, n) for n in lengths])).alias("window"))
     return exploded.select(*keys, "window.pos", F.xxhash64("window.shape").alias("hash"), "window.shape", "window.words", "window.kinds")
 
 
-def _hashes(rows: DataFrame, keys: list[str]) -> DataFrame:
+def _hashes(rows: DataFrame, keys: list[str], lengths: list[Column]) -> DataFrame:
     """(keys, hash) of the same probes."""
-
-    def probes(i: Column) -> Column:
-        of = lambda shape: F.xxhash64(_at(shape, i))
-        return F.when(_renames(i), F.array(of("plain"), of("shape"))).otherwise(F.array(of("plain")))
-
-    return rows.select(*keys, F.explode(_each_window(probes)).alias("hash"))
+    each = [_each_window(lambda shape, i, at: F.xxhash64(shape), n) for n in lengths]
+    return rows.select(*keys, F.explode(F.concat(*each)).alias("hash"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -114,6 +112,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Texts become templates in which numbers, names and units are typed slots. Windows of eight template words with at least
     four literal ones are joined by hash and compared in full. A window with names has a second template that keeps them as
     words: names show by their capitals only, so a copy in capitals, in lower case or in title case meets the item there.
+    Windows with fewer literal ones meet word for word. An item of fewer than eight words is one window of its whole length, so
+    a very short item, of one word even, is found wherever it stands: leave such items out of ``benchmark`` if they are no leak.
+
     The windows of one alignment (the distance between the places in the document and the item) must fill the slots alike: a
     value of the item always stands for the same value of the document, and no other does. So a question with other numbers
     or names is found; texts that merely share a form and contradict themselves are not.
@@ -123,18 +124,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     without a copied window whose runs are all shorter: such short runs of rewritten text are a shared form.
 
     Only documents with a window in common are looked at a second time. text_hash is set for rows without doc_id only, which
-    are told apart by their texts; rows that share a doc_id are one document. Null and empty texts, and items or documents
-    of fewer than eight template words, are in no match. Repeated items are separate items, unless item_id repeats.
+    are told apart by their texts; rows that share a doc_id are one document. Null and empty texts are in
+    no match. Repeated items are separate items, unless item_id repeats.
     """
-    items = stored(_windows(_shaped(benchmark.select("item_id", "text"), ["item_id"]), ["item_id"]).where(
-        F.size(F.filter("shape", lambda t: ~t.isin(NUMBER, NAME, UNIT))) >= LITERAL
-    ).distinct())
+    whole = F.least(F.size("shape"), F.lit(WINDOW))
+    items = stored(_windows(_shaped(benchmark.select("item_id", "text"), ["item_id"]), ["item_id"], [whole]).distinct())
+    lengths = [F.lit(n) for n in sorted(r[0] for r in items.select(F.size("shape")).distinct().collect())] or [F.lit(WINDOW)]
     small = items.count() <= BROADCAST_WINDOWS
     sent = F.broadcast if small else (lambda df: df)
     key = ["doc_id", "text_hash"]
     rows = docs.select("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("text_hash"), "text")
 
-    hashes = _hashes(_shaped(rows, key), key)
+    hashes = _hashes(_shaped(rows, key), key, lengths)
     touched = stored(hashes.join(sent(items.select("hash").distinct()), "hash", "left_semi").select(*key).distinct())
 
     again = rows.join(
@@ -143,12 +144,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         "left_semi",
     )
     theirs = items.select("hash", "shape", "item_id", F.col("pos").alias("item_pos"), F.col("words").alias("item_words"), F.col("kinds").alias("item_kinds"))
-    met = _windows(_shaped(again, key), key).drop("kinds").join(sent(theirs), ["hash", "shape"])
+    met = _windows(_shaped(again, key), key, lengths).drop("kinds").join(sent(theirs), ["hash", "shape"])
     # What is a name is read from the item, as a document in another case shows no names.
     each = F.transform(
-        F.arrays_zip(F.col("item_kinds").alias("kind"), F.col("words").alias("here"), F.col("item_words").alias("there"), F.col("shape").alias("type")),
+        F.arrays_zip(F.col("item_kinds").alias("kind"), F.col("words").alias("here"), F.col("item_words").alias("there")),
         lambda s, i: F.struct(
-            F.when(s["kind"] > 0, F.when(s["type"].isin(NUMBER, UNIT), s["type"]).otherwise(NAME)).alias("kind"),
+            F.when(s["kind"] > 0, F.when(F.startswith(s["there"], F.lit(NUMBER)), F.lit(NUMBER)).when(s["kind"] == 1, F.lit(UNIT)).otherwise(F.lit(NAME))).alias("kind"),
             s["here"].alias("here"), s["there"].alias("there"), (F.col("item_pos") + i).alias("at"),
         ),
     )

@@ -423,6 +423,18 @@ def test_leaks_that_contradict_themselves_somewhere(spark):
     assert found.where("contaminated").count() == 0
 
 
+def test_leaks_of_short_items_and_of_many_slots(spark):
+    items = ["What is 12 times 7?", "Who wrote Faust?", "3 km 5 m 7 cm 2 mm 9 g 4 kg", "7 8 9 10 11 12 13 14 15 16", "!!", None]
+    texts_ = [
+        ("Now, what is 12 times 7? Say it.", "0"), ("WHO WROTE FAUST? Goethe did.", "1"), ("who wrote faust", "1"), ("Who wrote it?", ""),
+        ("take 3 km 5 m 7 cm 2 mm 9 g 4 kg of it", "2"), ("take 3 km 5 m 7 cm 1 mm 9 g 4 kg of it", ""), ("1 2 3 4 5 6 7 8 9 10 11 12 13 14", "3"),
+        ("7 8 9 10 11 12 13", ""), ("Faust", ""), ("what is 13 times 7", ""), ("", ""), (None, ""),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts_)], "doc_id long, text string")
+    found = decontaminate.contamination(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    assert {r.doc_id: r.item_ids for r in found.collect()} == {i: w for i, (_, w) in enumerate(texts_)}
+
+
 def test_leaks_of_whole_table(spark, documents, texts):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     strip = lambda t: [w for w in "".join(c if c.isalnum() else " " for c in t.lower()).split()]
