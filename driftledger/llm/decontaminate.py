@@ -70,8 +70,8 @@ def _shaped(rows: DataFrame, keys: list[str]) -> DataFrame:
     return found.select("*", F.zip_with("plain", "shape", kind).alias("kinds"))
 
 
-def _each_window(probe, n: Column) -> Column:
-    """The probes of each window of n words, of which a window has up to two.
+def _each_window(probe, n: Column, starts: Column | None = None) -> Column:
+    """The probes of each window of n words, or of those that begin at ``starts``; a window has up to two.
 
     The first is the template with literal names, or the words themselves if too few of them are literal. The second, with the
     slots of names emptied, is there if the window has names, and enough literal words without them.
@@ -89,7 +89,7 @@ def _each_window(probe, n: Column) -> Column:
         return F.when(renames, F.array(first, probe(at("shape"), i, at))).otherwise(F.array(first))
 
     last = F.size("shape") - n
-    windows = F.when((n > 0) & (last >= 0), F.flatten(F.transform(F.sequence(F.lit(0), last), probes)))
+    windows = F.when((n > 0) & (last >= 0), F.flatten(F.transform(F.sequence(F.lit(0), last) if starts is None else starts, probes)))
     return F.coalesce(windows, F.array())
 
 
@@ -101,8 +101,15 @@ def _windows(rows: DataFrame, keys: list[str], lengths: list[Column]) -> DataFra
 
 
 def _hashes(rows: DataFrame, keys: list[str], lengths: list[Column]) -> DataFrame:
-    """(keys, hash) of the same probes."""
-    each = [_each_window(lambda shape, i, at: F.xxhash64(shape), n) for n in lengths]
+    """(keys, hash) of the same probes. Windows without slots and names, which are most, have one probe and take one step."""
+    each = []
+    for n in lengths:
+        last = F.size("shape") - n
+        each.append(F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice("plain", i + 1, n)))))
+        marked = F.filter(F.transform("kinds", lambda k, j: F.when(k > 0, j)), lambda j: j.isNotNull())
+        near = F.transform(marked, lambda j: F.sequence(F.greatest(j - n + 1, F.lit(0)), F.least(j, last)))
+        each.append(_each_window(lambda shape, i, at: F.xxhash64(shape), n, F.array_distinct(F.flatten(near))))
+    each = [F.coalesce(e, F.array().cast("array<bigint>")) for e in each]
     return rows.select(*keys, F.explode(F.concat(*each)).alias("hash"))
 
 
