@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftledger.llm import chat, decontaminate, forest, langid, mixing, neardup, revisits, sharding, substrings, toxicity
+from driftledger.llm import chat, decontaminate, forest, langid, mixing, neardup, revisits, sharding, spelling, substrings, tokengroups, toxicity, whitening
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,7 +98,23 @@ def op10_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chats(messages))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_language, op3_resolve_revisits, op4_remove_repeats, op5_toxicity, op6_near_duplicates, op7_shard, op8_decontaminate, op9_nearest, op10_format_chats)}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The more frequent spelling of each word of the documents."""
+    return spelling.variants(_read(spark, sf_dir, "documents"))
+
+
+def op12_similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of documents that are linked by a similarity of 0.9 on three-word shingles."""
+    return tokengroups.similar(_read(spark, sf_dir, "documents"))
+
+
+def op13_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened coordinates of all embeddings on the eight components of largest variance."""
+    found = whitening.whiten(_read(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_language, op3_resolve_revisits, op4_remove_repeats, op5_toxicity, op6_near_duplicates, op7_shard, op8_decontaminate, op9_nearest, op10_format_chats, op11_spelling_variants, op12_similar_documents, op13_whiten)}
 
 ORACLES: dict[str, str] = {}
 
@@ -149,3 +165,17 @@ ORACLES["op10_format_chats"] = r"""
            sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
            cast(sum(17 + length(role) + 2 * length(text) - length(translate(text, '\|', ''))) AS bigint) AS formatted_chars
     FROM rows GROUP BY conv_id"""
+
+# A set is a document's distinct three-word shingles, or its whole sequence; links are followed to the smallest id.
+ORACLES["op12_similar_documents"] = r"""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    shingles AS (
+        SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' ')) ELSE [array_to_string(ws, ' ')] END) AS g
+        FROM w WHERE len(ws) > 0),
+    sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+    shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM shingles a JOIN shingles b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+    links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * m >= 90 * (x.n + y.n - m)),
+    reach AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+    SELECT w.doc_id, cast(coalesce(n, 0) AS bigint) AS n_shingles, component_id
+    FROM w JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id) LEFT JOIN sizes USING (doc_id)"""
