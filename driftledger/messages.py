@@ -29,4 +29,5 @@ LINT_VERSION = 'cannot parse version number "%s": strconv.ParseUint: parsing "%s
 LINT_EMPTY = "migration file is empty"
 LINT_DUPLICATE = "version %s is duplicated across multiple files: %s"
 NO_STATUS = 'version %d: "%s" is no status'
+CHANGED_TWICE = "version %d is changed more than once"
 REPEATED = "version %d is instructed more than once"

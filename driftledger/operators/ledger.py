@@ -10,11 +10,13 @@ from driftledger import messages as M
 from driftledger.operators.scripts import find, pending, reached, script_facts, split_dirty, with_scripts, script_keys
 from driftledger.operators.skew import lookup
 from driftledger.schemas import CURSOR, LEDGER, conform
+from driftledger.sources.ledger import as_ledger, ledger_problem
+from driftledger.sources.shared import share
 
 KEYS = ["target", "version"]
 
-# Ranges that the versions of a target are ranked in.
-SLICES = 256
+# Applied versions of a target up to which they are ranked in one piece.
+RANGE = 1 << 16
 
 
 def timestamp(now: dt.datetime | None) -> Column:
@@ -37,19 +39,32 @@ def applied_versions(ledger: DataFrame) -> DataFrame:
     return ledger.filter(F.col("status") == M.APPLIED).select(*KEYS)
 
 
+def split_changes(changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(changes to write, refused rows with ``error``) of changes that come from outside.
+
+    Refused are rows that no ledger holds (no version, a negative one, an unknown status) and versions changed more than
+    once, as which of these rows would stand is not defined. A target with any refused row is left out altogether; the
+    others are not affected. Feed the refused rows to ``plans.status.with_refused`` to see them in the reports.
+    """
+    rows = as_ledger(changes)
+    facts = F.struct(*[c for c in LEDGER.fieldNames() if c not in KEYS])
+    each = rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n"), F.max(ledger_problem()).alias("_problem"), F.first(facts).alias("_row"))
+    repeated = F.when(F.col("_n") > 1, F.format_string(M.CHANGED_TWICE, "version"))
+    each = share(each.select(*KEYS, "_row.*", F.coalesce("_problem", repeated).alias("error")), "changes")
+    refused = each.filter("error IS NOT NULL").select(*KEYS, "error")
+    accepted = each.filter("error IS NULL").drop("error")
+    return lookup(accepted, refused.select("target").distinct(), ["target"], "left_anti").select(LEDGER.fieldNames()), refused
+
+
 def upsert(ledger: DataFrame, changes: DataFrame, hash_policy: str = "keep_first") -> DataFrame:
     """Insert new (target, version) rows; on existing ones replace status, time and note.
 
     The hash of an existing row is kept, even when it is absent; ``hash_policy="latest"``
-    takes the new one instead. ``changes`` has one row per key (see :func:`fold`); a key that
-    repeats ends the job, as which of its rows would stand is not defined. Both sides are unique on the join key, so no key is hot.
+    takes the new one instead. ``changes`` has one row per key (see :func:`fold`, and :func:`split_changes` for changes that
+    come from outside). Both sides are unique on the join key, so no key is hot.
     """
     if hash_policy not in ("keep_first", "latest"):
         raise ValueError(f"unknown hash policy {hash_policy!r}")
-    once = F.assert_true(F.col("_n") == 1, F.format_string("changes repeat version %d of %s", "version", "target"))
-    rows = F.struct(*[c for c in LEDGER.fieldNames() if c not in KEYS])
-    changes = conform(changes, LEDGER).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n"), F.first(rows).alias("_row"))
-    changes = changes.filter(once.isNull()).select(*KEYS, "_row.*")
     old, new = conform(ledger, LEDGER).alias("old"), conform(changes, LEDGER).alias("new")
     old, new = old.withColumn("_old", F.lit(True)), new.withColumn("_new", F.lit(True))
     was, comes = F.col("_old").isNotNull(), F.col("_new").isNotNull()
@@ -108,28 +123,54 @@ def recompute_cursor(ledger: DataFrame, cursor: DataFrame) -> DataFrame:
     )
 
 
+def _cuts(applied: DataFrame) -> dict[str, list[int]]:
+    """Versions that part the targets with very many rows into ranges of nearly equal numbers of rows.
+
+    A range has RANGE rows or one shuffle partition's share of all rows, whichever is more. So at most as many targets as
+    there are shuffle partitions are cut, into about as many ranges, and this is all that reaches the driver.
+    """
+    spark = applied.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts = applied.groupBy("target").agg(F.count(F.lit(1)).alias("n"))
+    total = applied.agg(F.count(F.lit(1))).first()[0]
+    if total <= RANGE:
+        return {}
+    share_of = max(RANGE, -(-total // parts))
+    large = {r["target"]: -(-r["n"] // share_of) for r in counts.filter(F.col("target").isNotNull() & (F.col("n") > share_of)).collect()}
+    if not large:
+        return {}
+    shares = lambda n: [i / n for i in range(1, n)]
+    most = max(large.values())
+    quantiles = [F.percentile_approx("version", shares(n), 100 * most).alias(f"q{n}") for n in sorted(set(large.values()))]
+    found = applied.filter(F.col("target").isin(list(large))).groupBy("target").agg(*quantiles).collect()
+    return {r["target"]: sorted(set(r[f"q{large[r['target']]}"])) for r in found}
+
+
 def last_applied(ledger: DataFrame, steps: int) -> DataFrame:
     """The ``steps`` highest applied versions per target with their ``step``, 1 being the newest.
 
-    A target's versions are counted in ranges. A version's rank is what the ranges above its own hold, one row each, and its
-    rank within its range; ranges with nothing to give are left out before any rows move. So a target with very many
-    versions is not ranked in one task, whatever ``steps`` is.
+    Versions are ranked per target, and what is beyond ``steps`` within a task is dropped before the one exchange. A target
+    with very many versions is ranked in ranges that quantiles of its own versions cut; a version's step is its rank within
+    its range and what the newer ranges hold, one row a range. So no task ranks all of such a target, whatever ``steps``
+    is and however unevenly its versions lie.
     """
     applied = applied_versions(ledger)
-    ends = applied.groupBy("target").agg(F.min("version").alias("_low"), F.max("version").alias("_high"))
-    width = F.col("_high").cast("double") - F.col("_low") + 1
-    part = F.least(F.floor((F.col("version") - F.col("_low")).cast("double") / width * SLICES), F.lit(SLICES - 1))
-    sliced = lookup(applied, ends, ["target"], "inner").select(*KEYS, part.alias("_slice"))
-    counts = sliced.groupBy("target", "_slice").agg(F.count(F.lit(1)).alias("n_rows"))
-    above = Window.partitionBy("target").orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_above", F.coalesce(F.sum("n_rows").over(above), F.lit(0))).filter(F.col("_above") < steps)
-    wanted = offsets.select("target", "_slice", "_above")
-    met = lookup(sliced, wanted, ["target", "_slice"], "inner")
+    cuts = _cuts(applied)
+    newer = F.lit(0)
+    for target, versions in cuts.items():
+        newer = F.when(F.col("target") == target, F.size(F.filter(F.lit(versions), lambda c: c > F.col("version")))).otherwise(newer)
+    sliced = applied.withColumn("_slice", newer)
     newest_first = Window.partitionBy("target", "_slice").orderBy(F.desc("version"))
-    # A rank within a range beyond the limit is beyond it in the target too; this filter acts before the shuffle.
-    ranked = met.withColumn("_rank", F.row_number().over(newest_first)).filter(F.col("_rank") <= steps)
-    step = (F.col("_above") + F.col("_rank")).cast("int")
-    return ranked.withColumn("step", step).filter(F.col("step") <= steps).select(*KEYS, "step")
+    ranked = sliced.withColumn("_rank", F.row_number().over(newest_first)).filter(F.col("_rank") <= steps)
+    if not cuts:
+        return ranked.select(*KEYS, F.col("_rank").alias("step"))
+    counts = sliced.filter(F.col("target").isin(list(cuts))).groupBy("target", "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    above = Window.partitionBy("target").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("target", "_slice", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_above"))
+    # One row a range: at most about twice the number of shuffle partitions.
+    placed = ranked.join(F.broadcast(offsets), ["target", "_slice"], "left")
+    step = (F.coalesce("_above", F.lit(0)) + F.col("_rank")).cast("int")
+    return placed.withColumn("step", step).filter(F.col("step") <= steps).select(*KEYS, "step")
 
 
 def down_plan(ledger: DataFrame, corpus: DataFrame, steps: int = 1, location: str = "corpus") -> DataFrame:

@@ -127,11 +127,20 @@ def test_revert_is_all_or_nothing_per_target(make):
     assert rows(L.record_reverted(ledger, corpus, cursor, NOW, 0), "target", "version", "status") == rows(after, "target", "version", "status")
 
 
-def test_many_steps_are_ranked_in_slices(make, monkeypatch):
-    ledger = make.ledger([("a", v, "applied") for v in range(40)] + [("b", 7, "applied")])
-    direct = rows(L.last_applied(ledger, 25))
-    monkeypatch.setattr(L, "SLICES", 3)
-    assert rows(L.last_applied(ledger, 25)) == direct and len(direct) == 26
+def test_many_steps_are_ranked_in_ranges(spark, monkeypatch):
+    """Sequence numbers and timestamps mixed: ranges follow the rows, not the numbers."""
+    monkeypatch.setattr(L, "RANGE", 100)
+    numbers = [*range(1, 6), *(20260101000000 + i for i in range(3000)), 1 << 62]
+    rows_of = [("a", v, "applied") for v in numbers] + [("b", v, "applied") for v in range(50)] + [(None, 1, "applied")]
+    ledger = spark.createDataFrame(rows_of, "target string, version long, status string").repartition(3)
+    cuts = L._cuts(L.applied_versions(ledger))["a"]
+    edges = [-1, *cuts, 1 << 63]
+    held = [sum(low < v <= high for v in numbers) for low, high in zip(edges, edges[1:])]
+    assert list(L._cuts(L.applied_versions(ledger))) == ["a"] and len(held) > 2 and max(held) <= 1.3 * len(rows_of) / 4
+    for steps in (1, 3, 900, 2999, 5000):
+        found = rows(L.last_applied(ledger, steps))
+        expected = [("a", v, i) for i, v in enumerate(sorted(numbers, reverse=True)[:steps], 1)] + [("b", v, 50 - v) for v in range(50) if 50 - v <= steps] + [(None, 1, 1)]
+        assert found == sorted(expected, key=repr)
 
 
 @pytest.mark.parametrize("steps", [-1, 0, 1, 2, 3, 9])
@@ -189,10 +198,15 @@ def test_no_version_is_left(make):
     assert found["a"] == (None, None, "no version is left above 9223372036854775807") and found["b"][2] is None
 
 
-def test_upsert_refuses_repeated_keys(make):
-    ledger = make.ledger([("a", 1, "applied")])
-    with pytest.raises(Exception, match="repeat version 1"):
-        L.upsert(ledger, make.ledger([("a", 1, "applied"), ("a", 1, "reverted")])).collect()
+def test_changes_are_refused_by_target(make):
+    ledger = make.ledger([("a", 1, "applied"), ("b", 1, "applied")])
+    changes = [("a", 1, "reverted"), ("a", 1, "applied"), ("a", 2, "applied"), ("b", 1, "reverted"), ("c", -4, "applied"), ("d", 5, "open"), ("e", None, "applied"), ("f", 7, "applied")]
+    accepted, refused = L.split_changes(make.ledger(changes))
+    assert rows(refused) == [
+        ("a", 1, "version 1 is changed more than once"), ("c", -4, "ledger contains negative version -4; the table was modified outside"),
+        ("d", 5, "unknown status open"), ("e", None, "ledger row without a version"),
+    ]
+    assert rows(L.upsert(ledger, accepted), "target", "version", "status") == [("a", 1, "applied"), ("b", 1, "reverted"), ("f", 7, "applied")]
 
 
 @pytest.mark.parametrize("steps", [1, 7, 300, 5000])
