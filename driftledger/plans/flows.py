@@ -6,6 +6,7 @@ Running the scripts is the databases' part; these flows record it.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, functions as F
@@ -14,6 +15,7 @@ from driftledger import messages as M
 from driftledger.operators.ledger import backfill, record_applied, record_reverted, recompute_cursor, soft_revert
 from driftledger.operators.scripts import pending, split_dirty
 from driftledger.schemas import CURSOR, conform
+from driftledger.sources.store import Commit, LedgerStore
 
 
 class Recorded(NamedTuple):
@@ -60,3 +62,19 @@ def run_down(ledger: DataFrame, corpus: DataFrame, cursor: DataFrame, now: dt.da
     stepped = ~F.col("_before").eqNullSafe(F.col("_after"))
     new_version = F.when(stepped, F.col("_after")).otherwise(F.col("version")).alias("version")
     return Recorded(reverted, moved.select("target", new_version, "dirty").unionByName(dirty.drop("error")), dirty)
+
+
+def committed(store: LedgerStore, flow: Callable[[DataFrame, DataFrame], Recorded], attempts: int = 10) -> tuple[Commit, DataFrame]:
+    """Run a flow on the newest ledger and cursor of a store and publish both results in one commit; (commit, refused rows).
+
+    If someone else commits meanwhile, the flow is run again on what they left.
+    """
+    for attempt in range(1, attempts + 1):
+        base = store.commit()
+        done = flow(store.ledger(base), store.cursor(base))
+        try:
+            return store.commit(store.replace(done.ledger, done.cursor, base)), done.refused
+        except RuntimeError:
+            if attempt == attempts or store.commit().number == base.number:
+                raise
+    raise ValueError("at least one attempt is needed")

@@ -1,8 +1,8 @@
-"""The ledger table: one row per target and version."""
+"""The ledger table: one row per target and version. For its storage see ``store``."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from driftledger import messages as M
 from driftledger.schemas import LEDGER, conform
@@ -36,40 +36,3 @@ def check_version_range(df: DataFrame) -> DataFrame:
     fits = F.col("version").try_cast("bigint").isNotNull()
     text = F.concat(F.lit("migration version "), F.col("version").cast("string"), F.lit(" exceeds the ledger's range"))
     return df.withColumn("error", F.when(~fits, text))
-
-
-def _generations(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the complete generations; Spark writes the _SUCCESS marker last."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    pattern = jvm.org.apache.hadoop.fs.Path(f"{path}/generation=*/_SUCCESS")
-    found = pattern.getFileSystem(conf).globStatus(pattern)
-    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found or [])
-
-
-def read_ledger(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """The newest complete generation of a ledger table.
-
-    ``strict`` fails on a negative version, as the ledger is then not to be trusted;
-    pass False and use :func:`split_ledger` to set such rows aside instead.
-    """
-    generations = _generations(spark, path)
-    if not generations:
-        return spark.createDataFrame([], LEDGER)
-    ledger = as_ledger(spark.read.parquet(f"{path}/generation={generations[-1]}"))
-    if not strict:
-        return ledger
-    return ledger.withColumn(
-        "version", F.when(ledger_problem().isNotNull(), F.raise_error(ledger_problem())).otherwise(F.col("version"))
-    )
-
-
-def write_ledger(df: DataFrame, path: str) -> int:
-    """Write a new generation next to the ones readers may still use; returns its number.
-
-    Rows are range-partitioned by target and version: files then hold narrow target
-    ranges, which readers skip by, and a target with very many versions spans several files.
-    """
-    generation = (_generations(df.sparkSession, path) or [0])[-1] + 1
-    rows = as_ledger(df).repartitionByRange("target", "version").sortWithinPartitions("target", "version")
-    rows.write.mode("overwrite").parquet(f"{path}/generation={generation}")
-    return generation

@@ -10,6 +10,7 @@ from driftledger.operators import ledger as L
 from driftledger.plans import flows
 from driftledger.plans import repair as R
 from driftledger.sources import ledger as sources
+from driftledger.sources import store as storage
 from driftledger.sources.shared import shared_folder
 from driftledger.workload import oracle_sql as O
 from driftledger.workload.registry import NOW, NOW_TEXT, query
@@ -291,5 +292,5 @@ def ledger_round_trip(t):
     """Written as a new generation, to the shared folder or else the warehouse, and read back."""
     folder = shared_folder(t.session) or t.session.conf.get("spark.sql.warehouse.dir")
     path = f"{folder}/ledger_round_trip-{uuid.uuid4().hex}"
-    sources.write_ledger(t.ledger_d, path)
-    return _text(sources.read_ledger(t.session, path))
+    storage.write_ledger(t.ledger_d, path)
+    return _text(storage.read_ledger(t.session, path))

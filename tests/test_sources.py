@@ -10,6 +10,7 @@ from driftledger.schemas import LEDGER
 from driftledger.sources import catalog as X
 from driftledger.sources import corpus as C
 from driftledger.sources import ledger as L
+from driftledger.sources import store as D
 from driftledger.sources.shared import share, shared_folder
 
 
@@ -39,20 +40,23 @@ def test_corpus_table(spark, make, tmp_path):
     assert rows(C.read_corpus_table(spark, str(tmp_path / "c")), "target", "body") == [("a", None)]
 
 
-def test_ledger_generations(spark, make, tmp_path):
+def test_ledger_is_replaced(spark, make, tmp_path):
     path = str(tmp_path / "ledger")
-    assert L.read_ledger(spark, path).count() == 0
+    assert D.read_ledger(spark, path).count() == 0
     first = make.ledger([("a", 1, "applied", NOW, "n", "h"), ("a", 2, "applied")])
-    assert L.write_ledger(first, path) == 1
-    before = L.read_ledger(spark, path)
-    # The new generation is made from the old one while that is still being read.
-    assert L.write_ledger(before.filter("version = 1").withColumn("status", F.lit("reverted")), path) == 2
-    assert rows(L.read_ledger(spark, path)) == [("a", 1, "reverted", NOW, "n", "h")]
+    assert D.write_ledger(first, path) == 1
+    before = D.read_ledger(spark, path)
+    # The new ledger is made from the old one while that is still being read.
+    assert D.write_ledger(before.filter("version = 1").withColumn("status", F.lit("reverted")), path) == 2
+    assert rows(D.read_ledger(spark, path)) == [("a", 1, "reverted", NOW, "n", "h")]
     assert before.count() == 2
-    # A generation without its completion marker is not there yet.
-    first.write.parquet(f"{path}/generation=3")
-    (tmp_path / "ledger" / "generation=3" / "_SUCCESS").unlink()
-    assert L.read_ledger(spark, path).count() == 1
+    # Rows that no commit names are not there.
+    store = D.LedgerStore(spark, path)
+    store._write(first, 64, dealt=False)
+    assert D.read_ledger(spark, path).count() == 1
+    with pytest.raises(RuntimeError, match="has changed since commit 1"):
+        D.write_ledger(first, path, base=store.commit(1))
+    assert store.commits() == [1, 2]
 
 
 def test_old_ledgers_and_bad_rows(spark, make, tmp_path):
@@ -62,10 +66,12 @@ def test_old_ledgers_and_bad_rows(spark, make, tmp_path):
     good, bad = L.split_ledger(old)
     assert rows(good, "target") == [("a",)]
     assert rows(bad, "target", "error") == [("b", "ledger contains negative version -5; the table was modified outside"), ("c", "unknown status open")]
-    L.write_ledger(old, str(tmp_path / "l"))
+    D.write_ledger(old, str(tmp_path / "l"))
     with pytest.raises(Exception, match="negative version|unknown status"):
-        L.read_ledger(spark, str(tmp_path / "l")).collect()
-    assert L.read_ledger(spark, str(tmp_path / "l"), strict=False).count() == 3
+        D.read_ledger(spark, str(tmp_path / "l"), strict=True).collect()
+    assert D.read_ledger(spark, str(tmp_path / "l")).count() == 3
+    sound, refused = D.read_checked(spark, str(tmp_path / "l"))
+    assert rows(sound, "target") == [("a",)] and rows(refused, "target") == [("b",), ("c",)]
 
 
 def test_shared_folder_is_the_named_one(spark):
