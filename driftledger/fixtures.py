@@ -67,6 +67,23 @@ def _definitions(text: str, sha) -> dict[str, str]:
                    cast('2026-01-01 12:00:00' AS timestamp) AS recorded_at, 'changed' AS note,
                    {sha(f"concat('new', cast(version AS {text}))")} AS content_sha256
             FROM scripts_d WHERE version % 3 = 0""",
+        "outside_d": f"""
+            SELECT target, CASE WHEN version % 397 = 0 THEN -version WHEN version % 401 = 0 THEN NULL ELSE version END AS version,
+                   CASE WHEN version % 409 = 0 THEN 'open' WHEN version % 2 = 0 THEN 'applied' ELSE 'reverted' END AS status,
+                   cast('2026-01-01 12:00:00' AS timestamp) AS recorded_at, 'outside' AS note,
+                   {sha(f"concat('out', cast(version AS {text}))")} AS content_sha256
+            FROM scripts_d WHERE version % 3 <> 1
+            UNION ALL
+            SELECT target, version, 'applied' AS status, cast('2026-01-01 12:00:00' AS timestamp) AS recorded_at, 'again' AS note,
+                   {sha(f"concat('out', cast(version AS {text}))")} AS content_sha256
+            FROM scripts_d WHERE version % 419 = 0""",
+        "script_files_d": f"""
+            SELECT cast(p_partkey % 40 AS {text}) AS target,
+                   concat(CASE p_partkey % 7 WHEN 0 THEN '.' WHEN 1 THEN '_' WHEN 2 THEN 'k=' ELSE '' END,
+                          cast(p_partkey AS {text}), '_', CASE WHEN p_size % 3 = 0 THEN replace(p_name, ' ', '%20') ELSE p_name END,
+                          CASE WHEN p_size % 5 = 0 THEN '.down.sql' ELSE '.up.sql' END) AS filename,
+                   CASE WHEN p_size % 4 = 0 THEN '' ELSE concat('-- ', p_type, chr(13), chr(10), 'é ', p_brand) END AS body
+            FROM @part""",
         "targets_d": f"""
             SELECT cast(c_custkey AS {text}) AS target,
                    CASE c_custkey % 3 WHEN 0 THEN 'postgres' WHEN 1 THEN 'sqlserver' ELSE 'sqlite' END AS engine,

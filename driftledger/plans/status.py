@@ -21,6 +21,18 @@ def _one(df: DataFrame, names: list[str] | None) -> DataFrame:
     return df if names is None else df.filter(F.col("target").isin(names))
 
 
+def with_refused(targets: DataFrame, *refused: DataFrame) -> DataFrame:
+    """``targets`` where each target that has refused rows (target, ..., error), of a write, a ledger or a folder, has the
+    smallest of their reasons as its error. So the reports show it as failing, and all others as they are."""
+    reasons = refused[0].select("target", "error")
+    for more in refused[1:]:
+        reasons = reasons.unionByName(more.select("target", "error"))
+    reasons = reasons.groupBy("target").agg(F.min("error").alias("_refused"))
+    kept = [c for c in targets.columns if c != "error"]
+    own = F.col("error") if "error" in targets.columns else F.lit(None).cast("string")
+    return targets.join(reasons, "target", "left").select(*kept, F.coalesce(own, F.col("_refused")).alias("error"))
+
+
 def status(
     corpus: DataFrame, cursor: DataFrame, targets: DataFrame | None = None, names: list[str] | None = None
 ) -> DataFrame:

@@ -7,65 +7,18 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from driftledger import messages as M
 from driftledger.functions.text import parse_script_name
 from driftledger.schemas import CORPUS, SHARED_CORPUS, conform, has_target
-
-
-def _listing(spark: SparkSession, path: str) -> list[tuple[str, int]] | None:
-    """(name, length) of the files directly in a folder; None if there is no such folder. File-system metadata of one
-    folder, as the driver holds it for any scan."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    system = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not system.exists(hadoop):
-        return None
-    return [(s.getPath().getName(), s.getLen()) for s in system.listStatus(hadoop) if s.isFile()]
-
-
-def scan_files(spark: SparkSession, path: str) -> DataFrame:
-    """``(filename, body)`` of the files directly in a folder, whatever their names; an absent folder has none.
-
-    The body is the file's bytes taken as text without any change, so its hash is the file's hash. Spark's readers skip
-    files that are empty or whose names begin with ``_`` or ``.``, and take ``k=v`` subfolders for partitions; so each
-    file is read by its own path, and the few that no reader takes even so, by the file system itself. A file that is listed with bytes but comes back without any ends the job: an empty body
-    would be a hash that no file has. Beyond what one folder can hold, keep the corpus as a table.
-    """
-    listed = _listing(spark, path)
-    nothing = spark.createDataFrame([], "filename string, body string")
-    if not listed:
-        return nothing
-    names = spark.createDataFrame(listed, "filename string, length long")
-    full = [name for name, length in listed if length and name[0] not in "._"]
-    hidden = [(name, _content(spark, f"{path.rstrip('/')}/{name}")) for name, length in listed if length and name[0] in "._"]
-    read = spark.createDataFrame(hidden, "filename string, content binary").select("filename", F.col("content").cast("string").alias("body"))
-    if full:
-        folder = path.rstrip("/")
-        contents = spark.sparkContext.binaryFiles(",".join(f"{folder}/{_quoted(n)}" for n in full)).mapValues(bytearray)
-        rows = contents.map(lambda x: (x[0].rsplit("/", 1)[-1], x[1])).toDF("filename string, content binary")
-        read = read.unionByName(rows.select("filename", F.col("content").cast("string").alias("body")))
-    met = names.join(read, "filename", "left")
-    lost = F.when(F.col("length") > 0, F.raise_error(F.concat(F.lit("no content was read of "), "filename"))).otherwise(F.lit(""))
-    return met.select("filename", F.coalesce("body", lost.cast("string")).alias("body"))
-
-
-def _content(spark: SparkSession, path: str) -> bytearray:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    stream = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).open(hadoop)
-    try:
-        return bytearray(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
-    finally:
-        stream.close()
-
-
-def _quoted(name: str) -> str:
-    """A file name in a path pattern: what patterns read specially stands for itself."""
-    return "".join(f"\\{c}" if c in "*?[]{},\\" else c for c in name)
+from driftledger.sources.folder import scan_files
 
 
 def corpus_from_files(files: DataFrame) -> DataFrame:
-    """Corpus rows of ``(filename, body)`` rows; names that are no script's, or hold no valid version, go.
+    """Corpus rows of ``(filename, body)`` rows; names that are no script's, or hold no valid version, go, as do files with an
+    ``error``: see ``folder.split_files`` to leave out their targets.
 
     Versions above the ledger's signed 64-bit range are kept out here and reported by
     :func:`out_of_range`. A ``target`` column is carried along when there is one.
     """
-    named = files.withColumn("_name", parse_script_name(F.col("filename")))
+    read = files.filter("error IS NULL") if "error" in files.columns else files
+    named = read.withColumn("_name", parse_script_name(F.col("filename")))
     version = F.col("_name.version").try_cast("bigint")
     corpus = named.withColumn("version", version).withColumn("direction", F.col("_name.direction"))
     return conform(corpus.filter(version.isNotNull()), CORPUS if has_target(files) else SHARED_CORPUS)
@@ -76,7 +29,7 @@ def out_of_range(files: DataFrame) -> DataFrame:
     named = files.withColumn("_name", parse_script_name(F.col("filename")))
     wide = named.filter(F.col("_name.version").isNotNull() & F.col("_name.version").try_cast("bigint").isNull())
     return wide.select(
-        *[c for c in files.columns if c != "body"],
+        *[c for c in files.columns if c not in ("body", "error")],
         F.col("_name.version").alias("version"),
         F.concat(
             F.lit("migration version "), F.col("_name.version").cast("string"), F.lit(" exceeds the ledger's range")
@@ -85,8 +38,14 @@ def out_of_range(files: DataFrame) -> DataFrame:
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """Scan a folder of scripts."""
-    return corpus_from_files(scan_files(spark, path))
+    """Scan a folder of scripts. A file that cannot be read ends the job; for many folders see ``folder.scan_folders``."""
+    return corpus_from_files(_raised(scan_files(spark, path), path))
+
+
+def _raised(files: DataFrame, path: str) -> DataFrame:
+    unread = F.raise_error(F.concat(F.coalesce("filename", F.lit(path)), F.lit(": "), F.col("error"))).cast("string")
+    bad = F.col("error").isNotNull()
+    return files.select(F.when(bad, unread).otherwise(F.col("filename")).alias("filename"), "body")
 
 
 def read_corpus_table(spark: SparkSession, path: str) -> DataFrame:

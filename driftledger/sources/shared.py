@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[str] = []
+#: Tables of the innermost ``with shared_tables(...)`` around, in this thread.
+_scope: ContextVar[list[str] | None] = ContextVar("shared_tables", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str | None:
@@ -14,23 +19,40 @@ def shared_folder(spark: SparkSession) -> str | None:
     return spark.conf.get("spark.checkpoint.dir", None)
 
 
+def work_folder(spark: SparkSession) -> str:
+    """The shared folder, for work that cannot do without. A session on one machine that names none gets one of its own."""
+    folder = shared_folder(spark)
+    if folder is None and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (folder or tempfile.mkdtemp(prefix="driftledger-")).rstrip("/")
+
+
 def share(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and read it back, so that its branches do not each recompute it.
 
-    Without a shared folder the plan is used as it is: same result, more work. The table stays until
-    :func:`release`, as the report that reads it runs later.
+    Without a shared folder the plan is used as it is: same result, more work. The table is deleted at the end of the
+    :func:`shared_tables` block that it is made in; outside of one it stays, as whoever reads it does so later.
     """
     folder = shared_folder(df.sparkSession)
     if folder is None:
         return df
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    _written.append(path)
+    if (scope := _scope.get()) is not None:
+        scope.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete all tables that :func:`share` has written; for when the reports that read them are done."""
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+@contextmanager
+def shared_tables(spark: SparkSession) -> Iterator[None]:
+    """Deletes what :func:`share` writes within the block when it ends, however it ends; results must be taken or written
+    before. Blocks of other threads, and blocks around this one, keep their tables."""
+    own: list[str] = []
+    token = _scope.set(own)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        for name in own:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

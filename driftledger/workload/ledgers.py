@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, functions as F
 from driftledger.operators import ledger as L
 from driftledger.plans import flows
 from driftledger.plans import repair as R
+from driftledger.plans.status import plan, status, with_refused
 from driftledger.sources import ledger as sources
 from driftledger.sources import store as storage
-from driftledger.sources.shared import shared_folder
+from driftledger.sources.shared import work_folder
 from driftledger.workload import oracle_sql as O
 from driftledger.workload.registry import NOW, NOW_TEXT, query
 
@@ -287,10 +288,76 @@ def check_version_range(t):
     return checked.select(F.col("version").cast("decimal(38,0)").cast("string").alias("version"), "error")
 
 
+def _store(t) -> storage.LedgerStore:
+    return storage.LedgerStore(t.session, f"{work_folder(t.session)}/ledger-{uuid.uuid4().hex}", buckets=16)
+
+
 @query(f"SELECT {O.LEDGER_TEXT} FROM ledger_d")
 def ledger_round_trip(t):
-    """Written as a new generation, to the shared folder or else the warehouse, and read back."""
-    folder = shared_folder(t.session) or t.session.conf.get("spark.sql.warehouse.dir")
-    path = f"{folder}/ledger_round_trip-{uuid.uuid4().hex}"
+    """Published as a whole and read back."""
+    path = f"{work_folder(t.session)}/ledger-{uuid.uuid4().hex}"
     storage.write_ledger(t.ledger_d, path)
     return _text(storage.read_ledger(t.session, path))
+
+
+@query(f"SELECT {O.LEDGER_TEXT} FROM ({O.upserted('ledger_d', 'changes_d')})")
+def ledger_two_commits(t):
+    """Inserted in one commit, changed in a second, read back."""
+    store = _store(t)
+    store.insert(t.ledger_d)
+    store.upsert(t.changes_d)
+    return _text(store.ledger())
+
+
+@query(f"""
+    WITH after AS ({O.upserted('ledger_d', 'changes_d')}),
+    tops AS (SELECT target, max(CASE WHEN status = 'applied' THEN version END) AS version FROM after GROUP BY 1),
+    before AS (SELECT target, max(CASE WHEN status = 'applied' THEN version END) AS version FROM ledger_d GROUP BY 1)
+    SELECT target, coalesce(t.version, b.version) AS version, false AS dirty FROM tops t LEFT JOIN before b USING (target)
+    WHERE coalesce(t.version, b.version) IS NOT NULL""")
+def ledger_commit_cursor(t):
+    """The cursor that the second of two commits publishes."""
+    store = _store(t)
+    store.insert(t.ledger_d)
+    store.upsert(t.changes_d)
+    return store.cursor()
+
+
+_OUTSIDE = """
+    keyed AS (
+        SELECT target, version, count(*) AS n,
+               max(CASE WHEN version IS NULL THEN 'ledger row without a version'
+                        WHEN version < 0 THEN concat('ledger contains negative version ', version, '; the table was modified outside')
+                        WHEN status = 'open' THEN 'unknown status open' END) AS problem
+        FROM outside_d GROUP BY 1, 2),
+    refused AS (
+        SELECT target, version, coalesce(problem, concat('version ', version, ' is changed more than once')) AS error FROM keyed
+        WHERE problem IS NOT NULL OR n > 1),
+    accepted AS (SELECT * FROM outside_d WHERE target NOT IN (SELECT target FROM refused))"""
+
+
+@query(f"WITH {_OUTSIDE.strip()} SELECT target, version, error FROM refused")
+def refused_changes(t):
+    return L.split_changes(t.outside_d)[1]
+
+
+@query(f"WITH {_OUTSIDE.strip()} SELECT {O.LEDGER_TEXT} FROM ({O.upserted('ledger_d', 'accepted')})")
+def accepted_changes(t):
+    """Changes from outside in the store: refused targets keep their ledger, the others are written."""
+    store = _store(t)
+    store.insert(t.ledger_d)
+    store.upsert(t.outside_d)
+    return _text(store.ledger())
+
+
+@query(f"""
+    WITH {_OUTSIDE.strip()},
+    reasons AS (SELECT target, min(error) AS error FROM refused GROUP BY 1),
+    failing AS (SELECT t.target, coalesce(t.error, r.error) AS error FROM targets_d t LEFT JOIN reasons r USING (target))
+    SELECT target, concat('error: ', error) AS state, 1 AS exit FROM failing WHERE error IS NOT NULL""")
+def refused_in_plan(t):
+    """Targets with refused changes as the status and the plan show them."""
+    targets = with_refused(t.targets_d, L.split_changes(t.outside_d)[1])
+    shown = status(t.corpus_d, t.cursor_d, targets).select("target", "state")
+    failing = plan(t.ledger_d, t.corpus_d, t.objects_d, t.cursor_d, "pg", targets).filter("error IS NOT NULL").select("target", "exit")
+    return shown.join(failing, "target")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from driftledger.functions import text
@@ -9,6 +11,8 @@ from driftledger.functions.masking import mask_text
 from driftledger.operators import scripts as S
 from driftledger.plans.lint import lint as lint_files, lintable
 from driftledger.sources import corpus as C
+from driftledger.sources import folder
+from driftledger.sources.shared import work_folder
 from driftledger.workload import oracle_sql as O
 from driftledger.workload.registry import NOW, query
 
@@ -168,3 +172,33 @@ def lint(t):
 @query("SELECT count(*) AS total FROM files_d WHERE filename NOT LIKE '.%' AND lower(filename) <> 'readme.md'")
 def lint_total(t):
     return lintable(t.files_d).agg(F.count(F.lit(1)).alias("total"))
+
+
+@query("""
+    SELECT target, filename, sha256(body) AS sha256, false AS refused FROM script_files_d WHERE target <> '3'
+    UNION ALL SELECT DISTINCT target, NULL AS filename, NULL AS sha256, true AS refused FROM script_files_d WHERE target = '3'""")
+def folder_scan(t):
+    """Scripts written to a folder for each target and scanned; target 3 has a file where its folder should be, and one target
+    has no folder."""
+    root = f"{work_folder(t.session)}/folders-{uuid.uuid4().hex}"
+    named = t.script_files_d.withColumn("folder", F.concat(F.lit(f"{root}/"), "target"))
+    folder.write_files(named.filter("target <> '3'"))
+    folder.write_files(named.filter("target = '3'").limit(1).select(F.lit(root).alias("folder"), F.col("target").alias("filename"), "body"))
+    absent = t.session.range(1).select(F.lit("none").alias("target"), F.lit(f"{root}/none").alias("folder"))
+    files, refused = folder.split_files(folder.scan_folders(named.select("target", "folder").distinct().unionByName(absent)))
+    files = files.select("target", "filename", text.content_hash("body").alias("sha256"), F.lit(False).alias("refused"))
+    return files.unionByName(refused.select("target", "filename", F.lit(None).cast("string").alias("sha256"), F.lit(True).alias("refused")))
+
+
+@query("""
+    SELECT cast(p_partkey % 10 AS varchar) AS target, concat('1000000000000', lpad(cast(p_partkey AS varchar), 7, '0'), '_x.up.sql') AS filename,
+           concat('1000000000000', lpad(cast(p_partkey AS varchar), 7, '0')) AS version,
+           concat('migration version 1000000000000', lpad(cast(p_partkey AS varchar), 7, '0'), ' exceeds the ledger''s range') AS error
+    FROM part WHERE p_partkey % 3 = 0""")
+def out_of_range(t):
+    files = t.sql("""
+        SELECT cast(p_partkey % 10 AS string) AS target, p_type AS body,
+               concat(CASE WHEN p_partkey % 3 = 0 THEN concat('1000000000000', lpad(cast(p_partkey AS string), 7, '0'))
+                           ELSE cast(p_partkey AS string) END, '_x.up.sql') AS filename
+        FROM @part""")
+    return C.out_of_range(files).withColumn("version", F.col("version").cast("string"))

@@ -123,14 +123,48 @@ def test_data_checks(spark):
 
 
 def test_folder_scan_sees_every_regular_file(spark, tmp_path):
-    from driftledger.sources.corpus import scan_files
-
     files = {"1_a.up.sql": b"x", "_draft.sql": b"d", ".hidden": b"h", "2_empty.up.sql": b"", "3 b%20c.up.sql": b"\xff", "4_[a]{b}.up.sql": b"y"}
     for name, body in files.items():
         (tmp_path / name).write_bytes(body)
     for folder in ("sub", "k=v"):
         (tmp_path / folder).mkdir()
         (tmp_path / folder / "9_z.up.sql").write_bytes(b"no")
-    found = scan_files(spark, str(tmp_path)).selectExpr("filename", "CAST(body AS binary) AS body").collect()
-    assert {r.filename: bytes(r.body) for r in found} == files
-    assert scan_files(spark, str(tmp_path / "none")).count() == 0
+    for path in (str(tmp_path), f"file://{tmp_path}/"):
+        found = C.scan_files(spark, path).selectExpr("filename", "CAST(body AS binary) AS body", "error").collect()
+        assert {r.filename: bytes(r.body) for r in found} == files and not any(r.error for r in found)
+    assert C.scan_files(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_folders_fail_alone(spark, tmp_path):
+    from driftledger.sources import folder as W
+
+    for name in "abc":
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "1_x.up.sql").write_text(name)
+    (tmp_path / "d").write_text("no folder")
+    listed = W.list_files(spark.createDataFrame([(t, str(tmp_path / t)) for t in "abcde"] + [("f", "nowhere://x/y")], "target string, folder string"))
+    assert rows(listed, "target", "filename", "length") == [("a", "1_x.up.sql", 1), ("b", "1_x.up.sql", 1), ("c", "1_x.up.sql", 1), ("d", None, None), ("f", None, None)]
+    listed = spark.createDataFrame(listed.collect(), listed.schema)
+    (tmp_path / "b" / "1_x.up.sql").unlink()
+    (tmp_path / "c" / "1_x.up.sql").write_text("longer")
+    sound, refused = W.split_files(W.read_files(listed))
+    assert rows(sound) == [("a", "1_x.up.sql", "a")]
+    errors = {r.target: r.error for r in refused.collect()}
+    assert sorted(errors) == ["b", "c", "d", "f"] and errors["b"].startswith("FileNotFoundError") and errors["c"] == "listed with 1 bytes, read with 6"
+    with pytest.raises(Exception, match="read with 6"):
+        C.corpus_from_files(C._raised(W.read_files(listed.filter("target = 'c'")), "c")).collect()
+
+
+def test_files_are_dealt_by_bytes(spark, tmp_path):
+    from driftledger.sources import folder as W
+
+    written = spark.range(300).selectExpr(f"'{tmp_path}/many' AS folder", "concat(id, '_x.up.sql') AS filename", "repeat('x', 1000) AS body")
+    assert W.write_files(written) == 300
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        listed = W.list_files(spark.createDataFrame([("a", f"{tmp_path}/many")], "target string, folder string"))
+        parts = W.read_files(listed).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert len(parts) == 5 and sum(p["count"] for p in parts) == 300 and max(p["count"] for p in parts) < 100

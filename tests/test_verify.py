@@ -137,14 +137,35 @@ def test_object_operators(spark, make):
     assert rows(J.leftover_objects(claims, live), *key) == [("a", 2)]
 
 
-def test_shared_tables_can_be_released(spark, make):
+def test_shared_tables_go_with_their_block(spark, make):
+    """Two reports at once: the end of one leaves the other's tables alone."""
     import os
+    import threading
 
     from driftledger.plans.verify import verify
-    from driftledger.sources.shared import release
+    from driftledger.sources.shared import shared_tables
 
     folder = spark.conf.get("spark.checkpoint.dir")
-    verify(make.ledger([("a", 1, "applied")]), make.corpus([make.script("a", 1, "create table t (i int);")]), make.objects([]), "pg").collect()
-    assert any(f.startswith("audited-") for f in os.listdir(folder))
-    release(spark)
-    assert not [f for f in os.listdir(folder) if f.startswith(("audited-", "instructed-", "violations-"))]
+    tables = lambda: {f for f in os.listdir(folder) if f.startswith("audited-")}
+    before, ready, done, seen = tables(), threading.Event(), threading.Event(), {}
+
+    def report(name, wait):
+        with shared_tables(spark):
+            found = verify(make.ledger([(name, 1, "applied")]), make.corpus([make.script(name, 1, "create table t (i int);")]), make.objects([]), "pg")
+            if wait:
+                ready.set()
+                done.wait(60)
+            seen[name] = rows(found, "target", "status")
+
+    slow = threading.Thread(target=report, args=("slow", True))
+    slow.start()
+    assert ready.wait(60)
+    report("quick", False)
+    assert len(tables() - before) == 1
+    done.set()
+    slow.join()
+    assert seen == {"quick": [("quick", "DRIFT")], "slow": [("slow", "DRIFT")]} and tables() == before
+    with pytest.raises(ZeroDivisionError), shared_tables(spark):
+        verify(make.ledger([]), make.corpus([]), make.objects([]), "pg")
+        1 / 0
+    assert tables() == before
