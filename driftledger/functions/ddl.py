@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F
 
-from driftledger.functions.masking import mask_text
+from driftledger.functions.masking import statement_heads
 from driftledger.functions.text import WS
 
 NAME = "([A-Za-z_][A-Za-z0-9_]*)"
@@ -78,11 +78,12 @@ def dialect_of(dialect: str | Dialect) -> Dialect:
 
 
 def executable_text(body: Column, dialect: str | Dialect) -> Column:
-    """The body without comments and strings, where the dialect needs that and there is a statement to be found at all."""
+    """What the patterns are to see: the body or, where the dialect has comments and strings that may hold statements, the
+    heads of those that are executed. So from such a scan a few lines come back instead of the text."""
     if not dialect_of(dialect).masks:
         return body
     named = body.rlike("(?i)create|drop")
-    return F.when(named, mask_text(F.when(named, body))).otherwise(body)
+    return F.when(named, statement_heads(F.when(named, body))).when(body.isNotNull(), "")
 
 
 def _objects(text: Column, pattern: str, default_schema: str) -> Column:
@@ -102,12 +103,12 @@ def _objects(text: Column, pattern: str, default_schema: str) -> Column:
 
 
 def created(text: Column, dialect: str | Dialect) -> Column:
-    """Objects named by CREATE statements at a line start, in source order. ``text`` is already masked."""
+    """Objects named by CREATE statements at a line start, in source order. ``text`` is that of :func:`executable_text`."""
     d = dialect_of(dialect)
     return _objects(text, d.create_pattern, d.default_schema)
 
 
 def dropped(text: Column, dialect: str | Dialect) -> Column:
-    """Objects named by DROP statements at a line start, in source order. ``text`` is already masked."""
+    """Objects named by DROP statements at a line start, in source order. ``text`` is that of :func:`executable_text`."""
     d = dialect_of(dialect)
     return _objects(text, d.drop_pattern, d.default_schema)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from driftledger.functions import ddl, text
 from driftledger.functions.ddl import created, dropped, executable_text
-from driftledger.functions.masking import mask_one, mask_text
+from driftledger.functions.masking import heads_one, mask_one, mask_text
 
 
 def apply(spark, function, *values):
@@ -104,6 +104,31 @@ def test_mask_against_byte_wise_replay():
         assert mask_one(given.encode()).decode() == _mask_bytes(given), given
 
 
+def test_heads_hold_what_the_masked_text_does(spark):
+    rng = random.Random(11)
+    parts = ["CREATE", "create", "Drop", "TABLE", "view", "IF NOT EXISTS", "if exists", "OR REPLACE", "MATERIALIZED", "temp", "a", '"B"', "app.", '"s".', "x1", "(", ");", ";", "'", "--", "/*", "*/", "$$", "é",
+             "\n", "\n", "\n", " ", " ", "\t", "\r\n", "\n\n  ", *["\nCREATE TABLE", "\n  create view app.", "\nDROP\nTABLE ", "\ndrop view if exists"] * 3]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " ", " "]) for _ in range(rng.randint(0, 40))) for _ in range(4000)]
+    texts += ["-- x\n" + "CREATE TABLE\n" * 3 + "y", "/**/ CREATE OR REPLACE\nMATERIALIZED\n\nVIEW IF\nNOT EXISTS\n s.n ( )", "--\ncreate table;\ncreate view v", None, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, body string")
+    masked, heads = mask_text(F.col("body")), executable_text(F.col("body"), "pg")
+    found = df.select("i", created(masked, "pg").alias("c"), created(heads, "pg").alias("ch"), dropped(masked, "pg").alias("d"), dropped(heads, "pg").alias("dh")).collect()
+    assert all(r.c == r.ch and r.d == r.dh for r in found), [texts[r.i] for r in found if r.c != r.ch or r.d != r.dh][:3]
+    assert sum(bool(r.c) for r in found) > 300 and sum(bool(r.d) for r in found) > 200
+
+
+def test_scan_is_linear():
+    import time
+
+    def seconds(n):
+        began = time.perf_counter()
+        heads_one(b"/*" + b"x\n" * n + b"*/\n CREATE TABLE a (b int);" + b"'" + b"\n" * n + b"'")
+        return time.perf_counter() - began
+
+    assert heads_one(b"/* CREATE TABLE no */\n create  table\n a (b int); '\nDROP TABLE x'") == b"create table\na ;\n"
+    assert seconds(400_000) < 1
+
+
 def test_scripts_that_are_not_utf8(spark):
     body = b"-- caf\xe9 \xff\nCREATE TABLE a (x text default 'ol\xe9');\n/* \xfe */ DROP VIEW b;\n$q$ CREATE TABLE no \x80 $q$\nCREATE VIEW \"c\" AS SELECT 1"
     assert mask_one(b"'\xe9\n\xff' \xe9") == b"  \n   \xe9"
