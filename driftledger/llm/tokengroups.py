@@ -86,9 +86,9 @@ def probes(found: np.ndarray) -> np.ndarray:
 
 
 def _likeness(found: np.ndarray) -> int:
-    """Two minima of hashes and the interval of sizes, in one number: alike for most linked sets, seldom for others."""
-    one, two = (hashing.mixed(found ^ seed).min(keepdims=True) for seed in (_SEED, ~_SEED))
-    return int(hashing.mixed(one * _SEED + two + np.uint64(interval(len(found)))).view(np.int64)[0])
+    """The least hash and the interval of sizes, in one number: alike for most linked sets, seldom for others."""
+    least = hashing.mixed(found ^ ~_SEED).min(keepdims=True)
+    return int(hashing.mixed(least + np.uint64(interval(len(found)))).view(np.int64)[0])
 
 
 def signed(docs: DataFrame) -> DataFrame:
@@ -110,21 +110,22 @@ def signed(docs: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, gid, found): the sorted shingle hashes of the nodes, from the text of their smallest doc_id."""
+    """(node, gid, found): the sorted shingle hashes of the nodes, from the text of their smallest doc_id.
+
+    Texts meet ids only, the least that can be broadcast; what else is known of a node joins its set afterwards.
+    """
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, sets = [], []
-            for i, (text, known) in enumerate(zip(batch["text"], batch["fingerprint"], strict=True)):
-                found = shingles(text.as_py())
-                if len(found) and fingerprint(found) == known.as_py():  # rows of one doc_id may have several texts
-                    kept.append(i)
-                    sets.append(found.tobytes())
-            rows = pa.array(kept, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch["node"].take(rows), batch["gid"].take(rows), pa.array(sets, pa.binary())], names=["node", "gid", "found"])
+            sets = [shingles(text.as_py()) for text in batch["text"]]
+            prints = [fingerprint(found) if len(found) else None for found in sets]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(prints, pa.binary()), pa.array([found.tobytes() for found in sets], pa.binary())], names=["doc_id", "fingerprint", "found"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
-    return texts.join(nodes.select("doc_id", "node", "gid", "fingerprint"), "doc_id").select("text", "node", "gid", "fingerprint").mapInArrow(collect, "node long, gid long, found binary")
+    wanted = texts.join(stored(nodes.select("doc_id").distinct()), "doc_id", "left_semi")
+    found = wanted.mapInArrow(collect, "doc_id long, fingerprint binary, found binary")
+    # Rows of one doc_id may have several texts.
+    return found.join(nodes.select("doc_id", "fingerprint", "node", "gid"), ["doc_id", "fingerprint"]).select("node", "gid", "found")
 
 
 def matrix(sets: DataFrame) -> DataFrame:
@@ -204,15 +205,25 @@ def _grouped(nodes: DataFrame) -> DataFrame:
     return nodes.join(most, "likeness").withColumn("gid", F.xxhash64("likeness", F.pmod(F.xxhash64("node"), "deals"))).drop("deals", "likeness")
 
 
-def _others(members: DataFrame, nodes: DataFrame, comps: DataFrame, asked: DataFrame) -> DataFrame:
-    """(node, gid) of probes whose sets are in several components: each set against the groups of the others, one way round."""
-    known = members.join(comps.withColumnRenamed("uid", "node"), "node", "left").join(nodes.select("node", "gid"), "node")
-    known = known.select("probe", "node", "gid", F.coalesce("component", "node").alias("comp"))
-    mixed = known.groupBy("probe").agg(F.count("*").alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("n > 2 and x <> y").select("probe")
-    known = stored(known.join(mixed, "probe"))
-    there = known.groupBy("probe", F.col("gid").alias("other")).agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
-    both = known.join(there, "probe").where("gid < other and (comp <> x or comp <> y)")
-    return both.select("node", F.col("other").alias("gid")).distinct().join(asked, ["node", "gid"], "left_anti")
+def _others(members: DataFrame, home: DataFrame, comps: DataFrame, asked: DataFrame) -> DataFrame:
+    """(node, gid): sets against groups that share a probe with theirs and are not all in their component, one way round.
+
+    Groups are paired first, whatever the number of their members that share a probe; then the members of the smaller one
+    are asked.
+    """
+    known = home.join(comps.withColumnRenamed("uid", "node"), "node", "left").select("node", "gid", F.coalesce("component", "node").alias("comp"))
+    known = stored(known)
+    there = members.join(known, "node").groupBy("probe", "gid").agg(F.count("*").alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y"))
+    there = stored(there)
+    mixed = there.groupBy("probe").agg(F.sum("n").alias("n"), F.min("x").alias("x"), F.max("y").alias("y")).where("n > 2 and x <> y").select("probe")
+    there = stored(there.drop("n").join(mixed, "probe"))
+    other = there.select("probe", F.col("gid").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"))
+    pairs = there.join(other, "probe").where("gid < other and not (x = y and ox = oy and x = ox)").select("gid", "other").distinct()
+    sizes = known.groupBy("gid").agg(F.count("*").alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y"))
+    both = pairs.join(sizes.select("gid", "n"), "gid").join(sizes.select(F.col("gid").alias("other"), F.col("n").alias("m")), "other")
+    both = both.select(F.when(F.col("n") <= F.col("m"), F.col("gid")).otherwise(F.col("other")).alias("ask"), F.when(F.col("n") <= F.col("m"), F.col("other")).otherwise(F.col("gid")).alias("gid"))
+    each = stored(both).join(known.withColumnRenamed("gid", "ask"), "ask").join(sizes.drop("n"), "gid").where("comp <> x or comp <> y")
+    return each.select("node", "gid").join(asked, ["node", "gid"], "left_anti")
 
 
 def similar(docs: DataFrame) -> DataFrame:
@@ -225,7 +236,7 @@ def similar(docs: DataFrame) -> DataFrame:
        condition. For each, the node's overlap with the group's union bounds that with every member; if it is too small
        the group stays closed, else the members' own columns are compared.
     3. First each node meets its own group and, for each probe, that of the probe's first node. After that only probes whose
-       nodes are in several components remain, and there each node meets the groups of the other components.
+       nodes are in several components remain, and there groups meet unless they are in one component.
     So no link is lost but those that join what is joined already.
 
     A null text, or one without words, has no shingles and is in no link. A row without doc_id is linked with nothing
@@ -237,19 +248,20 @@ def similar(docs: DataFrame) -> DataFrame:
     nodes = usable.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("likeness").alias("likeness"), F.first("probes").alias("probes"))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()))
     probed = nodes.select("node", F.explode("probes").alias("probe"))
-    shared = probed.groupBy("probe").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last").select("probe", "lead")
+    shared = probed.groupBy("probe").agg(F.count("*").alias("n")).where("n > 1").select("probe")
     members = stored(probed.join(shared, "probe"))
+    leads = members.groupBy("probe").agg(F.min("node").alias("lead"))
 
     needed = members.select("node").distinct()
     grouped = stored(_grouped(nodes.drop("probes").join(needed, "node", "left_semi")))
     sets = stored(_sets(docs, grouped))
     groups = stored(matrix(sets))
     home = grouped.select("node", "gid")
-    first = members.where("node <> lead").select("node", "lead").distinct().join(home.withColumnRenamed("node", "lead"), "lead").select("node", "gid")
+    first = members.join(leads, "probe").where("node <> lead").select("node", "lead").distinct().join(home.withColumnRenamed("node", "lead"), "lead").select("node", "gid")
     own = home.join(groups.where("size(members) > 1").select("gid"), "gid", "left_semi").select("node", "gid")
     asked = stored(first.unionByName(own).distinct())
     met = stored(links(asked, sets, groups))
-    rest = stored(_others(members, grouped, components(met), asked))
+    rest = stored(_others(members, home, components(met), asked))
     comps = components(met.unionByName(links(rest, sets, groups)))
 
     named = nodes.select("node", "fingerprint", "doc_id").join(comps.withColumnRenamed("uid", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
