@@ -31,9 +31,10 @@ _VALUE_CALL = rf"(?i)JSON_VALUE{WS}*\({WS}*[A-Za-z_][A-Za-z0-9_.]*{WS}*,{WS}*{_P
 _NEAR = _CONTEXT // 19 + 1
 _DEFAULT_TYPE = "NVARCHAR"
 _KNOWN_TYPES = (
-    "BIGINT INT SMALLINT TINYINT BIT DECIMAL NUMERIC FLOAT REAL MONEY SMALLMONEY DATE DATETIME DATETIME2 "
-    "SMALLDATETIME DATETIMEOFFSET TIME NVARCHAR VARCHAR NCHAR CHAR VARBINARY BINARY UNIQUEIDENTIFIER"
-).split()
+    "BIGINT", "INT", "SMALLINT", "TINYINT", "BIT", "DECIMAL", "NUMERIC", "FLOAT", "REAL", "MONEY",
+    "SMALLMONEY", "DATE", "DATETIME", "DATETIME2", "SMALLDATETIME", "DATETIMEOFFSET", "TIME", "NVARCHAR",
+    "VARCHAR", "NCHAR", "CHAR", "VARBINARY", "BINARY", "UNIQUEIDENTIFIER",
+)
 
 
 def _all(text: Column, pattern: str, group: int) -> Column:
@@ -144,7 +145,7 @@ def _declared_fields(definition: Column) -> Column:
 def _known(sql_type: Column) -> Column:
     """The base type when it is a known one, else NULL (also for no match)."""
     base = base_type(sql_type)
-    return F.when(F.upper(base).isin(_KNOWN_TYPES), base)
+    return F.when(F.upper(base).isin(*_KNOWN_TYPES), base)
 
 
 def value_type(before: Column, after: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 # character more (vertical tab), so the set is always written out.
 WS = r"[ \t\n\f\r]"
 
+# The names of scripts, for loading and for lint, and the line that ends a batch.
 LOADER_NAME = r"\A(\d+)_[^\n]+\.(up|down)\.sql\z"
 LINT_NAME = r"\A(\d+)_([a-zA-Z0-9_-]+)\.(up|down)\.sql\z"
 BATCH_SEPARATOR = rf"(?imd)^{WS}*GO{WS}*$"

@@ -10,43 +10,47 @@ from driftledger.functions.text import trim_space
 
 # Contract type -> type names, lower case.
 PG_TYPES = {
-    "int": "smallint, integer, bigint, int2, int4, int8, smallserial, serial, bigserial",
-    "float": "real, double precision, float4, float8",
-    "Decimal": "numeric, decimal, money",
-    "bool": "boolean, bool",
-    "str": "character, character varying, char, varchar, text, citext, name",
-    "datetime": "date, timestamp, timestamp without time zone, timestamp with time zone, timestamptz",
-    "time": "time, time without time zone, time with time zone, timetz",
-    "UUID": "uuid",
-    "bytes": "bytea",
-    "Any": "json, jsonb",
+    "int": ("smallint", "integer", "bigint", "int2", "int4", "int8", "smallserial", "serial", "bigserial"),
+    "float": ("real", "double precision", "float4", "float8"),
+    "Decimal": ("numeric", "decimal", "money"),
+    "bool": ("boolean", "bool"),
+    "str": ("character", "character varying", "char", "varchar", "text", "citext", "name"),
+    "datetime": ("date", "timestamp", "timestamp without time zone", "timestamp with time zone", "timestamptz"),
+    "time": ("time", "time without time zone", "time with time zone", "timetz"),
+    "UUID": ("uuid",),
+    "bytes": ("bytea",),
+    "Any": ("json", "jsonb"),
 }
 MS_TYPES = {
-    "int": "bigint, int, smallint, tinyint",
-    "float": "float, real",
-    "Decimal": "decimal, numeric, money, smallmoney",
-    "bool": "bit",
-    "str": "char, varchar, nchar, nvarchar, text, ntext",
-    "datetime": "date, datetime, datetime2, smalldatetime, datetimeoffset",
-    "time": "time",
-    "UUID": "uniqueidentifier",
-    "bytes": "varbinary, binary, image",
+    "int": ("bigint", "int", "smallint", "tinyint"),
+    "float": ("float", "real"),
+    "Decimal": ("decimal", "numeric", "money", "smallmoney"),
+    "bool": ("bit",),
+    "str": ("char", "varchar", "nchar", "nvarchar", "text", "ntext"),
+    "datetime": ("date", "datetime", "datetime2", "smalldatetime", "datetimeoffset"),
+    "time": ("time",),
+    "UUID": ("uniqueidentifier",),
+    "bytes": ("varbinary", "binary", "image"),
 }
 # Web type -> base type names; every other type is "any".
 WEB_TYPES = {
-    "bigint": "bigint, int8, bigserial",
-    "number": "int, smallint, tinyint, integer, serial, smallserial, float, real, double precision, double, "
-    "decimal, numeric, money, smallmoney",
-    "boolean": "bit, boolean, bool",
-    "string": "char, varchar, character, character varying, nchar, nvarchar, text, ntext, citext, uuid, "
-    "uniqueidentifier, date, datetime, datetime2, smalldatetime, datetimeoffset, timestamp, timestamptz, "
-    "timestamp with time zone, timestamp without time zone, time",
+    "bigint": ("bigint", "int8", "bigserial"),
+    "number": (
+        "int", "smallint", "tinyint", "integer", "serial", "smallserial", "float", "real", "double precision",
+        "double", "decimal", "numeric", "money", "smallmoney",
+    ),
+    "boolean": ("bit", "boolean", "bool"),
+    "string": (
+        "char", "varchar", "character", "character varying", "nchar", "nvarchar", "text", "ntext", "citext",
+        "uuid", "uniqueidentifier", "date", "datetime", "datetime2", "smalldatetime", "datetimeoffset",
+        "timestamp", "timestamptz", "timestamp with time zone", "timestamp without time zone", "time",
+    ),
 }
 
 
-def _look_up(name: Column, table: dict[str, str]) -> Column:
+def _look_up(name: Column, table: dict[str, tuple[str, ...]]) -> Column:
     """NULL when no row of the table lists the name. The table is one constant, the name is evaluated once."""
-    pairs = [(name, kind) for kind, names in table.items() for name in names.split(", ")]
+    pairs = [(name, kind) for kind, names in table.items() for name in names]
     return F.try_element_at(F.create_map(*[F.lit(x) for x in chain.from_iterable(pairs)]), name)
 
 

@@ -20,6 +20,8 @@ LEFTOVER_OBJECT = "%s.%s: claimed reverted but still exists"
 NO_SCRIPT = "version %d does not match any migration file in %s"
 NO_DOWN_SCRIPT = "version %d does not have a matching .down.sql migration file in %s"
 
+UNKNOWN_KIND = 'unknown object kind "%s"'
+
 RULE_FILENAME = "invalid-filename-format"
 RULE_VERSION = "invalid-version-number"
 RULE_EMPTY = "empty-migration-file"

@@ -4,9 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from driftledger import messages as M
 from driftledger.operators.skew import lookup
 
 OBJECT = ["schema", "name", "kind"]
+#: Kinds of objects that can be looked for; anything else is an error, not an object that is missing.
+KINDS = ("table", "view", "function", "procedure")
+
+
+def unknown_kinds(claims: DataFrame) -> DataFrame:
+    """Claims on objects of no known kind, with ``error``: whether they exist cannot be told."""
+    return claims.filter(~_known()).withColumn("error", F.format_string(M.UNKNOWN_KIND, F.coalesce("kind", F.lit(""))))
+
+
+def _known() -> Column:
+    return F.coalesce(F.lower("kind").isin(*KINDS), F.lit(False))
 
 
 def _keyed(df: DataFrame, ignore_schema: bool, case_sensitive: bool) -> tuple[DataFrame, list[str]]:
@@ -29,23 +41,23 @@ def _match(claims: DataFrame, objects: DataFrame, how: str, ignore_schema: bool,
 def object_exists(
     claims: DataFrame, objects: DataFrame, ignore_schema: bool = False, case_sensitive: bool = True
 ) -> DataFrame:
-    """Claims with a flag ``exists``."""
+    """Claims with a flag ``exists``, which is NULL for an unknown kind."""
     matched = _match(claims, objects, "left", ignore_schema, case_sensitive)
-    return matched.withColumn("exists", F.col("_there").isNotNull()).drop("_there")
+    return matched.withColumn("exists", F.when(_known(), F.col("_there").isNotNull())).drop("_there")
 
 
 def missing_objects(
     claims: DataFrame, objects: DataFrame, ignore_schema: bool = False, case_sensitive: bool = True
 ) -> DataFrame:
-    """Claims whose object does not exist."""
-    return _match(claims, objects, "left_anti", ignore_schema, case_sensitive)
+    """Claims whose object does not exist; for those of an unknown kind see :func:`unknown_kinds`."""
+    return _match(claims.filter(_known()), objects, "left_anti", ignore_schema, case_sensitive)
 
 
 def leftover_objects(
     claims: DataFrame, objects: DataFrame, ignore_schema: bool = False, case_sensitive: bool = True
 ) -> DataFrame:
-    """Claims whose object still exists."""
-    return _match(claims, objects, "left_semi", ignore_schema, case_sensitive)
+    """Claims whose object still exists; for those of an unknown kind see :func:`unknown_kinds`."""
+    return _match(claims.filter(_known()), objects, "left_semi", ignore_schema, case_sensitive)
 
 
 def gone_at() -> Column:

@@ -155,19 +155,22 @@ def pending(
     return lookup(targets, scripts, KEYS, "inner").select("target", "version", *columns)
 
 
+def pending_facts(corpus: DataFrame, cursor: DataFrame) -> DataFrame:
+    """(target, n, first) as rows to be added up per target: numbers of pending scripts, and the first of them.
+
+    With a shared corpus scripts are counted per key first, so no (target, script) pair is ever formed.
+    """
+    one = F.struct("version", "filename")
+    if has_target(corpus):
+        return pending(corpus, cursor).select("target", F.lit(1).cast("long").alias("n"), one.alias("first"))
+    per_key = script_keys_above(corpus_up(corpus).select("version", "filename")).groupBy(*KEYS)
+    per_key = per_key.agg(F.count(F.lit(1)).alias("n"), F.min(one).alias("first"))
+    return lookup(cursor_keys_above(_positions(cursor)), per_key, KEYS, "inner").select("target", "n", "first")
+
+
 def pending_summary(corpus: DataFrame, cursor: DataFrame) -> DataFrame:
     """(target, n_pending, next_version, next_file) for targets with pending scripts."""
-    first = F.min(F.struct("version", "filename")).alias("_next")
-    if has_target(corpus):
-        waiting = pending(corpus, cursor).groupBy("target")
-        counted = waiting.agg(F.count(F.lit(1)).alias("n_pending"), first)
-    else:
-        # Counted per key first: no (target, script) pair is ever formed.
-        per_key = script_keys_above(corpus_up(corpus).select("version", "filename")).groupBy(*KEYS)
-        per_key = per_key.agg(F.count(F.lit(1)).alias("n"), first)
-        keys = cursor_keys_above(_positions(cursor))
-        counted = lookup(keys, per_key, KEYS, "inner").groupBy("target")
-        counted = counted.agg(F.sum("n").alias("n_pending"), F.min("_next").alias("_next"))
+    counted = pending_facts(corpus, cursor).groupBy("target").agg(F.sum("n").alias("n_pending"), F.min("first").alias("_next"))
     return counted.select(
         "target", "n_pending", F.col("_next.version").alias("next_version"), F.col("_next.filename").alias("next_file")
     )

@@ -10,6 +10,7 @@ from driftledger.functions.payload import field_contract_type, json_fields
 from driftledger.functions.types import contract_type, web_type, web_validator
 from driftledger.operators.skew import lookup, row_counts
 from driftledger.schemas import COLUMNS, conform
+from driftledger.sources.shared import share
 
 TABLE = ["target", "schema", "table"]
 
@@ -103,12 +104,36 @@ def contract_needs(contract: DataFrame, by: list[str] | None = None) -> DataFram
     return needs.withColumn("typing_imports", imports)
 
 
+def _fingerprints(stored: DataFrame, live: DataFrame, by: list[str]) -> DataFrame:
+    """(by, stale): do the two contracts differ? One aggregate over both sides, combined before its shuffle.
+
+    The fields of a side are a set, whose number, sum and exclusive or of hashes do not depend on their order; what both
+    sides have cancels out.
+    """
+
+    def side(df: DataFrame, sign: int) -> DataFrame:
+        fields = [*TABLE, F.col("alias").alias("column"), *COMPARED]
+        rows = df.select(*by, F.xxhash64(F.struct(*fields)).alias("_h"), F.xxhash64(F.lit(sign * sign), F.struct(*fields)).alias("_g"))
+        return rows.withColumn("_sign", F.lit(sign))
+
+    wide = lambda h: F.sum(F.col(h).cast("decimal(20,0)") * F.col("_sign"))
+    rows = side(stored, 1).unionByName(side(live, -1)).groupBy(*by)
+    sums = rows.agg(F.sum("_sign").alias("_n"), wide("_h").alias("_s"), F.bit_xor("_h").alias("_x"), F.bit_xor("_g").alias("_y"))
+    same = (F.col("_n") == 0) & (F.col("_s") == 0) & (F.col("_x") == 0) & (F.col("_y") == 0)
+    return sums.select(*by, (~same).alias("stale"))
+
+
 def contract_diff(stored: DataFrame, live: DataFrame) -> DataFrame:
-    """Fields that were added, removed or changed since a contract was stored."""
+    """Fields that were added, removed or changed since a contract was stored.
+
+    Fingerprints tell first which tables differ; only their fields are compared one by one.
+    """
     keys = [*TABLE, "column"]
+    differing = share(_fingerprints(stored, live, TABLE).filter("stale").select(*TABLE), "differing")
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        return df.select(*TABLE, F.col("alias").alias("column"), F.struct(*COMPARED).alias(name))
+        fields = df.select(*TABLE, F.col("alias").alias("column"), F.struct(*COMPARED).alias(name))
+        return lookup(fields, differing, TABLE, "left_semi")
 
     both = side(stored, "stored").join(side(live, "live"), keys, "full")
     change = (
@@ -121,9 +146,7 @@ def contract_diff(stored: DataFrame, live: DataFrame) -> DataFrame:
 
 def contract_stale(stored: DataFrame, live: DataFrame) -> DataFrame:
     """(target, stale): does the stored contract differ from the live one?"""
-    changed = contract_diff(stored, live).select("target").distinct().withColumn("stale", F.lit(True))
-    targets = stored.select("target").union(live.select("target")).distinct()
-    return targets.join(changed, "target", "left").select("target", F.coalesce("stale", F.lit(False)).alias("stale"))
+    return _fingerprints(stored, live, ["target"])
 
 
 def json_contracts(procs: DataFrame) -> DataFrame:

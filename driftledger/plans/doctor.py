@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from driftledger.functions.text import explode_rows
-from driftledger.plans.status import EXIT_ERROR, EXIT_ISSUES, EXIT_OK, status
-from driftledger.plans.verify import audited, drift_counts, hash_mismatches, verify_audited
-from driftledger.schemas import TARGETS, conform
+from driftledger.operators.scripts import pending_facts
+from driftledger.plans.status import EXIT_ERROR, EXIT_ISSUES, EXIT_OK
+from driftledger.plans.verify import audited, drift_facts
+from driftledger.schemas import CURSOR, TARGETS, conform, has_target
 
 
 def _check(name: str, outcome: Column, message: Column) -> Column:
@@ -23,19 +25,30 @@ def doctor_inputs(
 ) -> DataFrame:
     """Everything the checks need, one row per target.
 
-    Each input is counted per target before the joins, so they are joins of one row with one row.
+    Targets, cursors, pending scripts and drift are rows of one table, which is folded by target once; the fold combines
+    before its shuffle, so a target with very many facts is no hot key. Facts of targets that are not listed go.
     """
-    targets = conform(targets, TARGETS)
-    checked = audited(ledger, corpus, dialect)
-    drift = drift_counts(verify_audited(checked, objects, dialect))
-    mismatches = hash_mismatches(checked)
-    standing = status(corpus, cursor, targets).select(
-        "target", "current_version", "has_version", "dirty", "n_pending"
+    about = StructType([*TARGETS.fields, StructField("has_ledger", BooleanType())])
+    who = conform(targets, about).select("target", F.struct(*about.fieldNames()[1:]).alias("who"))
+    cursor = conform(cursor, CURSOR)
+    places = cursor if has_target(corpus) else targets.select("target").join(cursor, "target", "left")
+    waiting = pending_facts(corpus, places).select("target", F.col("n").alias("n_pending"))
+    drift = drift_facts(audited(ledger, corpus, dialect), objects, dialect)
+    placed = cursor.select("target", F.struct("version", "dirty").alias("place"))
+    facts = who
+    for part in (placed, waiting, drift):
+        facts = facts.unionByName(part, allowMissingColumns=True)
+    numbers = ("n_pending", "n_checked", "n_drift", "n_mismatch")
+    folded = facts.groupBy("target").agg(F.max("who").alias("who"), F.max("place").alias("place"), *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in numbers])
+    has_version = F.col("place.version").isNotNull()
+    return folded.filter("who IS NOT NULL").select(
+        "target",
+        "who.*",
+        F.coalesce("place.version", F.lit(0)).alias("current_version"),
+        has_version.alias("has_version"),
+        (F.coalesce("place.dirty", F.lit(False)) & has_version).alias("dirty"),
+        *numbers,
     )
-    rows = targets
-    for part in (standing, drift, mismatches):
-        rows = rows.join(part, "target", "left")
-    return rows
 
 
 def doctor(

@@ -89,19 +89,19 @@ def _facts_by_name(rows: DataFrame, objects: DataFrame) -> DataFrame:
     return joined.withColumn("exists", F.coalesce("exists", F.lit(False)))
 
 
-def object_findings(rows: DataFrame, objects: DataFrame, dialect: str) -> DataFrame:
-    """(target, version, pos, message) for each object that is missing or left over."""
+def object_findings(rows: DataFrame, objects: DataFrame, dialect: str, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(target, version, pos, message) for each object that is missing or left over; with ``carried`` columns of its row."""
     by_name = not dialect_of(dialect).schema_matters
     facts = _facts_by_name(rows, objects) if by_name else object_facts(rows, objects)
     keys = ["target", *OBJECT]
-    claims = rows.filter(F.size("created") > 0).select("target", "version", "status", F.posexplode("created"))
-    claims = claims.select("target", "version", "status", "pos", "col.*")
+    claims = rows.filter(F.size("created") > 0).select("target", "version", "status", *carried, F.posexplode("created"))
+    claims = claims.select("target", "version", "status", "pos", *carried, "col.*")
     judged = lookup(claims, facts, keys, "inner")
     excused = F.coalesce(F.col("gone_at") > F.col("version"), F.lit(False))
     missing = (F.col("status") == M.APPLIED) & ~F.col("exists") & ~excused
     leftover = (F.col("status") == M.REVERTED) & F.col("exists")
     message = F.when(missing, _object_message(M.MISSING_OBJECT)).when(leftover, _object_message(M.LEFTOVER_OBJECT))
-    return judged.select("target", "version", "pos", message.alias("message")).filter("message IS NOT NULL")
+    return judged.select("target", "version", "pos", message.alias("message"), *carried).filter("message IS NOT NULL")
 
 
 def verify(
@@ -146,10 +146,22 @@ def drift_counts(report: DataFrame) -> DataFrame:
     )
 
 
-def hash_mismatches(rows: DataFrame) -> DataFrame:
-    """(target, n_mismatch) from rows of :func:`audited`; here a missing script counts as a mismatch."""
+def drift_facts(rows: DataFrame, objects: DataFrame, dialect: str) -> DataFrame:
+    """(target, n_checked, n_drift, n_mismatch) as rows to be added up per target, from rows of :func:`audited`.
+
+    A ledger row counts once, whatever is wrong with it; one with findings of its objects only is told apart from one
+    that its script shows as bad already, so no finding is joined back to its row. For ``n_mismatch`` a missing script
+    counts as well.
+    """
     gone = F.col("file").isNull()
-    return rows.groupBy("target").agg(F.count_if(F.col("hashed") & (F.col("edited") | gone)).alias("n_mismatch"))
+    bad = F.col("edited") | (gone & (F.col("status") == M.APPLIED))
+    mismatch = F.col("hashed") & (F.col("edited") | gone)
+    count = lambda c: F.coalesce(c, F.lit(False)).cast("long")
+    own = rows.select("target", F.lit(1).cast("long").alias("n_checked"), count(bad).alias("n_drift"), count(mismatch).alias("n_mismatch"))
+    found = object_findings(rows.withColumn("sound", ~F.coalesce(bad, F.lit(False))), objects, dialect, ("sound",)).filter("sound")
+    nothing = F.lit(0).cast("long")
+    more = found.select("target", "version").distinct()
+    return own.unionByName(more.select("target", nothing.alias("n_checked"), F.lit(1).cast("long").alias("n_drift"), nothing.alias("n_mismatch")))
 
 
 def unverifiable(targets: DataFrame, ledger: DataFrame) -> DataFrame:

@@ -103,7 +103,12 @@ def _field(x: str) -> str:
 
 
 def _web_name(x: str) -> str:
-    words = ",".join(f"'{w}'" for w in naming.WEB_RESERVED)
+    words = (
+        "'break','case','catch','class','const','continue','debugger','default','delete','do','else','enum','export','extends','false',"
+        "'finally','for','function','if','import','in','instanceof','new','null','return','super','switch','this','throw','true','try',"
+        "'typeof','var','void','while','with','yield','let','static','await','async','implements','interface','package','private',"
+        "'protected','public'"
+    )
     return f"""CASE WHEN {x} IN ({words}) THEN concat({x}, '_') WHEN regexp_full_match({x}, '[A-Za-z_][A-Za-z0-9_]*') THEN {x}
                ELSE concat('"', {x}, '"') END"""
 

@@ -164,6 +164,46 @@ def table_columns(t):
     return columns.select("target", "schema", "table", "ordinal", "column", "data_type", "nullable")
 
 
+@query(f"""
+    SELECT c.target, c.schema, c."table", c.ordinal, c."column", c.data_type, c.is_nullable = 'yes' AS nullable
+    FROM ({_RAW_COLUMNS.format(q='"')}) c JOIN ({_TABLES.format(q='"')}) t
+      ON t.target = c.target AND t.schema = c.schema AND t."table" = c."table" WHERE t.table_type = 'BASE TABLE'""")
+def table_columns_ms(t):
+    columns = catalog.table_columns(t.sql(_TABLES.format(q="`")), t.sql(_RAW_COLUMNS.format(q="`")), "ms")
+    return columns.select("target", "schema", "table", "ordinal", "column", "data_type", "nullable")
+
+
+_LITE_TABLES = """SELECT DISTINCT target, 'main' AS schema, {q}table{q}, CASE WHEN length({q}table{q}) % 4 = 0 THEN 'VIEW' ELSE 'BASE TABLE' END AS table_type
+    FROM (SELECT target, CASE WHEN schema = 's1' THEN concat('sqlite_', {q}table{q}) ELSE concat(schema, {q}table{q}) END AS {q}table{q} FROM columns_d) c"""
+_LITE_COLUMNS = """SELECT target, CASE WHEN schema = 's1' THEN concat('sqlite_', {q}table{q}) ELSE concat(schema, {q}table{q}) END AS {q}table{q},
+    ordinal, {q}column{q}, data_type, CASE WHEN nullable THEN 0 ELSE 1 END AS not_null, CASE WHEN ordinal % 50 = 1 THEN 1 ELSE 0 END AS pk FROM columns_d"""
+
+
+@query(f"""
+    SELECT c.target, 'main' AS schema, c."table", c.ordinal, c."column", c.data_type, c.not_null = 0 AND c.pk = 0 AS nullable
+    FROM ({_LITE_COLUMNS.format(q='"')}) c JOIN ({_LITE_TABLES.format(q='"')}) t ON t.target = c.target AND t."table" = c."table"
+    WHERE t.table_type = 'BASE TABLE' AND c."table" NOT LIKE 'sqlite%'""")
+def table_columns_lite(t):
+    columns = catalog.table_columns(t.sql(_LITE_TABLES.format(q="`")), t.sql(_LITE_COLUMNS.format(q="`")), "lite")
+    return columns.select("target", "schema", "table", "ordinal", "column", "data_type", "nullable")
+
+
+_ODD_KINDS = "SELECT target, version, schema, name, CASE WHEN version % 8 = 1 THEN 'sequence' WHEN version % 8 = 2 THEN NULL ELSE kind END AS kind FROM"
+
+
+@query(f"""
+    WITH c AS ({_ODD_KINDS} ({O.objects(O.CREATE, "pg")}))
+    SELECT c.target, c.version, c.schema, c.name, c.kind,
+           CASE WHEN kind IN ('table', 'view') THEN EXISTS (SELECT 1 FROM objects_d o WHERE {_SAME}) END AS "exists",
+           CASE WHEN coalesce(kind, '') NOT IN ('table', 'view') THEN concat('unknown object kind "', coalesce(kind, ''), '"') END AS error
+    FROM c""")
+def unknown_kinds(t):
+    """Claims with kinds that no dialect has: an error, where others exist or not."""
+    claims = S.created_objects(t.corpus_d, "pg").selectExpr(*_ODD_KINDS.removeprefix("SELECT ").removesuffix(" FROM").split(", "))
+    shown = J.object_exists(claims, t.objects_d).filter("exists IS NOT NULL").withColumn("error", F.lit(None).cast("string"))
+    return shown.unionByName(J.unknown_kinds(claims).withColumn("exists", F.lit(None).cast("boolean")))
+
+
 @query("""
     SELECT target, schema, "table", count(*) AS n_columns FROM columns_d
     WHERE lower("table") <> 'brand_2_0' AND lower(concat(schema, '.', "table")) <> 's1.brand_7_0' GROUP BY 1, 2, 3""")

@@ -167,3 +167,17 @@ def doctor(t):
 def doctor_exits(t):
     report = D.doctor(t.targets_d, t.ledger_d, t.both_d, t.objects_d, t.cursor_d, "pg")
     return D.doctor_exits(report).groupBy("exit").agg(F.count(F.lit(1)).alias("n_targets"))
+
+
+_INITIALISED = _DOCTOR.replace("'ledger-integrity', CASE WHEN n_checked = 0", "'ledger-integrity', CASE WHEN n_checked = 0 AND cast(target AS bigint) % 3 <> 0", 1).replace(
+    "CASE WHEN n_checked = 0 THEN 'ledger table", "CASE WHEN n_checked = 0 AND cast(target AS bigint) % 3 <> 0 THEN 'ledger table", 1
+)
+
+
+@query(f"""
+    {_INITIALISED}
+    SELECT c.target, d.exit, c."check", c.status, c.message FROM checks c JOIN codes d ON d.target = c.target""")
+def doctor_empty_ledgers(t):
+    """Some targets are known to have a ledger, which may be empty."""
+    targets = t.targets_d.withColumn("has_ledger", F.when(F.col("target").cast("bigint") % 3 == 0, F.lit(True)))
+    return D.doctor(targets, t.ledger_d, t.both_d, t.objects_d, t.cursor_d, "pg").select("target", "exit", "check", "status", "message")

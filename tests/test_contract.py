@@ -93,6 +93,9 @@ def test_contract_changes(make):
     assert rows(K.contract_diff(old, new), "column", "change") == [("avatar", "removed"), ("email", "changed"), ("extra", "added")]
     assert rows(K.contract_stale(old, new)) == [("a", True)]
     assert rows(K.contract_stale(old, old)) == [("a", False)]
+    assert rows(K.contract_stale(old, old.repartition(3).union(old))) == [("a", True)] and rows(K.contract_diff(old, old)) == []
+    plan = K.contract_stale(old, new)._jdf.queryExecution().executedPlan().toString()
+    assert "FullOuter" not in plan
 
 
 def fields(spark, definition):
