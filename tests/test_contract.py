@@ -13,7 +13,7 @@ def column(spark, function, *values):
 
 
 def test_reserved_words():
-    assert len(naming.keyword.kwlist) == 35 and len(naming.WEB_RESERVED) == len(set(naming.WEB_RESERVED)) == 47
+    assert len(naming.PYTHON_RESERVED) == 35 and len(naming.WEB_RESERVED) == len(set(naming.WEB_RESERVED)) == 47
 
 
 def test_names(spark):
