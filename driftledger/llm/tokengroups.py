@@ -109,41 +109,58 @@ def signed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n_shingles long, fingerprint binary, likeness long, probes array<long>")
 
 
-def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, gid, found): the sorted shingle hashes of the nodes, from the text of their smallest doc_id.
-
-    Texts meet ids only, the least that can be broadcast; what else is known of a node joins its set afterwards.
-    """
+def _found(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(fingerprint, likeness, found): the sorted shingle hashes of the texts of some ids, the least that can be broadcast."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(text.as_py()) for text in batch["text"]]
-            prints = [fingerprint(found) if len(found) else None for found in sets]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(prints, pa.binary()), pa.array([found.tobytes() for found in sets], pa.binary())], names=["doc_id", "fingerprint", "found"])
+            sets = [found for found in map(shingles, batch["text"].to_pylist()) if len(found)]
+            columns = [pa.array([fingerprint(f) for f in sets], pa.binary()), pa.array([_likeness(f) for f in sets], pa.int64()), pa.array([f.tobytes() for f in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["fingerprint", "likeness", "found"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
-    wanted = texts.join(stored(nodes.select("doc_id").distinct()), "doc_id", "left_semi")
-    found = wanted.mapInArrow(collect, "doc_id long, fingerprint binary, found binary")
-    # Rows of one doc_id may have several texts.
-    return found.join(nodes.select("doc_id", "fingerprint", "node", "gid"), ["doc_id", "fingerprint"]).select("node", "gid", "found")
+    return texts.join(ids, "doc_id", "left_semi").mapInArrow(collect, "fingerprint binary, likeness long, found binary")
+
 
+def _dealt(rows: DataFrame, deals: DataFrame) -> DataFrame:
+    """``rows`` with their group: sets that are alike, in as many groups as ``deals`` (likeness, deals) says, or one."""
+    dealt = rows.join(deals, "likeness", "left")
+    return dealt.withColumn("gid", F.xxhash64("likeness", F.pmod(F.xxhash64("fingerprint"), F.coalesce("deals", F.lit(1))))).drop("deals", "likeness")
 
-def matrix(sets: DataFrame) -> DataFrame:
-    """(gid, members, sizes, tokens, bits): a row of the matrix for each group. ``tokens`` is the sorted union of the members'
-    shingles, and ``bits`` tells which member has which of them."""
 
-    def build(table: pa.Table) -> pa.Table:
-        by = {n.as_py(): np.frombuffer(f.as_buffer(), np.uint64) for n, f in zip(table["node"], table["found"], strict=True)}
-        tokens = np.unique(np.concatenate(list(by.values())))
-        rows = np.zeros((len(by), len(tokens)), bool)
-        for row, found in zip(rows, by.values(), strict=True):
-            row[np.searchsorted(tokens, found)] = True
-        return pa.table({
-            "gid": table["gid"].slice(0, 1), "members": pa.array([list(by)], pa.list_(pa.int64())), "sizes": pa.array([[len(f) for f in by.values()]], pa.list_(pa.int64())),
-            "tokens": pa.array([tokens.tobytes()], pa.binary()), "bits": pa.array([np.packbits(rows, axis=1).tobytes()], pa.binary()),
-        })
+def matrix(found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(gid, members, sizes, tokens, bits): a row of the matrix for each group, from (gid, fingerprint, found) and (gid,
+    fingerprint, node). ``tokens`` is the sorted union of the members' shingles, and ``bits`` tells which member has which
+    of them. Rows of one doc_id may have several texts, so sets that are no node's go."""
 
-    return sets.groupBy("gid").applyInArrow(build, "gid long, members array<long>, sizes array<long>, tokens binary, bits binary")
+    def build(sets: pa.Table, known: pa.Table) -> pa.Table:
+        nodes = dict(zip(known["fingerprint"].to_pylist(), known["node"].to_pylist(), strict=True))
+        by = {nodes[p]: np.frombuffer(f.as_buffer(), np.uint64) for p, f in zip(sets["fingerprint"].to_pylist(), sets["found"], strict=True) if p in nodes}
+        kinds = {"gid": pa.int64(), "members": pa.list_(pa.int64()), "sizes": pa.list_(pa.int64()), "tokens": pa.binary(), "bits": pa.binary()}
+        values: dict[str, list] = {name: [] for name in kinds}
+        if by:
+            tokens = np.unique(np.concatenate(list(by.values())))
+            rows = np.zeros((len(by), len(tokens)), bool)
+            for row, own in zip(rows, by.values(), strict=True):
+                row[np.searchsorted(tokens, own)] = True
+            values = {"gid": [known["gid"][0].as_py()], "members": [list(by)], "sizes": [[len(f) for f in by.values()]], "tokens": [tokens.tobytes()], "bits": [np.packbits(rows, axis=1).tobytes()]}
+        return pa.table({name: pa.array(values[name], kind) for name, kind in kinds.items()})
+
+    rows = found.groupBy("gid").cogroup(nodes.select("gid", "fingerprint", "node").groupBy("gid"))
+    return rows.applyInArrow(build, "gid long, members array<long>, sizes array<long>, tokens binary, bits binary")
+
+
+def members_of(groups: DataFrame) -> DataFrame:
+    """(node, found): the sets that the matrix holds."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for members, tokens, bits in zip(batch["members"].to_pylist(), batch["tokens"], batch["bits"], strict=True):
+                tokens = np.frombuffer(tokens.as_buffer(), np.uint64)
+                rows = np.unpackbits(np.frombuffer(bits.as_buffer(), np.uint8).reshape(len(members), -1), axis=1, count=len(tokens)).astype(bool)
+                yield pa.RecordBatch.from_arrays([pa.array(members, pa.int64()), pa.array([tokens[row].tobytes() for row in rows], pa.binary())], names=["node", "found"])
+
+    return groups.select("members", "tokens", "bits").mapInArrow(unpack, "node long, found binary")
 
 
 class Opened:
@@ -199,12 +216,6 @@ def links(pairs: DataFrame, sets: DataFrame, groups: DataFrame) -> DataFrame:
     return held.groupBy("gid", "piece").cogroup(asked.groupBy("gid", "piece")).applyInArrow(meet, "a long, b long")
 
 
-def _grouped(nodes: DataFrame) -> DataFrame:
-    """``nodes`` with their group: sets that are alike, dealt into several groups where there are many, or many shingles."""
-    most = nodes.groupBy("likeness").agg(F.greatest(F.ceil(F.count("*") / F.lit(MEMBERS)), F.ceil(F.sum("n_shingles") / F.lit(TOKENS))).alias("deals"))
-    return nodes.join(most, "likeness").withColumn("gid", F.xxhash64("likeness", F.pmod(F.xxhash64("node"), "deals"))).drop("deals", "likeness")
-
-
 def _others(members: DataFrame, home: DataFrame, comps: DataFrame, asked: DataFrame) -> DataFrame:
     """(node, gid): sets against groups that share a probe with theirs and are not all in their component, one way round.
 
@@ -253,9 +264,12 @@ def similar(docs: DataFrame) -> DataFrame:
     leads = members.groupBy("probe").agg(F.min("node").alias("lead"))
 
     needed = members.select("node").distinct()
-    grouped = stored(_grouped(nodes.drop("probes").join(needed, "node", "left_semi")))
-    sets = stored(_sets(docs, grouped))
-    groups = stored(matrix(sets))
+    picked = stored(nodes.drop("probes").join(needed, "node", "left_semi"))
+    most = F.greatest(F.ceil(F.count("*") / F.lit(MEMBERS)), F.ceil(F.sum("n_shingles") / F.lit(TOKENS)))
+    deals = stored(picked.groupBy("likeness").agg(most.alias("deals")).where("deals > 1"))
+    grouped = stored(_dealt(picked, deals))
+    groups = stored(matrix(_dealt(_found(docs, stored(picked.select("doc_id").distinct())), deals), grouped))
+    sets = members_of(groups)
     home = grouped.select("node", "gid")
     first = members.join(leads, "probe").where("node <> lead").select("node", "lead").distinct().join(home.withColumnRenamed("node", "lead"), "lead").select("node", "gid")
     own = home.join(groups.where("size(members) > 1").select("gid"), "gid", "left_semi").select("node", "gid")
