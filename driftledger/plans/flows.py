@@ -15,7 +15,7 @@ from driftledger import messages as M
 from driftledger.operators.ledger import backfill, record_applied, record_reverted, recompute_cursor, soft_revert
 from driftledger.operators.scripts import pending, split_dirty
 from driftledger.schemas import CURSOR, conform
-from driftledger.sources.store import Commit, LedgerStore
+from driftledger.sources.store import Commit, Conflict, LedgerStore
 
 
 class Recorded(NamedTuple):
@@ -74,7 +74,7 @@ def committed(store: LedgerStore, flow: Callable[[DataFrame, DataFrame], Recorde
         done = flow(store.ledger(base), store.cursor(base))
         try:
             return store.commit(store.replace(done.ledger, done.cursor, base)), done.refused
-        except RuntimeError:
-            if attempt == attempts or store.commit().number == base.number:
+        except Conflict:
+            if attempt == attempts:
                 raise
     raise ValueError("at least one attempt is needed")

@@ -9,6 +9,7 @@ and of two writers that start from the same commit the second one notices, takes
 from __future__ import annotations
 
 import json
+import threading
 import uuid
 from collections.abc import Callable
 from typing import NamedTuple
@@ -23,6 +24,13 @@ from driftledger.sources.ledger import as_ledger, ledger_problem, split_ledger
 
 BUCKET_KEYS = ["target", "version"]
 
+#: Threads share the session's settings.
+_setting = threading.Lock()
+
+
+class Conflict(RuntimeError):
+    """Someone else has committed meanwhile."""
+
 
 class Commit(NamedTuple):
     number: int  # 0 before the first
@@ -148,7 +156,7 @@ class LedgerStore:
             conform(cursor, CURSOR).write.parquet(f"{self.path}/cursor/{name}")
         new = Commit(base.number + 1, tuple(write if b in held else "" for b in range(len(base.writes))), name)
         if not self._publish(new):
-            raise RuntimeError(f"the ledger in {self.path} has changed since commit {base.number}")
+            raise Conflict(f"the ledger in {self.path} has changed since commit {base.number}")
         return new.number
 
     def retain(self, commits: int) -> list[int]:
@@ -181,13 +189,16 @@ class LedgerStore:
         columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in LEDGER.fields)
         extra, by, place = (", write STRING", "write, bucket", "ledger") if write is None else ("", "bucket", f"ledger/write={write}")
         listed = "spark.sql.hive.manageFilesourcePartitions"  # else the catalog would be asked for partitions later
-        before = self.spark.conf.get(listed)
-        self.spark.conf.set(listed, "false")
-        self.spark.sql(
-            f"CREATE TABLE {name} ({columns}{extra}, bucket INT) USING parquet OPTIONS (path '{self.path}/{place}') "
-            f"PARTITIONED BY ({by}) CLUSTERED BY ({', '.join(BUCKET_KEYS)}) SORTED BY ({', '.join(BUCKET_KEYS)}) INTO {n} BUCKETS"
-        )
-        self.spark.conf.set(listed, before)
+        with _setting:
+            before = self.spark.conf.get(listed)
+            self.spark.conf.set(listed, "false")
+            try:
+                self.spark.sql(
+                    f"CREATE TABLE {name} ({columns}{extra}, bucket INT) USING parquet OPTIONS (path '{self.path}/{place}') "
+                    f"PARTITIONED BY ({by}) CLUSTERED BY ({', '.join(BUCKET_KEYS)}) SORTED BY ({', '.join(BUCKET_KEYS)}) INTO {n} BUCKETS"
+                )
+            finally:
+                self.spark.conf.set(listed, before)
         try:
             return use(name)
         finally:
