@@ -45,23 +45,39 @@ def _opens(text: Column) -> Column:
     return F.length(F.regexp_replace(text, r"[^(]+", ""))
 
 
-def balanced_block(rest: Column) -> Column:
-    """Text up to the ``)`` that closes a parenthesis opened just before ``rest``; NULL when none does.
+# Steps 1, 2, 4, ... of a running sum by doubling; the last is beyond the size of any array.
+_DOUBLING = tuple(1 << k for k in range(31))
 
-    The k-th ``)`` closes it when exactly k-1 parentheses were opened before that ``)``.
+
+def running_sum(values: Column) -> Column:
+    """Sum of each element of an array of numbers and all before it, in n log n steps: each round adds the element twice as far back."""
+    steps = F.filter(F.array(*map(F.lit, _DOUBLING)), lambda s: s < F.size(values))
+    return F.aggregate(steps, values, lambda sums, s: F.transform(sums, lambda v, i: v + F.coalesce(F.get(sums, i - s), F.lit(0))))
+
+
+def closing_places(tokens: Column) -> Column:
+    """``array<struct<place,end>>``: the token that closes the parenthesis a head opens, for each head that is closed, in order.
+
+    ``tokens`` are texts with a parenthesis at the end or none, and heads, which open one more than they close. An opening at
+    some depth is closed by the next parenthesis at that depth; sorted by depth and place, that one stands right behind it.
     """
-    pieces = F.split(rest, r"\)", -1)
-    closed = F.slice(pieces, F.lit(1), F.size(pieces) - 1)  # the last piece has no ) behind it
-    start = F.struct(F.lit(0).alias("opened"), F.lit(0).alias("seen"), F.lit(0).alias("end"))
+    turn = F.transform(tokens, lambda t: F.when(t.endswith("("), 1).when(t.endswith(")"), -1).otherwise(0))
+
+    def matched(c: Column) -> Column:
+        marks = F.transform(c["turn"], lambda t, i: F.struct(
+            (F.get(c["depth"], i) + (t < 0).cast("int")).alias("level"), i.alias("place"), t.alias("turn"),
+        ))
+        return F.array_sort(F.filter(marks, lambda m: m["turn"] != 0))
 
-    def step(acc: Column, piece: Column) -> Column:
-        opened = acc["opened"] + _opens(piece)
-        seen = acc["seen"] + 1
-        end = F.when(acc["end"] > 0, acc["end"]).when(opened == seen - 1, seen).otherwise(0)
-        return F.struct(opened.alias("opened"), seen.alias("seen"), end.alias("end"))
+    def ends(marks: Column) -> Column:
+        pairs = F.transform(marks, lambda m, j: F.struct(
+            m["place"].alias("place"), F.when(F.get(marks, j + 1)["level"] == m["level"], F.get(marks, j + 1)["place"]).alias("end"), m["turn"].alias("turn"),
+        ))
+        heads = F.filter(pairs, lambda q: (q["turn"] > 0) & q["end"].isNotNull() & F.get(tokens, q["place"]).contains(")"))
+        return F.array_sort(F.transform(heads, lambda q: F.struct(q["place"].alias("place"), q["end"].alias("end"))))
 
-    end = F.aggregate(closed, start, step)["end"]
-    return F.when(end > 0, F.array_join(F.slice(pieces, F.lit(1), end), ")"))
+    depths = _let(turn, lambda t: F.struct(t.alias("turn"), running_sum(t).alias("depth")))
+    return _let(_let(depths, matched), ends)
 
 
 def _let(value: Column, body) -> Column:
@@ -111,16 +127,19 @@ def _block_fields(block: Column, converts: Column) -> Column:
 
 
 def _blocks(definition: Column) -> Column:
-    """The block behind each head; NULL where it does not close. The text is cut at the heads once; only a block with another
-    head inside is looked for in all that follows."""
+    """The block behind each head that closes, in order. All parentheses of the text are matched at once, so heads that never
+    close cost nothing; a block within another is a part of both."""
     cut = F.struct(F.split(definition, _OPEN_WITH, -1).alias("pieces"), _all(definition, _OPEN_WITH, 0).alias("heads"))
 
-    def block(c: Column, i: Column) -> Column:
-        behind = lambda side: F.slice(c[side], i + 2, F.greatest(F.size(c[side]) - i - 1, F.lit(0)))
-        joined = F.transform(behind("pieces"), lambda p, j: F.concat(p, F.coalesce(F.get(behind("heads"), j), F.lit(""))))
-        return F.coalesce(balanced_block(F.get(c["pieces"], i + 1)), balanced_block(F.array_join(joined, "")))
+    def tokens(c: Column) -> Column:
+        head = lambda i: F.when(i < F.size(c["heads"]), F.array(F.get(c["heads"], i))).otherwise(F.array().cast("array<string>"))
+        return F.flatten(F.transform(c["pieces"], lambda p, i: F.concat(F.split(p, r"(?<=[()])", -1), head(i))))
+
+    def texts(t: Column) -> Column:
+        inside = lambda b: F.array_join(F.slice(t, b["place"] + 2, b["end"] - b["place"]), "")
+        return F.transform(F.transform(closing_places(t), inside), lambda x: F.substring(x, F.lit(1), F.length(x) - 1))
 
-    return _let(cut, lambda c: F.transform(c["heads"], lambda _, i: block(c, i)))
+    return _let(_let(cut, tokens), texts)
 
 
 def _declared_fields(definition: Column) -> Column:
@@ -130,7 +149,7 @@ def _declared_fields(definition: Column) -> Column:
             F.lower(F.regexp_extract(c, _CONVERT, 2)).alias("key"), F.regexp_extract(c, _CONVERT, 1).alias("type")
         ),
     )
-    blocks = F.filter(_blocks(definition), lambda b: b.isNotNull())
+    blocks = _blocks(definition)
 
     def largest(c: Column) -> Column:
         return F.aggregate(

@@ -169,3 +169,46 @@ def test_many_json_calls_stay_linear(spark):
 def test_blocks_within_blocks(spark):
     text = "OPENJSON(@a) WITH (\n a int,\n b int, /* OPENJSON(@b) WITH (\n c int) */\n d int\n) OPENJSON(@c) WITH (\n e int"
     assert [f[0] for f in fields(spark, text)] == ["a", "b", "c", "d"]
+
+
+def test_blocks_against_a_stack(spark):
+    """Texts of random pieces: each head's block ends where a stack of its own says."""
+    import random
+    import re
+
+    from driftledger.functions import payload
+
+    head = re.compile(r"OPENJSON\s*\(\s*@\w+\s*\)\s*WITH\s*\(", re.IGNORECASE | re.ASCII)
+
+    def blocks(text):
+        found = []
+        for m in head.finditer(text):
+            depth = 1
+            for i in range(m.end(), len(text)):
+                depth += {"(": 1, ")": -1}.get(text[i], 0)
+                if not depth:
+                    found.append(text[m.end() : i])
+                    break
+        return found
+
+    random.seed(5)
+    parts = ["(", ")", ")", "a", " ", "é😀", "OPENJSON(@p) WITH (", "openjson ( @q )\nwith(", "OPENJSON(", "WITH (", "\n x INT"]
+    texts = ["", "))((", "OPENJSON(@p) WITH ()"] + ["".join(random.choices(parts, k=random.randrange(60))) for _ in range(400)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(-1, None)], "i int, t string")
+    got = {r.i: r.b for r in df.select("i", payload._blocks(df.t).alias("b")).collect()}
+    assert not got.pop(-1)
+    assert got == {i: blocks(t) for i, t in enumerate(texts)}
+
+
+def test_heads_that_never_close_stay_linear(spark):
+    import time
+
+    def run(n):
+        start = time.monotonic()
+        found = fields(spark, "OPENJSON(@p) WITH (\n a int,\n" * n + "OPENJSON(@p) WITH (\n b int,\n c bit)")
+        assert [f[0] for f in found] == ["b", "c"]
+        return time.monotonic() - start
+
+    run(10)
+    short, long = min(run(1000), run(1000)), min(run(10000), run(10000))
+    assert long < 20 * max(short, 0.25)
