@@ -15,8 +15,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document."""
     plan = mixing.mix(_read(spark, sf_dir, "documents"))
-    each = plan.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), "n_rows"))) # rows that share doc_id, source and size
-    return each.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def op4_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,11 +68,25 @@ def test_mix_meets_targets(documents, texts):
 
 
 def test_mix_odd(spark, odd):
-    assert mixing.mix(odd).agg({"n_rows": "sum"}).first()[0] == odd.count()
+    assert mixing.mix(odd).count() == odd.count()
     assert mixing.mixed(odd).columns == odd.columns
     assert mixing.mixed(odd.limit(0)).count() == 0
 
 
+def test_mix_hands_copies_to_repeated_rows(spark):
+    """Null and repeated ids: what is taken stays within a document of the target, and no row enters more than twice."""
+    rows = [(None, f"a b c d t{n % 3}", "s") for n in range(100)] + [(1, "a b c d e", "t")] * 67 + [(n, "a b c d e f g", "u") for n in range(2, 300)]
+    docs = spark.createDataFrame([(i, t, "en", s, 0, "x", "y") for i, t, s in rows], DOCS).repartition(5)
+    plan = mixing.mix(docs).groupBy("source").agg({"target": "max", "copies": "max", "*": "count"}).collect()
+    mixed = collections.Counter((r.source, r.doc_id, r.text) for r in mixing.mixed(docs).collect())
+    for r in plan:
+        longest = max(len(t.split()) for _, t, s in rows if s == r.source)
+        assert abs(sum(n * len(t.split()) for (s, _, t), n in mixed.items() if s == r.source) - r["max(target)"]) <= longest + 1
+        assert r["max(copies)"] <= 2
+    given = collections.Counter((s, i, t) for i, t, s in rows)
+    assert all(n <= 2 * given[k] for k, n in mixed.items())
+
+
 # sharding
 
 
