@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftledger.llm import hashing
-from driftledger.llm.common import cut, stored
+from driftledger.llm.common import cut, n_words, stored
 
 SHINGLE = 5
 #: Documents are linked if PER * intersection >= SHARE * union.
@@ -260,7 +260,19 @@ def _sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest doc_id; rows without doc_id stay."""
-    dropped = stored(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("dropped__")).distinct())
+    """``docs`` with one document of each component, the one with the smallest doc_id.
+
+    Of rows that share doc_id and text one stays, whichever comes first; rows that share a doc_id only stay or go together.
+    Rows without doc_id stay, and so do all rows without words, which are in no component.
+    """
+    found = stored(near_duplicates(docs).where("doc_id is not null").select("doc_id", "n_shingles", "kept"))
+    dropped = found.where("not kept").select(F.col("doc_id").alias("dropped__")).distinct()
     rows = docs.select(F.struct("*").alias("row__"))
-    return rows.join(dropped, F.col("row__.doc_id") == F.col("dropped__"), "left_anti").select("row__.*")
+    stay = rows.join(dropped, F.col("row__.doc_id") == F.col("dropped__"), "left_anti")
+    repeated = stored(found.where("kept and n_shingles > 0").groupBy(F.col("doc_id").alias("repeated__")).agg(F.count("*").alias("n")).where("n > 1"))
+    if not repeated.isEmpty():
+        stay = stay.join(repeated, F.col("row__.doc_id") == F.col("repeated__"), "left")
+        several = F.coalesce(F.col("n") > 1, F.lit(False)) & (n_words("row__.text") > 0)
+        one = stay.where(several).groupBy("row__.doc_id", "row__.text").agg(F.first("row__").alias("row__")).select("row__")
+        stay = stay.where(~several).select("row__").unionByName(one)
+    return stay.select("row__.*")
