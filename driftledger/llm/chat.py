@@ -62,13 +62,13 @@ def format_turns(turns: Iterator[tuple[int | None, str | None, list[dict] | None
         head = TURN + escape(role).replace("\n", "\\n") + STOP
         at += len(head)
         pieces.append(head)
-        start = at
         for part in parts or []:
+            placed = len(visitor.attachments)
             piece = visitor.visit(part, turn, at)
             pieces.append(piece)
+            if role == "assistant" and len(visitor.attachments) == placed:
+                loss.append({"start": at, "end": at + len(piece)})
             at += len(piece)
-        if role == "assistant":
-            loss.append({"start": start, "end": at})
         pieces.append(END)
         at += len(END)
     return {"formatted": "".join(pieces), "loss": loss, "attachments": visitor.attachments, "n_tokens": sum(a["n_tokens"] for a in visitor.attachments)}
@@ -88,8 +88,8 @@ def format_chats(messages: DataFrame) -> DataFrame:
 
     ``messages`` has conv_id, turn, role and content, an array of parts (see PART). Turns are ordered by turn, nulls first,
     ties by role and content, so repeated rows are repeated turns. A null role is empty, null content has no parts, a null
-    text is empty; rows without conv_id are one conversation. Loss spans are the bodies of the role ``assistant``, in code
-    points of ``formatted``. n_tokens is what the placeholders expand to; an attachment without a size expands to none.
+    text is empty; rows without conv_id are one conversation. Loss spans are the text parts of the role ``assistant``, in code
+    points of ``formatted``; placeholders are in none. n_tokens is what the placeholders expand to; an attachment without a size expands to none.
     Conversations are dealt by conv_id and read in order, so a task holds one conversation at a time: that is one training
     example, and no larger than a row may be. An empty table gives no rows; other columns are not looked at.
     """
