@@ -146,14 +146,20 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_DOCUMENTS, min_z: f
 
     Each token whose share of toxic texts differs significantly from that of all tokens scores its own log-odds, above or below
     0; size of the odds is no condition, as the calibration of segments decides. Tokens that show no difference cost ``drift``,
-    or as much more as makes the mean score of clean texts negative, which extreme values need.
+    or as much more as makes the mean score of clean texts negative, which extreme values need. Tokens in fewer texts than 3, or
+    than one for each 200 toxic texts, enter as totals only.
 
     Counts are taken on the executors. What comes to the driver is bounded by the sample: tokens of enough texts, counts of
     scores, and two numbers for each document.
     """
     sample = stored(labelled(docs, labels, limit).where("text is not null").dropDuplicates(["text", "toxic"]))
-    letters = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
-    each = sample.select("toxic", letters.alias("tokens"))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sorted(set(tokens(t))) for t in batch["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["toxic"], pa.array(found, pa.list_(pa.string()))], names=["toxic", "tokens"])
+
+    each = stored(sample.select("toxic", "text").mapInArrow(split, "toxic int, tokens array<string>"))  # as texts are scored
     enough = max(3, each.where("toxic = 1").count() // 200)
 
     def odds(part) -> dict[str, tuple[float, float]]:

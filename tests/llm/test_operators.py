@@ -212,6 +212,17 @@ def test_near_duplicates_odd(odd):
     assert neardup.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_one_row_of_each_kept_document_stays(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(1, long)] * 3 + [(2, long)] * 2 + [(3, other), (4, None), (4, None), (5, " "), (5, " "), (6, "x y"), (6, "p q"), (6, "p q"), (6, ""), (None, other), (None, other)]
+    docs = spark.createDataFrame([(i, t, "en", str(n), n, "x", "y") for n, (i, t) in enumerate(rows)], DOCS)
+    left = neardup.without_near_duplicates(docs)
+    assert left.columns == docs.columns
+    found = collections.Counter((r.doc_id, r.text) for r in left.collect())
+    assert found == {(1, long): 1, (3, other): 1, (4, None): 2, (5, " "): 2, (6, "x y"): 1, (6, "p q"): 1, (6, ""): 1, (None, other): 2}
+
+
 # repeated passages
 
 
@@ -289,6 +300,17 @@ def test_toxicity_finds_planted_words(spark):
     assert toxicity.detect(docs.limit(0), labels).count() == 0
 
 
+def test_toxicity_reads_one_kind_of_tokens(spark):
+    """What a token is for the counts it is for the scores: runs of letters of any script, with or without signs at their ends."""
+    rows = [(i, f"{i} b\u00e9 word{chr(97 + i % 26)} x\u00b2y {'zap\u00b2 \u0130nk' if i % 4 == 0 else 'calm'}", int(i % 4 == 0)) for i in range(800)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, "x", "y") for i, t, _ in rows], DOCS)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert set(model.lexicon) <= {t for _, text, _ in rows for t in toxicity.tokens(text)}
+    assert {t for t in toxicity.tokens("zap\u00b2 \u0130nk")} <= set(model.lexicon)
+    assert all(r.predicted == int(r.doc_id % 4 == 0) for r in toxicity.detect(docs, labels).collect())
+
+
 def test_toxicity_odd(spark, odd):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     some = spark.createDataFrame([(1, 0, 1), (6, 1, 0), (None, 1, 1), (2, 0, None)], "doc_id long, quality int, toxic int")
@@ -631,6 +653,17 @@ def test_chats_escape_and_flatten(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_chat_loss_leaves_placeholders_out(spark):
+    parts = [{"type": "text", "text": "see |"}, {"type": "image", "ref": "i", "width": 28, "height": 28}, {"type": "text", "text": ""}, {"type": "audio", "seconds": 1.0}, {"type": "odd", "text": "end\\"}]
+    rows = [(n, t, role, parts) for n in range(300) for t, role in enumerate(["user", "assistant", "assistant"])] + [(-1, 0, "assistant", [parts[1]]), (-1, 1, "assistant", None)]
+    formatted = chat.format_chats(spark.createDataFrame(rows, f"conv_id long, turn long, role string, content array<{chat.PART}>"))
+    for r in formatted.collect():
+        under = [chat.unescape(r.formatted[s.start : s.end]) for s in r.loss]
+        assert under == ([] if r.conv_id < 0 else ["see |", "", "end\\"] * 2)
+        assert all(s.end <= a.start or s.start > a.start for s in r.loss for a in r.attachments)
+        assert [(a.turn, a.type) for a in r.attachments] == ([(0, "image")] if r.conv_id < 0 else [(t, k) for t in range(3) for k in ("image", "audio")])
+
+
 # pipeline and queries
 
 
