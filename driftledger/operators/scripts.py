@@ -9,13 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from driftledger import messages as M
 from driftledger.functions import ddl
 from driftledger.functions.text import content_hash, explode_rows, script_name
-from driftledger.operators.intervals import (
-    KEYS,
-    cursor_keys_above,
-    cursor_keys_up_to,
-    script_keys_above,
-    script_keys_up_to,
-)
+from driftledger.operators.intervals import counts_above, pairs_above, pairs_up_to
 from driftledger.operators.skew import lookup
 from driftledger.schemas import CURSOR, conform, has_target
 from driftledger.sources.corpus import corpus_up
@@ -150,22 +144,20 @@ def pending(
         if skip_dirty:
             placed = placed.filter(~F.coalesce("_dirty", F.lit(False)))
         return placed.filter("position IS NULL OR version > position").drop("position", "_dirty")
-    scripts = script_keys_above(scripts.select("version", *columns))
-    targets = cursor_keys_above(places.filter(~F.col("_dirty")) if skip_dirty else places)
-    return lookup(targets, scripts, KEYS, "inner").select("target", "version", *columns)
+    places = places.filter(~F.col("_dirty")) if skip_dirty else places
+    return pairs_above(scripts.select("version", *columns), places).select("target", "version", *columns)
 
 
 def pending_facts(corpus: DataFrame, cursor: DataFrame) -> DataFrame:
     """(target, n, first) as rows to be added up per target: numbers of pending scripts, and the first of them.
 
-    With a shared corpus scripts are counted per key first, so no (target, script) pair is ever formed.
+    With a shared corpus scripts are counted per position, so no (target, script) pair is ever formed.
     """
-    one = F.struct("version", "filename")
     if has_target(corpus):
+        one = F.struct("version", "filename")
         return pending(corpus, cursor).select("target", F.lit(1).cast("long").alias("n"), one.alias("first"))
-    per_key = script_keys_above(corpus_up(corpus).select("version", "filename")).groupBy(*KEYS)
-    per_key = per_key.agg(F.count(F.lit(1)).alias("n"), F.min(one).alias("first"))
-    return lookup(cursor_keys_above(_positions(cursor)), per_key, KEYS, "inner").select("target", "n", "first")
+    scripts = corpus_up(corpus).select("version", "filename")
+    return counts_above(scripts, _positions(cursor)).select("target", "n", "first")
 
 
 def pending_summary(corpus: DataFrame, cursor: DataFrame) -> DataFrame:
@@ -208,6 +200,4 @@ def reached(corpus: DataFrame, cursor: DataFrame) -> DataFrame:
         places = _positions(cursor).select("target", "position")
         placed = lookup(scripts.select("target", "version"), places, ["target"], "inner")
         return placed.filter("version <= position").select("target", "version").distinct()
-    keys = script_keys_up_to(scripts.select("version").distinct())
-    targets = cursor_keys_up_to(_positions(cursor))
-    return lookup(targets, keys, KEYS, "inner").select("target", "version")
+    return pairs_up_to(scripts.select("version").distinct(), _positions(cursor)).select("target", "version")
