@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from driftledger.operators.skew import lookup
 from driftledger.sources.shared import share
@@ -31,11 +31,22 @@ def _reason(e: Exception) -> str:
     return f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}".rstrip(": ")
 
 
+def _dealt(files: DataFrame, length: Column | str) -> DataFrame:
+    """Files dealt by name over as many tasks as their bytes fill partitions of the size that file scans have in this session."""
+    spark = files.sparkSession
+    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    total = files.agg(F.sum(F.coalesce(length, F.lit(0)) + OPENING)).first()[0] or 0
+    return files.repartition(int(max(1, -(-total // size))), F.xxhash64("folder", "filename"))
+
+
 def list_files(folders: DataFrame) -> DataFrame:
     """(target, folder, filename, length, error): the files directly in each folder of (target, folder), whatever their names.
 
-    An absent folder has no files. One that cannot be listed is one row without a filename.
+    An absent folder has no files. One that cannot be listed is one row without a filename. Each folder has a task of its own, up
+    to the number of shuffle partitions of this session: a table of folders is small, and would be one task however many files
+    they hold.
     """
+    tasks = max(1, min(folders.count(), int(folders.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -52,20 +63,15 @@ def list_files(folders: DataFrame) -> DataFrame:
                         names=["target", "folder", "filename", "length", "error"],
                     )
 
-    return folders.select(F.col("target").cast("string"), "folder").mapInArrow(listed, _LISTED)
+    return folders.select(F.col("target").cast("string"), "folder").repartition(tasks).mapInArrow(listed, _LISTED)
 
 
 def read_files(listed: DataFrame) -> DataFrame:
     """(target, filename, body, error) of rows of :func:`list_files`.
 
-    The body is the file's bytes taken as text without any change, so its hash is the file's hash. Files are dealt over as
-    many tasks as their bytes fill partitions of the size that file scans have in this session. A file that cannot be read, or
+    The body is the file's bytes taken as text without any change, so its hash is the file's hash. A file that cannot be read, or
     no longer has the length it was listed with, has an error and no body, as an empty body would be a hash that no file has.
     """
-    spark = listed.sparkSession
-    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    total = listed.agg(F.sum(F.coalesce("length", F.lit(0)) + OPENING)).first()[0] or 0
-    dealt = listed.repartition(int(max(1, -(-total // size))), F.xxhash64("folder", "filename"))
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -78,11 +84,14 @@ def read_files(listed: DataFrame) -> DataFrame:
 
         held = 0
         for batch in batches:
+            known: dict[str, tuple[fs.FileSystem, str]] = {}
             for target, folder, name, length, error in zip(*(batch[c].to_pylist() for c in ("target", "folder", "filename", "length", "error")), strict=True):
                 content = None
                 if error is None:
                     try:
-                        system, path = _at(folder)
+                        if folder not in known:
+                            known[folder] = _at(folder)
+                        system, path = known[folder]
                         with system.open_input_stream(f"{path.rstrip('/')}/{name}") as stream:
                             content = stream.read()
                         if len(content) != length:
@@ -96,7 +105,7 @@ def read_files(listed: DataFrame) -> DataFrame:
                     held = 0
         yield sent()
 
-    read = dealt.mapInArrow(opened, "target string, filename string, content binary, error string")
+    read = _dealt(listed, "length").mapInArrow(opened, "target string, filename string, content binary, error string")
     return read.select("target", "filename", F.col("content").cast("string").alias("body"), "error")
 
 
@@ -106,7 +115,8 @@ def scan_folders(folders: DataFrame) -> DataFrame:
 
 
 def split_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(files of targets that could be read in full, refused rows with ``error``)."""
+    """(files of targets that could be read in full, refused rows with ``error``). Each file is opened once."""
+    files = share(files, "files")
     refused = files.filter("error IS NOT NULL").select("target", "filename", "error")
     sound = lookup(files.filter("error IS NULL"), refused.select("target").distinct(), ["target"], "left_anti")
     return sound.select("target", "filename", "body"), refused
@@ -118,19 +128,22 @@ def scan_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_files(files: DataFrame) -> int:
-    """Write ``body`` of each row of (folder, filename, body) to a file, in tasks; how many. Existing files are replaced whole."""
+    """Write ``body`` of each row of (folder, filename, body) to a file, in tasks; how many. Existing files are replaced whole.
+
+    The rows are dealt as :func:`read_files` does, since making a file takes far longer than reading its row from a table.
+    """
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made: set[str] = set()
+            made: dict[str, tuple[fs.FileSystem, str]] = {}
             for folder, name, content in zip(*(batch[c].to_pylist() for c in ("folder", "filename", "content")), strict=True):
-                system, path = _at(folder)
                 if folder not in made:
-                    system.create_dir(path, recursive=True)
-                    made.add(folder)
+                    made[folder] = _at(folder)
+                    made[folder][0].create_dir(made[folder][1], recursive=True)
+                system, path = made[folder]
                 with system.open_output_stream(f"{path.rstrip('/')}/{name}") as stream:
                     stream.write(content or b"")
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
 
     rows = files.select("folder", "filename", F.col("body").cast("binary").alias("content"))
-    return rows.mapInArrow(written, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return _dealt(rows, F.octet_length("content")).mapInArrow(written, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -168,3 +168,50 @@ def test_files_are_dealt_by_bytes(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", was)
     assert len(parts) == 5 and sum(p["count"] for p in parts) == 300 and max(p["count"] for p in parts) < 100
+
+
+def test_folders_are_written_and_listed_in_many_tasks(spark, tmp_path, monkeypatch):
+    """Small tables in one partition: their files are what takes long, not their rows."""
+    from driftledger.sources import folder as W
+
+    monkeypatch.setattr(W, "OPENING", 1 << 22)  # 32 files a task
+    names = spark.range(0, 200, 1, 1).selectExpr(f"concat('{tmp_path}/made/', id % 8) AS folder", "concat(id, '_x.up.sql') AS filename", "cast(id AS string) AS body")
+    dealt = W._dealt(names, F.octet_length("body")).groupBy(F.spark_partition_id()).count().collect()
+    assert len(dealt) == 7 and max(p["count"] for p in dealt) < 60
+    assert W.write_files(names) == 200
+    folders = spark.range(0, 8, 1, 1).selectExpr("cast(id AS string) AS target", f"concat('{tmp_path}/made/', id) AS folder")
+    listed = W.list_files(folders)
+    tasks = listed.groupBy(F.spark_partition_id().alias("p")).agg(F.count_distinct("target").alias("n")).collect()
+    assert len(tasks) >= 4 and max(t["n"] for t in tasks) <= 2
+    assert rows(listed, "target", "filename") == sorted((str(i % 8), f"{i}_x.up.sql") for i in range(200))
+
+
+def test_writing_makes_more_tasks_than_the_table_has(spark, tmp_path, monkeypatch):
+    from driftledger.sources import folder as W
+
+    monkeypatch.setattr(W, "OPENING", 1 << 22)
+    seen, begun = spark.sparkContext.statusTracker(), set()
+    spark.sparkContext.setJobGroup("writing", "files written")
+    try:
+        W.write_files(spark.range(0, 200, 1, 1).selectExpr(f"'{tmp_path}/w' AS folder", "concat(id, '.sql') AS filename", "'x' AS body"))
+        for job in seen.getJobIdsForGroup("writing"):
+            begun |= {seen.getStageInfo(s).numTasks for s in seen.getJobInfo(job).stageIds if seen.getStageInfo(s)}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert max(begun) == 7 and len(list((tmp_path / "w").iterdir())) == 200
+
+
+def test_split_opens_each_file_once(spark, tmp_path):
+    """What was read is kept: files that change later change no result."""
+    from driftledger.sources import folder as W
+
+    for name in "ab":
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "1_x.up.sql").write_bytes(b"\xff" + name.encode())
+    (tmp_path / "c").write_text("no folder")
+    found = spark.createDataFrame([(t, str(tmp_path / t)) for t in "abc"], "target string, folder string")
+    sound, refused = W.split_files(W.scan_folders(found))
+    (tmp_path / "a" / "1_x.up.sql").unlink()
+    (tmp_path / "b" / "1_x.up.sql").write_bytes(b"other and longer")
+    assert [bytes(r["b"]) for r in sound.selectExpr("target", "cast(body AS binary) AS b").orderBy("target").collect()] == [b"\xffa", b"\xffb"]
+    assert rows(refused, "target", "filename") == [("c", None)]
